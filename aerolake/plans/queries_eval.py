@@ -89,13 +89,13 @@ def f7(spark, d):
 q AS (SELECT *, sqrt((px-gx)^2 + (py-gy)^2 + (pz-gz)^2) AS e, sqrt(gx*gx + gy*gy + gz*gz) AS gn, sqrt(px*px + py*py + pz*pz) AS pn FROM p WHERE valid)
 SELECT frame, round(avg(e / gn), 6) AS rel_ae, round(avg(CASE WHEN greatest(gn / pn, pn / gn) < 1.03::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS inlier_ratio,
   round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
-  round(avg(degrees(acos(least(1, (px*gx + py*gy + pz*gz) / (pn * gn))))), 4) AS ray_deg FROM q GROUP BY frame""")
+  round(avg(degrees(2 * atan2(sqrt((px/pn-gx/gn)^2 + (py/pn-gy/gn)^2 + (pz/pn-gz/gn)^2), sqrt((px/pn+gx/gn)^2 + (py/pn+gy/gn)^2 + (pz/pn+gz/gn)^2)))), 6) AS ray_deg FROM q GROUP BY frame""")
 def f8(spark, d):
     z, g = F.col("z"), F.col("z_gt")
     u, v = (F.col("x") - 8), (F.col("y") - 8)
     px = view(spark, d, "fx_pixels").select("frame", "valid", (u * z / 50).alias("px"), (v * z / 50).alias("py"), z.alias("pz"),
                                             (u * g / 50).alias("gx"), (v * g / 50 + 1).alias("gy"), g.alias("gz"))
-    return I.rounded(E.pointmap_metrics(px, ["frame"])).withColumn("ray_deg", F.round("ray_deg", 4))
+    return I.rounded(E.pointmap_metrics(px, ["frame"]))
 
 
 @query("f9_trajectory_scale", f"""WITH {S.POSES},
