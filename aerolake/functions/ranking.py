@@ -26,12 +26,7 @@ def grouped_rank(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     inside its (partition, group) piece plus the sizes of the earlier pieces of the group.
     """
     by = list(by)
-    keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = (
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__pos", F.monotonically_increasing_id())
-    )
-    placed = materialize(placed, "rank")
-    placed = placed.withColumn("__part", F.shiftright("__pos", _POS_BITS))
+    placed = _placed(df, by, order, "rank")
     pieces = placed.groupBy("__part", *by).agg(F.min("__pos").alias("__lo"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
@@ -140,3 +135,52 @@ def fits_broadcast(df: DataFrame, rows: int = 200_000) -> bool:
 def hint_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast hint only behind a row check; otherwise the planner's shuffle join is left alone."""
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Rows range-placed by (group, order) with ``__pos`` in that order and ``__part``, the partition."""
+    keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__pos", F.monotonically_increasing_id())
+    return materialize(out, name).withColumn("__part", F.shiftright("__pos", _POS_BITS))
+
+
+def grouped_running_sum(
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str, out: str
+) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the group; windows only ever see one piece of a group."""
+    by = list(by)
+    placed = _placed(df, by, order, "running")
+    before = lambda keys, o: Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy("__part", *by).agg(F.sum(value).alias("__s"))
+    pieces = pieces.withColumn("__b", F.coalesce(F.sum("__s").over(before(by or [F.lit(0)], "__part")), F.lit(0))).drop("__s")
+    inner = F.coalesce(F.sum(value).over(before(["__part", *by], "__pos")), F.lit(0))
+    return placed.withColumn("__in", inner).join(pieces, ["__part", *by]).withColumn(
+        out, F.col("__b") + F.col("__in")).drop("__part", "__pos", "__b", "__in")
+
+
+def surrounding(
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str, prev: str, nxt: str
+) -> DataFrame:
+    """Last non-NULL ``value`` at or before each row, and the first one after it, within the group.
+
+    Pieces of a range-placed group are filled on their own; what crosses a piece border comes from one row per piece.
+    """
+    by = list(by)
+    placed = _placed(df, by, order, "around")
+    inner = Window.partitionBy("__part", *by).orderBy("__pos")
+    has = F.col(value).isNotNull()
+    pieces = placed.groupBy("__part", *by).agg(
+        F.max_by(F.when(has, F.col(value)), F.when(has, F.col("__pos"))).alias("__last"),
+        F.min_by(F.when(has, F.col(value)), F.when(has, F.col("__pos"))).alias("__first"))
+    outer = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")
+    pieces = pieces.withColumns({
+        "__prev": F.last("__last", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)),
+        "__next": F.first("__first", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)),
+    }).drop("__last", "__first")
+    near = placed.withColumns({
+        prev: F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)),
+        nxt: F.first(value, ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    return near.join(pieces, ["__part", *by]).withColumns({
+        prev: F.coalesce(F.col(prev), F.col("__prev")), nxt: F.coalesce(F.col(nxt), F.col("__next")),
+    }).drop("__part", "__pos", "__prev", "__next")

@@ -40,23 +40,28 @@ def centre_correspondences(matched: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _prefixed(tf: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Transform columns under names that cannot clash with point columns such as the colour r."""
+    return tf.select(*by, *[F.col(c).alias("__" + c) for c in ("s", "r", "t")])
+
+
 def apply_sim3_points(
     df: DataFrame, tf: DataFrame, by: Sequence[str], cols: Sequence[str] = ("x", "y", "z")
 ) -> DataFrame:
     """x -> s R x + t with the transform of the row's group; groups without one keep their coordinates."""
-    j = df.join(tf.select(*by, "s", "r", "t"), list(by), "left")
-    moved = L.matvec(L.mat3("r"), L.vec(*cols))
-    new = {c: F.coalesce(F.col("s") * m + F.col("t")[i], F.col(c)) for i, (c, m) in enumerate(zip(cols, moved))}
+    j = df.join(_prefixed(tf, by), list(by), "left")
+    moved = L.matvec(L.mat3("__r"), L.vec(*cols))
+    new = {c: F.coalesce(F.col("__s") * m + F.col("__t")[i], F.col(c)) for i, (c, m) in enumerate(zip(cols, moved))}
     return j.withColumns(new).select(*df.columns)
 
 
 def apply_sim3_poses(df: DataFrame, tf: DataFrame, by: Sequence[str], col: str = "t_c2w") -> DataFrame:
     """Rotate the orientation and move the centre of every pose by its group's transform."""
-    j = df.join(tf.select(*by, "s", "r", "t"), list(by), "left")
-    r = L.mat3("r")
-    centre = [F.col("s") * m + F.col("t")[i] for i, m in enumerate(L.matvec(r, L.trans_of(col)))]
+    j = df.join(_prefixed(tf, by), list(by), "left")
+    r = L.mat3("__r")
+    centre = [F.col("__s") * m + F.col("__t")[i] for i, m in enumerate(L.matvec(r, L.trans_of(col)))]
     moved = L.pose(L.matmul(r, L.rot_of(col)), centre)
-    return j.withColumn(col, F.when(F.col("s").isNull(), F.col(col)).otherwise(moved)).select(*df.columns)
+    return j.withColumn(col, F.when(F.col("__s").isNull(), F.col(col)).otherwise(moved)).select(*df.columns)
 
 
 def compose_columns(first: Sequence[Column], second: Sequence[Column]) -> tuple[Column, Column, Column]:

@@ -164,13 +164,13 @@ rd AS (SELECT unnest(range(0, CAST(ceil({n_batches} / k) AS BIGINT))) AS round F
 tu AS (SELECT round, bin, n, k, round * k + row_number() OVER (PARTITION BY round ORDER BY {uniform_sql('round, bin', 880)}, bin) - 1 AS batch FROM rd, nb, k),
 f AS (SELECT *, {_feat([4, 7], 780)} AS f FROM tu, t WHERE batch < {n_batches}), z AS (SELECT *, {size} AS size FROM f),
 l AS (SELECT *, {lo} AS lo FROM z), e AS (SELECT *, unnest(range(0, CAST(size AS BIGINT))) AS pos FROM l),
-q AS (SELECT *, (lo + pos) // n AS pass, (lo + pos) % n AS at FROM e), ps AS (SELECT DISTINCT bin, pass FROM q),
-la AS (SELECT sample, bin, pass, row_number() OVER (PARTITION BY bin, pass ORDER BY {uniform_sql('bin, pass::BIGINT, sample', 980)}, sample) - 1 AS at FROM s JOIN ps USING (bin))
+q AS (SELECT *, (lo + pos) // n AS pass, (lo + pos) % n AS slot FROM e), ps AS (SELECT DISTINCT bin, pass FROM q),
+la AS (SELECT sample, bin, pass, row_number() OVER (PARTITION BY bin, pass ORDER BY {uniform_sql('bin, pass::BIGINT, sample', 980)}, sample) - 1 AS slot FROM s JOIN ps USING (bin))
 {tail}"""
 
 
 @query("g15_plan_balanced_batches", _balanced_sql("24", "round * 24", "ceil(total / 24)", """SELECT CAST(batch // CAST(ceil(total / 72) AS BIGINT) AS INT) AS rank, batch, CAST(pos AS INT) AS pos, bin, sample, f[1] AS f0, f[2] AS f1
-FROM q JOIN la USING (bin, pass, at) WHERE batch * 24 + pos < total"""))
+FROM q JOIN la USING (bin, pass, slot) WHERE batch * 24 + pos < total"""))
 def g15(spark, d):
     s = B.hfov_bins(view(spark, d, "fx_bins"), _EDGES)
     return _spread(B.plan_balanced_batches(s, "sample", [4, 7], 3, 3, batch=24), 2)
@@ -179,7 +179,7 @@ def g15(spark, d):
 @query("g15_plan_balanced_dynamic", _balanced_sql(
     "CASE f[1] WHEN 0 THEN 12 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 4 END",
     "coalesce(sum(size) OVER (PARTITION BY bin ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
-    "(total // 30) * 3", "SELECT CAST(batch % 3 AS INT) AS rank, batch, CAST(pos AS INT) AS pos, bin, sample, f[1] AS f0, f[2] AS f1 FROM q JOIN la USING (bin, pass, at)"))
+    "(total // 30) * 3", "SELECT CAST(batch % 3 AS INT) AS rank, batch, CAST(pos AS INT) AS pos, bin, sample, f[1] AS f0, f[2] AS f1 FROM q JOIN la USING (bin, pass, slot)"))
 def g15_dynamic(spark, d):
     s = B.hfov_bins(view(spark, d, "fx_bins"), _EDGES)
     return _spread(B.plan_balanced_batches(s, "sample", [4, 7], 3, 3, sizes=_SIZES, per_rank=s.count() // 30), 2)
