@@ -46,15 +46,19 @@ def unproject(pixels: DataFrame, cams: DataFrame, key: Sequence[str] = ("scene",
     return j.withColumns(dict(zip(("px", "py", "pz"), world))).select(*pixels.columns, "px", "py", "pz")
 
 
-def to_camera(p: Sequence[Column], pose: str | Column) -> list[Column]:
-    """World point in the frame of a camera-to-world pose."""
-    return L.matvec(L.transpose(L.rot_of(pose)), L.sub(p, L.trans_of(pose)))
+def projection_rows(pose: str | Column, k: str | Column) -> Column:
+    """Flat 3x4 projection of a camera: rows of fx*u, fy*v and depth over the world point. Computed once per camera."""
+    a, rt, t = L.col(k), L.transpose(L.rot_of(pose)), L.trans_of(pose)
+    rows = [[a[0] * rt[0][i] + a[2] * rt[2][i] for i in range(3)], [a[4] * rt[1][i] + a[5] * rt[2][i] for i in range(3)], rt[2]]
+    return F.array(*[c for r in rows for c in (*r, -L.dot(r, t))])
 
 
-def project(p: Sequence[Column], pose: str | Column, k: str | Column) -> tuple[Column, Column, Column]:
-    """(u, v, z) of a world point."""
-    c, a = to_camera(p, pose), L.col(k)
-    return a[0] * c[0] / c[2] + a[2], a[4] * c[1] / c[2] + a[5], c[2]
+def project(p: Sequence[Column], rows: str | Column) -> tuple[Column, Column, Column]:
+    """(u, v, z) of a world point under ``projection_rows``."""
+    m = L.col(rows)
+    row = lambda i: m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3]
+    z = row(2)
+    return row(0) / z, row(1) / z, z
 
 
 def _pyramid_box(cams: DataFrame, bounds: DataFrame, by: Sequence[str], width: float, height: float) -> DataFrame:
@@ -63,13 +67,14 @@ def _pyramid_box(cams: DataFrame, bounds: DataFrame, by: Sequence[str], width: f
     t, r = L.trans_of("t_c2w"), L.rot_of("t_c2w")
     k = F.col("k")
     reach = L.norm([F.greatest(F.abs(t[i] - F.col(f"__lo{a}")), F.abs(t[i] - F.col(f"__hi{a}"))) for i, a in enumerate("xyz")])
-    j = j.withColumn("__reach", reach)
-    pts = [F.struct(*[t[i].alias(a) for i, a in enumerate("xyz")])]
-    for u, v in ((0.0, 0.0), (width, 0.0), (width, height), (0.0, height)):
+    j = j.withColumn("__reach", reach).withColumn("__q0", F.array(*t))
+    corners = {}
+    for n, (u, v) in enumerate(((0.0, 0.0), (width, 0.0), (width, height), (0.0, height)), 1):
         ray = L.matvec(r, [(u - k[2]) / k[0], (v - k[5]) / k[4], F.lit(1.0)])
-        pts.append(F.struct(*[(t[i] + ray[i] * F.col("__reach")).alias(a) for i, a in enumerate("xyz")]))
-    j = j.withColumn("__p", F.array(*pts))
-    edges = F.array(*[F.struct(F.col("__p")[a].alias("a"), F.col("__p")[b].alias("b")) for a, b in _EDGES])
+        corners[f"__q{n}"] = F.array(*[t[i] + ray[i] * F.col("__reach") for i in range(3)])
+    j = j.withColumns(corners)
+    point = lambda n: F.struct(*[F.col(f"__q{n}")[i].alias(a) for i, a in enumerate("xyz")])
+    edges = F.array(*[F.struct(point(a).alias("a"), point(b).alias("b")) for a, b in _EDGES])
 
     def clip(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -84,11 +89,14 @@ def _pyramid_box(cams: DataFrame, bounds: DataFrame, by: Sequence[str], width: f
             F.least(at(lo, "x"), at(hi, "x")).alias("x0"), F.greatest(at(lo, "x"), at(hi, "x")).alias("x1"),
             F.least(at(lo, "y"), at(hi, "y")).alias("y0"), F.greatest(at(lo, "y"), at(hi, "y")).alias("y1")))
 
-    j = j.withColumn("__s", F.filter(F.transform(edges, clip), lambda s: s.isNotNull())).where(F.size("__s") > 0)
+    j = j.withColumn("__s", F.filter(F.transform(edges, clip), lambda s: s.isNotNull()))
     pick = lambda f, c: f(F.transform("__s", lambda s: s[c]))
     box = {"__x0": F.greatest(pick(F.array_min, "x0"), F.col("__lox")), "__x1": F.least(pick(F.array_max, "x1"), F.col("__hix")),
            "__y0": F.greatest(pick(F.array_min, "y0"), F.col("__loy")), "__y1": F.least(pick(F.array_max, "y1"), F.col("__hiy"))}
-    return j.withColumns(box).where("__x0 <= __x1 AND __y0 <= __y1").select(*cams.columns, *box)
+    j = j.withColumns({**box, "__hit": F.size("__s") > 0, "__P": projection_rows("t_c2w", "k")})
+    # written out before the filter: a filter pushed below the projection would evaluate the boxes again
+    j = materialize(j.drop("t_c2w", "k").select(*[c for c in cams.columns if c not in ("t_c2w", "k")], "__hit", *box, "__P"), "pyramids")
+    return j.where("__hit AND __x0 <= __x1 AND __y0 <= __y1").drop("__hit")
 
 
 def point_bounds(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -123,11 +131,11 @@ def project_join(points: DataFrame, cams: DataFrame, width: float, height: float
     """
     by = list(by)
     bounds = materialize(point_bounds(points, by), "bounds")
-    boxes = materialize(_pyramid_box(cams.select(*by, view, "k", "t_c2w"), bounds, by, width, height), "pyramids")
+    boxes = _pyramid_box(cams.select(*by, view, "k", "t_c2w"), bounds, by, width, height)
     cells, size = box_cells(boxes, by)
     p = point_cells(points.select(*by, "point_id", "x", "y", "z", *keep), size, by).withColumnsRenamed({"x": "__x", "y": "__y", "z": "__z"})
     j = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), [*by, "__cx", "__cy"])
-    u, v, z = project(L.vec("__x", "__y", "__z"), "t_c2w", "k")
+    u, v, z = project(L.vec("__x", "__y", "__z"), "__P")
     out = j.select(*by, view, "point_id", u.alias("u"), v.alias("v"), z.alias("z"), *keep)
     return out.where((F.col("z") > 0) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
 
@@ -169,9 +177,9 @@ def multiview_confidence(pixels: DataFrame, cams: DataFrame, pairs: DataFrame, w
     depth is read at the nearest pixel, missing depth reads as 0.
     """
     px = unproject(pixels, cams, [view], depth=depth).select(view, "y", "x", "px", "py", "pz")
-    other = cams.select(F.col(view).alias("other"), F.col("k").alias("ok"), F.col("t_c2w").alias("ot"))
+    other = cams.select(F.col(view).alias("other"), projection_rows("t_c2w", "k").alias("__P"))
     j = px.join(pairs.select(view, "other"), view).join(other, "other")
-    u, v, z = project(L.vec("px", "py", "pz"), "ot", "ok")
+    u, v, z = project(L.vec("px", "py", "pz"), "__P")
     j = j.select(view, "other", "y", "x", u.alias("u"), v.alias("v"), z.alias("zz"))
     j = j.where((F.col("zz") > MIN_TARGET_DEPTH) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     j = j.withColumns({"tx": F.least(F.rint("u"), F.lit(width - 1.0)).cast("int"), "ty": F.least(F.rint("v"), F.lit(height - 1.0)).cast("int")})

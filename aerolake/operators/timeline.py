@@ -15,35 +15,38 @@ SNAP = 1e-4
 MAX_GAP = 2.0
 
 
-def slerp(a: Sequence[Sequence[Column]], b: Sequence[Sequence[Column]], alpha: Column) -> Column:
-    """Rotation at ``alpha`` between two rotations along the shortest arc, as a 9-element array.
+def with_slerp(df: DataFrame, first: Column, second: Column, alpha: Column, out: str) -> DataFrame:
+    """Add ``out``: the rotation at ``alpha`` between two 4x4 poses along the shortest arc, as a 9-element array.
 
-    A to the power of the relative rotation: axis from its antisymmetric part, or from its diagonal near 180 degrees.
+    The relative rotation's axis comes from its antisymmetric part, or from its diagonal near 180 degrees. Each step is
+    a column of its own, so nothing is evaluated twice.
     """
-    m = L.pack(L.matmul(L.transpose(a), b))
-
-    def turn(m: Column) -> Column:
-        cos = L.clamp((m[0] + m[4] + m[8] - 1.0) / 2.0, -1.0, 1.0)
-        w = [m[7] - m[5], m[2] - m[6], m[3] - m[1]]
-        sin2 = L.norm(w)
-        theta = F.atan2(sin2 / 2.0, cos)
-        # near 180 degrees: the column of (M + I) / 2 with the largest diagonal is the axis up to length
-        diag = [m[0], m[4], m[8]]
-        col = lambda j: [m[3 * i + j] + (1.0 if i == j else 0.0) for i in range(3)]
-        big = F.greatest(*diag)
-        half = [F.when(diag[0] == big, col(0)[i]).when(diag[1] == big, col(1)[i]).otherwise(col(2)[i]) for i in range(3)]
-        flip = (sin2 < 1e-9) & (cos < 0)
-        axis = [F.when(flip, h / L.norm(half)).when(sin2 > 0, v / sin2).otherwise(0.0) for v, h in zip(w, half)]
-        return F.struct(theta.alias("t"), *[v.alias(n) for v, n in zip(axis, "xyz")])
-
-    s = F.transform(F.array(m), turn)[0]
-    t, x, y, z = s["t"] * alpha, s["x"], s["y"], s["z"]
-    c, n = F.cos(t), F.sin(t)
+    a, b = L.rot_of(first), L.rot_of(second)
+    m = F.col("__m")
+    df = df.withColumn("__m", L.pack(L.matmul(L.transpose(a), b)))
+    df = df.withColumn("__w", F.array(m[7] - m[5], m[2] - m[6], m[3] - m[1]))
+    w = [F.col("__w")[i] for i in range(3)]
+    df = df.withColumn("__s2", L.norm(w))
+    cos = L.clamp((m[0] + m[4] + m[8] - 1.0) / 2.0, -1.0, 1.0)
+    # near 180 degrees: the column of M + I with the largest diagonal is the axis up to length
+    big = F.greatest(m[0], m[4], m[8])
+    column = lambda j: F.array(*[m[3 * i + j] + (1.0 if i == j else 0.0) for i in range(3)])
+    df = df.withColumns({"__t": F.atan2(F.col("__s2") / 2.0, cos),
+                         "__h": F.when(m[0] == big, column(0)).when(m[4] == big, column(1)).otherwise(column(2))})
+    h = [F.col("__h")[i] for i in range(3)]
+    flip = (F.col("__s2") < 1e-9) & (F.col("__t") > 1.0)
+    df = df.withColumn("__hn", L.norm(h))
+    df = df.withColumns({f"__{n}": F.when(flip, x / F.col("__hn")).when(F.col("__s2") > 0, v / F.col("__s2")).otherwise(0.0)
+                         for n, v, x in zip("xyz", w, h)})
+    df = df.withColumns({"__c": F.cos(F.col("__t") * alpha), "__n": F.sin(F.col("__t") * alpha)})
+    x, y, z, c, n = (F.col(f"__{v}") for v in "xyzcn")
     o = 1.0 - c
-    step = [[c + x * x * o, x * y * o - z * n, x * z * o + y * n],
-            [y * x * o + z * n, c + y * y * o, y * z * o - x * n],
-            [z * x * o - y * n, z * y * o + x * n, c + z * z * o]]
-    return F.when(s["t"] < 1e-12, L.pack(a)).otherwise(L.pack(L.matmul(a, step)))
+    step = [c + x * x * o, x * y * o - z * n, x * z * o + y * n,
+            y * x * o + z * n, c + y * y * o, y * z * o - x * n,
+            z * x * o - y * n, z * y * o + x * n, c + z * z * o]
+    df = df.withColumn("__st", F.array(*step))
+    df = df.withColumn(out, F.when(F.col("__t") < 1e-12, L.pack(a)).otherwise(L.pack(L.matmul(a, L.mat3("__st")))))
+    return df.drop("__m", "__w", "__s2", "__t", "__h", "__hn", "__x", "__y", "__z", "__c", "__n", "__st")
 
 
 def asof_frames(queries: DataFrame, frames: DataFrame, by: Sequence[str] = ("scene",), time: str = "t",
@@ -85,10 +88,9 @@ def asof_pose(queries: DataFrame, frames: DataFrame, by: Sequence[str] = ("scene
     """
     r = asof_frames(queries, frames, by, time, ("frame", "k", "t_c2w"), snap, max_gap)
     a, p, n = F.col("alpha"), F.col("prev"), F.col("next")
-    rot = slerp(L.rot_of(p["t_c2w"]), L.rot_of(n["t_c2w"]), a)
     lin = lambda x, y: (1.0 - a) * x + a * y
     t = [lin(x, y) for x, y in zip(L.trans_of(p["t_c2w"]), L.trans_of(n["t_c2w"]))]
-    r = r.withColumn("__r", rot)
+    r = with_slerp(r, p["t_c2w"], n["t_c2w"], a, "__r")
     mixed = L.pose(L.mat3("__r"), t)
     single = F.col("status").isin("exact", "last")
     inter = F.col("status") == "interpolated"

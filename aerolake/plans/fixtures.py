@@ -57,9 +57,10 @@ VIEWS: dict[str, str] = {
     "fx_asof": """SELECT event_id AS qid, user_id AS scene, US(ts) / 1e6 + (event_id % 4) * CAST(300 AS DOUBLE) AS t
   FROM {events}""",
     "fx_bins": "SELECT p_partkey AS sample, p_size AS hfov, p_type AS kind FROM {part}",
-    # camera of every pixel frame: nadir, on a 20 m grid
+    # camera of every pixel frame: nadir, on a 5 m grid that drifts, so no two cameras share a coordinate
     "fx_pixcams": """SELECT DISTINCT CAST(floor(o_orderkey / 256) AS INT) AS frame,
-  CAST(5 * (floor(o_orderkey / 256) % 8) AS DOUBLE) AS cx, CAST(5 * (floor(floor(o_orderkey / 256) / 8) % 8) AS DOUBLE) AS cy,
+  5 * (floor(o_orderkey / 256) % 8) + CAST(0.01 AS DOUBLE) * floor(o_orderkey / 256) AS cx,
+  5 * (floor(floor(o_orderkey / 256) / 8) % 8) + CAST(0.013 AS DOUBLE) * floor(o_orderkey / 256) AS cy,
   CAST(100 AS DOUBLE) AS cz FROM {orders}""",
 }
 

@@ -143,7 +143,7 @@ def c6(spark, d):
 
 
 # points on the pixel rays and their scores: fused over the grid cameras; 25 m is the depth tolerance of this scene
-_FUSE = f"""WITH {_PX}, pt AS (SELECT frame * 256 + y * 16 + x AS point_id, px AS x, py AS y, pz AS z FROM px),
+_FUSE = f"""WITH {_PX}, pt AS (SELECT frame * 256 + y * 16 + x AS point_id, px + 0.11::DOUBLE AS x, py + 0.07::DOUBLE AS y, pz AS z FROM px),
 vw AS (SELECT * FROM (SELECT point_id, c.frame, 50 * (p.x - c.cx) / (c.cz - p.z) + 8 AS u, -50 * (p.y - c.cy) / (c.cz - p.z) + 8 AS v, c.cz - p.z AS zz FROM pt p CROSS JOIN {{fx_pixcams}} c) WHERE zz > 0 AND u >= 0 AND u < 16 AND v >= 0 AND v < 16),
 ok AS (SELECT point_id, w.frame, t.y, t.x FROM vw w JOIN {{fx_pixels}} t ON t.frame = w.frame AND t.y = round_even(v, 0) AND t.x = round_even(u, 0) WHERE abs(zz - t.z) < 1.5),
 sc AS (SELECT frame, y, x, cls, logit, ln(sum(exp(logit)) OVER (PARTITION BY frame, y, x)) AS lse, row_number() OVER (PARTITION BY frame, y, x ORDER BY logit DESC, cls) AS k FROM {{fx_scores}}),
@@ -160,7 +160,7 @@ def _fuse(spark, d, mode):
     px, cams = view(spark, d, "fx_pixels"), I.pixel_cams(spark, d).withColumn("scene", F.lit(0))
     p = PR.unproject(px.select("frame", "y", "x", "z"), cams, ["frame"])
     pts = p.select(F.lit(0).alias("scene"), (F.col("frame") * 256 + F.col("y") * 16 + F.col("x")).alias("point_id"),
-                   F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+                   (F.col("px") + 0.11).alias("x"), (F.col("py") + 0.07).alias("y"), F.col("pz").alias("z"))
     sc = view(spark, d, "fx_scores").withColumn("scene", F.lit(0))
     return PR.fuse_semantics(pts, cams, px.withColumn("scene", F.lit(0)), sc, mode, 16, 16, 4, tol=1.5)
 
