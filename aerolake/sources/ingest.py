@@ -28,8 +28,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """(path, value): one row per file below ``root``."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return r.text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def scan_scenes(files: DataFrame, start: int = 0, stride: int = 1, num_views: int = 0) -> DataFrame:
