@@ -72,14 +72,15 @@ def shifted(df: DataFrame, by: Sequence[str], rank: str, k: int, cols: Sequence[
 
 def quantiles(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], bounded: bool = False,
-    extra: Sequence[Column] = (),
+    extra: Sequence[Column] = (), derived: bool = False,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one ``<col>_q`` array per column, plus ``n``.
 
     NULLs are ignored. Groups up to the row limit use the built-in ``percentile``. Larger ones are ranked by a
     range shuffle and only the rows at the needed positions are read. ``bounded`` states that a group cannot
-    outgrow one task (the pixels of one image, say) and skips the size check. ``extra`` are further aliased
-    aggregates of the same groups.
+    outgrow one task (the pixels of one image, say) and skips the size check. ``derived`` states that ``df`` comes from
+    joins; it is written out once, so that the check does not run them again. ``extra`` are further aliased aggregates
+    of the same groups.
     """
     by = list(by)
     arr = F.array(*[F.lit(float(p)) for p in probs])
@@ -90,6 +91,8 @@ def quantiles(
 
     if bounded:
         return small(df)
+    if derived:
+        df = materialize(df, "values")
     limit = group_limit(df)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= limit:
@@ -122,7 +125,7 @@ def quantiles(
         *[F.first(F.when(F.col("__c") == c, F.col("__q")), ignorenulls=True).alias(f"{c}_q") for c in cols]
     )
     total = hot.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *extra)
-    wide = total.join(wide, by, "left") if by else total.crossJoin(wide)
+    wide = total.join(wide, by, "left") if by else total.withColumn("__j", F.lit(0)).join(wide.withColumn("__j", F.lit(0)), "__j", "left")
     wide = wide.select(*total.columns, *[f"{c}_q" for c in cols])
     return wide if cold is None else cold.unionByName(wide)
 

@@ -106,7 +106,7 @@ def residuals(corr: DataFrame, tf: DataFrame, by: Sequence[str], out: str = "err
 def _median_shift(corr: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per-axis median of destination minus source: (by, n, t)."""
     diff = corr.select(*by, *[(F.col(d) - F.col(s)).alias("e" + a) for a, s, d in zip("xyz", SRC, DST)])
-    q = quantiles(diff, by, ["ex", "ey", "ez"], [0.5])
+    q = quantiles(diff, by, ["ex", "ey", "ez"], [0.5], derived=True)
     return q.select(*by, "n", F.array(*[F.col(f"e{a}_q")[0] for a in "xyz"]).alias("t"))
 
 
@@ -243,7 +243,7 @@ def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: st
             shift = _median_shift(apply_to_src(corr, tf, by), by).drop("n")
             tf = tf.drop("t").join(shift, by)
     tf = materialize(tf, "align")
-    res = quantiles(residuals(corr, tf, by), by, ["err"], [0.5]).select(*by, F.col("err_q")[0].alias("median_residual"))
+    res = quantiles(residuals(corr, tf, by).select(*by, "err"), by, ["err"], [0.5], derived=True).select(*by, F.col("err_q")[0].alias("median_residual"))
     out = base.join(tf, by, "left").join(res, by, "left")
     ok = F.coalesce("valid", F.lit(False))
     return out.select(

@@ -107,12 +107,14 @@ def plan_balanced_batches(samples: DataFrame, key: str, pools: Sequence[int], wo
     spark = samples.sparkSession
     samples = samples.select(key, "bin").distinct()
     pool = materialize(samples.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bins")
-    n_bins = pool.count()
+    # a handful of ids: one per interval of the bin edges
+    bins = [r["bin"] for r in pool.select("bin").collect()]
+    n_bins = len(bins)
     total = samples.select(key).distinct().count()
     n_batches = -(-total // batch) if batch is not None else int(per_rank) * world
     rounds = spark.range(-(-n_batches // max(1, n_bins))).withColumnRenamed("id", "round")
-    # the bin count is the number of edges, so this product is the batch schedule itself
-    turn = rounds.crossJoin(F.broadcast(pool)).withColumn("__h", L.uniform(seed + 100, "round", "bin"))
+    turn = rounds.withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins]))).join(pool, "bin")
+    turn = turn.withColumn("__h", L.uniform(seed + 100, "round", "bin"))
     slot = F.row_number().over(Window.partitionBy("round").orderBy("__h", "bin")) - 1
     plan = turn.withColumn("batch", F.col("round") * n_bins + slot).where(F.col("batch") < n_batches)
     plan = plan.withColumn("features", _features(pools, seed, "batch"))

@@ -34,7 +34,7 @@ def summarize(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """mean, rmse, median, p90, p95 and max of the finite values per group, with their count."""
     v = F.col("__v")
     vals = df.select(*by, null_if_not_finite(col).alias("__v"))
-    q = quantiles(vals, by, ["__v"], [0.5, 0.9, 0.95], extra=[
+    q = quantiles(vals, by, ["__v"], [0.5, 0.9, 0.95], derived=True, extra=[
         F.count(v).alias("num"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rmse"), F.max(v).alias("max"),
     ])
     return q.select(
@@ -325,7 +325,7 @@ def fit_depth_scale(pixels: DataFrame, by: Sequence[str], view: Sequence[str], o
     ok = ok.withColumns({"rk": F.row_number().over(w), "nv": F.count(F.lit(1)).over(Window.partitionBy(*key))}).join(total, by)
     cap = F.greatest(F.lit(1), F.floor(F.lit(max_total) * F.col("nv") / F.col("total")))
     ratios = ok.where(F.col("rk") <= cap).select(*by, (g / p).alias("ratio"))
-    q = quantiles(ratios, by, ["ratio"], [0.5])
+    q = quantiles(ratios, by, ["ratio"], [0.5], derived=True)
     return total.join(q, by, "left").select(
         *by, F.coalesce("n", F.lit(0).cast("long")).alias("num_ratios"),
         F.when(F.col("ratio_q")[0] > 0, F.col("ratio_q")[0]).otherwise(1.0).alias("depth_scale"))

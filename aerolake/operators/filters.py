@@ -21,7 +21,7 @@ def _slice(df: DataFrame, by: Sequence[str], order: Sequence[str], spec: Sequenc
     lo, hi = F.lit(start), F.lit(stop)
     if start < 0 or stop < 0:
         n = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))
+        ranked = ranked.join(n, by) if by else ranked.withColumn("__n", F.lit(ranked.count()))
         lo = F.greatest(F.lit(0), F.col("__n") + start) if start < 0 else lo
         hi = (F.col("__n") + stop) if stop < 0 else hi
     i = F.col("__i")

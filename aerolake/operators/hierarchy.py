@@ -231,7 +231,7 @@ def seam_error(members: DataFrame, points: DataFrame, edges: DataFrame, transfor
         nn = nn_join(s, d, by, src_id="pid", dst_id="pid")
         nn = nn.join(s.select(*by, "pid", F.col("z").alias("zs")), [*by, "pid"]).join(
             d.select(*by, F.col("pid").alias("nn_id"), F.col("z").alias("zd")), [*by, "nn_id"])
-        q = quantiles(nn.select(*by, "dist", F.abs(F.col("zs") - F.col("zd")).alias("dz")), by, ["dist", "dz"], [0.5])
+        q = quantiles(nn.select(*by, "dist", F.abs(F.col("zs") - F.col("zd")).alias("dz")), by, ["dist", "dz"], [0.5], derived=True)
         return q.select(*by, F.col("n").alias("num_" + tag), F.col("dist_q")[0].alias("nn_" + tag), F.col("dz_q")[0].alias("z_" + tag))
 
     views = shared.groupBy(*by).agg(F.count(F.lit(1)).alias("num_shared_views"))

@@ -79,7 +79,7 @@ def lookat_footprints(cams: DataFrame, gt_points: DataFrame, by: Sequence[str] =
                              L.norm([F.max("c" + a) - F.min("c" + a) for a in "xyz"]).alias("span"))
     scene = materialize(ext.join(g, by, "left"), "ground")
     far = c.join(scene, by).select(*by, L.norm([F.col("c" + a) - F.col("m" + a) for a in "xyz"]).alias("d")).where("d > 1e-6")
-    med = quantiles(far, by, ["d"], [0.5]).select(*by, F.col("d_q")[0].alias("dm"))
+    med = quantiles(far, by, ["d"], [0.5], derived=True).select(*by, F.col("d_q")[0].alias("dm"))
     span = F.when(F.col("nc") > 1, F.col("span")).otherwise(F.lit(math.sqrt(3.0)))
     ahead = F.coalesce("dm", F.when(span > 1e-6, span).otherwise(1.0))
     scene = materialize(scene.join(med, by, "left").select(*by, F.coalesce("zq", "zmin").alias("zg"), ahead.alias("ahead")), "lookat")

@@ -44,7 +44,7 @@ def gsd_from_grid(grid: DataFrame, view: Sequence[str], by: Sequence[str], strid
     dist = lambda along: L.norm([nxt(along, c) - F.col(c) for c in coords]) / float(stride)
     d = g.repartition(*view).withColumns({"dx": dist("x"), "dy": dist("y")})
     d = d.select(*by, F.explode(F.array("dx", "dy")).alias("d")).where(L.finite("d") & (F.col("d") > 0))
-    s = quantiles(d, by, ["d"], [0.1, 0.5, 0.9]).select(
+    s = quantiles(d, by, ["d"], [0.1, 0.5, 0.9], derived=True).select(
         *by, F.col("n").alias("num_samples"), F.col("d_q")[1].alias("gsd"), F.col("d_q")[0].alias("p10"), F.col("d_q")[2].alias("p90"))
     every = grid.select(*by).distinct().join(s, list(by), "left")
     return every.withColumns({"num_samples": F.coalesce("num_samples", F.lit(0).cast("long")), "gsd": F.coalesce("gsd", F.lit(DEFAULT_GSD))})

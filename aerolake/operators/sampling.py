@@ -136,11 +136,10 @@ def repeat_dataset(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
 def resize_dataset(df: DataFrame, n: int, order: Sequence[str], key: Sequence[str], epoch: int, seed: int = 777) -> DataFrame:
     """``n`` rows: one permutation of the epoch, repeated as often as needed; ``rep`` is the repetition number."""
     ranked = grouped_rank(df.withColumn("__h", L.uniform(seed + epoch, *key)), [], ["__h", *order], "__i")
-    size = ranked.agg(F.count(F.lit(1)).alias("__n"))
-    reps = F.ceil((F.lit(n) - F.col("__i")) / F.col("__n")).cast("int")
-    out = ranked.crossJoin(F.broadcast(size)).where(F.col("__i") < n)
-    out = out.withColumn("rep", F.explode(F.sequence(F.lit(0), reps - 1)))
-    return out.withColumn("idx", F.col("rep") * F.col("__n") + F.col("__i")).drop("__i", "__n", "__h")
+    size = max(1, ranked.count())
+    reps = F.ceil((F.lit(n) - F.col("__i")) / size).cast("int")
+    out = ranked.where(F.col("__i") < n).withColumn("rep", F.explode(F.sequence(F.lit(0), reps - 1)))
+    return out.withColumn("idx", F.col("rep").cast("long") * size + F.col("__i")).drop("__i", "__h")
 
 
 def split_by_hash(scenes: DataFrame, lists: DataFrame | None = None, name: str = "scene", skip: int = 8) -> DataFrame:

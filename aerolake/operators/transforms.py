@@ -160,6 +160,6 @@ def normalize_scene(points: DataFrame, cams: DataFrame, by: Sequence[str] = ("sc
     med = materialize(quantiles(both, by, list(XYZ), [0.5]).select(
         *by, *[F.col(f"{a}_q")[0].alias("m" + a) for a in XYZ]), "median")
     dist = both.join(med, by).select(*by, L.norm([F.col(a) - F.col("m" + a) for a in XYZ]).alias("d"))
-    q = quantiles(dist, by, ["d"], [pct / 100.0])
+    q = quantiles(dist, by, ["d"], [pct / 100.0], derived=True)
     return med.join(q, by).select(
         *by, "mx", "my", "mz", F.greatest(F.col("d_q")[0], F.lit(ROBUST_MIN_SCALE)).alias("scale"))

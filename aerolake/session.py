@@ -46,7 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/aerolake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/aerolake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application wrote to the shared folder; call it when no result of theirs is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/aerolake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
