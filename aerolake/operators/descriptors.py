@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
 from aerolake.functions.ranking import grouped_rank
-from aerolake.operators.projection import project, projection_rows
+from aerolake.operators.projection import project, projection_columns
 from aerolake.session import materialize
 
 _OUT = "scene long, view_i int, view_j int, id_i long, id_j long, dist double"
@@ -70,10 +70,10 @@ def reprojection_filter(matches: DataFrame, keypoints: DataFrame, cams: DataFram
     """
     k = keypoints.select("scene", F.col("view").alias("view_i"), F.col("id").alias("id_i"), F.col("u").alias("ui"), F.col("v").alias("vi"), "px", "py", "pz")
     o = keypoints.select("scene", F.col("view").alias("view_j"), F.col("id").alias("id_j"), F.col("u").alias("uj"), F.col("v").alias("vj"))
-    c = cams.select("scene", "view", projection_rows("t_c2w", "k").alias("P"))
     j = matches.join(k, ["scene", "view_i", "id_i"]).join(o, ["scene", "view_j", "id_j"])
     for s in ("i", "j"):
-        j = j.join(c.withColumnsRenamed({"view": "view_" + s, "P": "P" + s}), ["scene", "view_" + s])
+        rows = [c.alias(n) for n, c in projection_columns("t_c2w", "k", "P" + s).items()]
+        j = j.join(cams.select("scene", F.col("view").alias("view_" + s), *rows), ["scene", "view_" + s])
     p = L.vec("px", "py", "pz")
     for s in ("i", "j"):
         u, v, z = project(p, "P" + s)

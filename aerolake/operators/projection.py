@@ -46,16 +46,20 @@ def unproject(pixels: DataFrame, cams: DataFrame, key: Sequence[str] = ("scene",
     return j.withColumns(dict(zip(("px", "py", "pz"), world))).select(*pixels.columns, "px", "py", "pz")
 
 
-def projection_rows(pose: str | Column, k: str | Column) -> Column:
-    """Flat 3x4 projection of a camera: rows of fx*u, fy*v and depth over the world point. Computed once per camera."""
+def projection_columns(pose: str | Column, k: str | Column, prefix: str = "__P") -> dict[str, Column]:
+    """The 3x4 projection of a camera as twelve columns, computed once per camera.
+
+    Plain columns keep the join condition small; twelve array reads per use would make it too large to be compiled.
+    """
     a, rt, t = L.col(k), L.transpose(L.rot_of(pose)), L.trans_of(pose)
     rows = [[a[0] * rt[0][i] + a[2] * rt[2][i] for i in range(3)], [a[4] * rt[1][i] + a[5] * rt[2][i] for i in range(3)], rt[2]]
-    return F.array(*[c for r in rows for c in (*r, -L.dot(r, t))])
+    flat = [c for r in rows for c in (*r, -L.dot(r, t))]
+    return {f"{prefix}{i}": c for i, c in enumerate(flat)}
 
 
-def project(p: Sequence[Column], rows: str | Column) -> tuple[Column, Column, Column]:
-    """(u, v, z) of a world point under ``projection_rows``."""
-    m = L.col(rows)
+def project(p: Sequence[Column], prefix: str = "__P") -> tuple[Column, Column, Column]:
+    """(u, v, z) of a world point under ``projection_columns``."""
+    m = [F.col(f"{prefix}{i}") for i in range(12)]
     row = lambda i: m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3]
     z = row(2)
     return row(0) / z, row(1) / z, z
@@ -93,9 +97,10 @@ def _pyramid_box(cams: DataFrame, bounds: DataFrame, by: Sequence[str], width: f
     pick = lambda f, c: f(F.transform("__s", lambda s: s[c]))
     box = {"__x0": F.greatest(pick(F.array_min, "x0"), F.col("__lox")), "__x1": F.least(pick(F.array_max, "x1"), F.col("__hix")),
            "__y0": F.greatest(pick(F.array_min, "y0"), F.col("__loy")), "__y1": F.least(pick(F.array_max, "y1"), F.col("__hiy"))}
-    j = j.withColumns({**box, "__hit": F.size("__s") > 0, "__P": projection_rows("t_c2w", "k")})
+    proj = projection_columns("t_c2w", "k")
+    j = j.withColumns({**box, "__hit": F.size("__s") > 0, **proj})
     # written out before the filter: a filter pushed below the projection would evaluate the boxes again
-    j = materialize(j.drop("t_c2w", "k").select(*[c for c in cams.columns if c not in ("t_c2w", "k")], "__hit", *box, "__P"), "pyramids")
+    j = materialize(j.drop("t_c2w", "k").select(*[c for c in cams.columns if c not in ("t_c2w", "k")], "__hit", *box, *proj), "pyramids")
     return j.where("__hit AND __x0 <= __x1 AND __y0 <= __y1").drop("__hit")
 
 
@@ -135,7 +140,7 @@ def project_join(points: DataFrame, cams: DataFrame, width: float, height: float
     cells, size = box_cells(boxes, by)
     p = point_cells(points.select(*by, "point_id", "x", "y", "z", *keep), size, by).withColumnsRenamed({"x": "__x", "y": "__y", "z": "__z"})
     j = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), [*by, "__cx", "__cy"])
-    u, v, z = project(L.vec("__x", "__y", "__z"), "__P")
+    u, v, z = project(L.vec("__x", "__y", "__z"))
     out = j.select(*by, view, "point_id", u.alias("u"), v.alias("v"), z.alias("z"), *keep)
     return out.where((F.col("z") > 0) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
 
@@ -177,9 +182,9 @@ def multiview_confidence(pixels: DataFrame, cams: DataFrame, pairs: DataFrame, w
     depth is read at the nearest pixel, missing depth reads as 0.
     """
     px = unproject(pixels, cams, [view], depth=depth).select(view, "y", "x", "px", "py", "pz")
-    other = cams.select(F.col(view).alias("other"), projection_rows("t_c2w", "k").alias("__P"))
+    other = cams.select(F.col(view).alias("other"), *[c.alias(n) for n, c in projection_columns("t_c2w", "k").items()])
     j = px.join(pairs.select(view, "other"), view).join(other, "other")
-    u, v, z = project(L.vec("px", "py", "pz"), "__P")
+    u, v, z = project(L.vec("px", "py", "pz"))
     j = j.select(view, "other", "y", "x", u.alias("u"), v.alias("v"), z.alias("zz"))
     j = j.where((F.col("zz") > MIN_TARGET_DEPTH) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     j = j.withColumns({"tx": F.least(F.rint("u"), F.lit(width - 1.0)).cast("int"), "ty": F.least(F.rint("v"), F.lit(height - 1.0)).cast("int")})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from aerolake.functions import linalg as L
 from aerolake.functions import text as X
 from aerolake.functions.ranking import grouped_rank
+from aerolake.session import materialize
 
 # fixed values: folder names, file types and result paths
 FOLDERS = ("images", "cams", "depth")
@@ -92,7 +93,8 @@ def parse_cameras(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = f.withColumn("hwf", F.when(F.col("hd") >= 0, F.get(nums, F.lit(0))))
     reason = (F.when((F.col("e") < 0) | (F.col("i") < 0), "missing_section").when(F.col("w2c").isNull(), "bad_extrinsic")
               .when(F.col("k").isNull(), "bad_intrinsic"))
-    f = f.withColumn("reason", reason)
+    # parsed once for both results; a filter on the live plan would be pushed down and parse the text again
+    f = materialize(f.withColumn("reason", reason).drop("ls"), "cameras")
     cams = f.where("reason IS NULL").select(
         "scene", "stem", "k", F.col("w2c").alias("t_w2c"), affine_inverse("w2c").alias("t_c2w"),
         F.rint(F.get("hwf", F.lit(0))).cast("int").alias("height"), F.rint(F.get("hwf", F.lit(1))).cast("int").alias("width"), F.get("hwf", F.lit(2)).alias("fov"))
