@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import mixing, sharding
+from aerolake.llm import bpe, mixing, quality, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log importance, draw, rank and decision of every document; target text is what `labels` calls good."""
+    return quality.select_top(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
+
+
 @query("op4_mixing", r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     md5(CAST(doc_id AS VARCHAR) || ':17') AS k FROM documents),
@@ -62,3 +68,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, digest of the ids and digest of the decoded text of every document."""
+    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
