@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, mixing, quality, sharding
+from aerolake.llm import bpe, linededup, mixing, quality, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,23 @@ def vocabulary() -> str:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
     return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query("op7_line_dedup", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS words FROM l),
+d AS (SELECT words, min({'d': doc_id, 'l': line_no}) AS first, len(words) AS n FROM w WHERE len(words) > 0 GROUP BY words),
+v AS (SELECT words, first, n, j, array_to_string(words[1:j - 1] || words[j + 1:], ' ') AS v
+  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM d WHERE n >= 8)),
+p AS (
+  SELECT v.words, g.first FROM v JOIN (SELECT v, j, n, min(first) AS first FROM v GROUP BY v, j, n HAVING count(*) > 1) g USING (v, j, n)
+  UNION ALL SELECT v.words, d.first FROM v JOIN d ON array_to_string(d.words, ' ') = v.v AND d.n = v.n - 1 AND d.n >= 8
+  UNION ALL SELECT d.words, v.first FROM v JOIN d ON array_to_string(d.words, ' ') = v.v AND d.n = v.n - 1 AND d.n >= 8),
+k AS (SELECT d.words, d.n, coalesce(min(p.first) FILTER (p.first < d.first), d.first) AS keep, d.first
+  FROM d LEFT JOIN p ON d.words = p.words GROUP BY d.words, d.n, d.first)
+SELECT w.doc_id, w.line_no, CAST(k.n AS INT) AS n_words, k.keep = {'d': w.doc_id, 'l': w.line_no} AS kept,
+  k.keep.d AS keep_doc_id, k.keep.l AS keep_line_no FROM w JOIN k ON w.words = k.words""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of `documents`: kept or not, and where the line is that stands for it."""
+    return linededup.dedup_lines(read(spark, sf_dir, "documents"))
