@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, linededup, mixing, quality, sharding
+from aerolake.llm import bpe, hyperminhash, linededup, mixing, quality, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ SELECT w.doc_id, w.line_no, CAST(k.n AS INT) AS n_words, k.keep = {'d': w.doc_id
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of `documents`: kept or not, and where the line is that stands for it."""
     return linededup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+@query("op2_near_dedup")
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and decision of every document, shingles of five words, similarity 0.75."""
+    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
