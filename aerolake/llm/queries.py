@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, hyperminhash, linededup, mixing, quality, sharding
+from aerolake.llm import bpe, chat, hyperminhash, licenses, linededup, mixing, quality, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and decision of every document, shingles of five words, similarity 0.75."""
     return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op1_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '(\\|\[/?INST\]|</?s>|<</?SYS>>|</?role>|</?turn>)', '\\\1', 'g') AS esc,
+    regexp_replace(role, '(\\|\[/?INST\]|</?s>|<</?SYS>>|</?role>|</?turn>)', '\\\1', 'g') AS esc_role FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, md5(text))) AS loss_sha256,
+  CAST(sum(length(esc) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 26 + length(esc_role) END) AS BIGINT)
+    AS formatted_chars FROM e GROUP BY conv_id""")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted conversations; every turn goes through the log as a start and its deltas."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    own = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
+    return chat.digests(chat.format_log(chat.events_of_turns(turns.unionByName(own))))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document and where it comes from; documents lie in folders source/lang/thousand of ids."""
+    docs = read(spark, sf_dir, "documents")
+    folder = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string")]
+    path = F.concat_ws("/", *folder, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
