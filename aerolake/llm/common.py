@@ -24,3 +24,10 @@ def shuffle_key(doc_id: str | Column, seed: int) -> Column:
     """Seeded pseudo-random order key: MD5 of the id and the seed, so neither partitioning nor engine matters."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.md5(F.concat_ws(":", c.cast("string"), F.lit(str(seed))))
+
+
+def usable_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector has a direction: not NULL, not empty, not all zero, and every component a finite number."""
+    inf = float("inf")
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
+    return rows.where(F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0))
