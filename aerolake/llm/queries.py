@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mixing, quality, sharding
+from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,8 +138,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_embedding_dedup", """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
-    AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
@@ -149,3 +149,10 @@ SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) A
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and decision of every vector: equal label, cosine from 0.93 on."""
     return covertree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every vector whose id is divisible by 50, among all others."""
+    rows = read(spark, sf_dir, "embeddings")
+    return mih.nearest(rows, rows.where("vec_id % 50 = 0"))
