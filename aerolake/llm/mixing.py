@@ -65,7 +65,7 @@ def plan_mix(
     size = word_count("text") if size is None else size
     rows = materialize(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     budget = F.round("target").cast("long") - whole * F.col("source_size")
     targets = materialize(targets.withColumns({"whole": whole, "__budget": budget}), "mix-targets")
     t = targets.withColumnRenamed("source", "__source")
