@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from aerolake.session import materialize
 
 _POS_BITS = 33
-GROUP_LIMIT_KEY = "spark.aerolake.groupRowLimit"
-GROUP_LIMIT_DEFAULT = 2_000_000
-
-
-def group_limit(df: DataFrame) -> int:
-    """Rows of one group that a single task may hold."""
-    return int(df.sparkSession.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT_DEFAULT)))
 
 
 def grouped_rank(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], out: str = "rank") -> DataFrame:
@@ -31,30 +24,25 @@ def grouped_rank(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     return (
-        placed.join(pieces, ["__part", *by])
+        _with_pieces(placed, pieces, by)
         .withColumn(out, F.col("__before") + F.col("__pos") - F.col("__lo"))
         .drop("__part", "__pos", "__lo", "__before")
     )
 
 
 def cap_per_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int | Column, salts: int = 16,
-    rank: str | None = None,
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int | Column, rank: str | None = None,
 ) -> DataFrame:
-    """First ``n`` rows of each group by ascending ``order`` (negate a key to sort it down).
+    """First ``n`` rows of each group by ascending ``order`` (negate a key to sort it down); ``rank`` names their place, from 1.
 
-    A salted pre-cap runs first, so the last window of a group sees at most ``salts * n`` rows.
+    Rows are ranked in range-placed pieces, so neither a large group nor a large ``n`` ends up in one task.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     names = [f"__o{i}" for i in range(len(keys))]
     out = df.select("*", *[k.alias(a) for k, a in zip(keys, names)])
-    out = out.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
-    pre = Window.partitionBy(*by, "__salt").orderBy(*names)
-    last = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(*names)
     rk = rank or "__rank"
-    out = out.withColumn(rk, F.row_number().over(pre)).where(F.col(rk) <= n)
-    out = out.withColumn(rk, F.row_number().over(last)).where(F.col(rk) <= n)
-    return out.drop("__salt", *names, *([] if rank else [rk]))
+    out = grouped_rank(out, by, names, rk).withColumn(rk, (F.col(rk) + 1).cast("int")).where(F.col(rk) <= n)
+    return out.drop(*names, *([] if rank else [rk]))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,68 +64,44 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one ``<col>_q`` array per column, plus ``n``.
 
-    NULLs are ignored. Groups up to the row limit use the built-in ``percentile``. Larger ones are ranked by a
-    range shuffle and only the rows at the needed positions are read. ``bounded`` states that a group cannot
-    outgrow one task (the pixels of one image, say) and skips the size check. ``derived`` states that ``df`` comes from
-    joins; it is written out once, so that the check does not run them again. ``extra`` are further aliased aggregates
-    of the same groups.
+    NULLs are ignored. Values are counted first, so repeated ones collapse before the shuffle; the distinct values of a
+    group are range-placed, and running counts tell which of them hold the wanted positions. No group is in one task.
+    ``bounded`` states that a group cannot outgrow one task (the pixels of one image, say) and uses ``percentile``.
+    ``derived`` states that ``df`` comes from joins; it is written out once, so that they do not run twice. ``extra`` are
+    further aliased aggregates of the same groups.
     """
-    by = list(by)
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.percentile(F.col(c).cast("double"), arr).alias(f"{c}_q") for c in cols]
-
-    def small(part: DataFrame) -> DataFrame:
-        return part.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *extra, *aggs)
-
+    by, probs = list(by), [float(p) for p in probs]
     if bounded:
-        return small(df)
+        aggs = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs))).alias(f"{c}_q") for c in cols]
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *extra, *aggs)
     if derived:
         df = materialize(df, "values")
-    limit = group_limit(df)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    if (sizes.agg(F.max("__n")).first()[0] or 0) <= limit:
-        return small(df)
-    hot_keys = sizes.where(F.col("__n") > limit)
-    if by:
-        # fewer than rows/limit groups are hot, so this side is small by construction
-        hot = df.join(F.broadcast(hot_keys.drop("__n")), by, "left_semi")
-        cold = small(df.join(F.broadcast(hot_keys.drop("__n")), by, "left_anti"))
-    else:
-        hot, cold = df, None
-    long = hot.select(
-        *by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
-    ).select(*by, F.col("s.c").alias("__c"), F.col("s.v").alias("__v"))
-    ranked = grouped_rank(long.where(F.col("__v").isNotNull()), [*by, "__c"], ["__v"], "__r")
-    counts = ranked.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__n"))
-    need = counts.select(
-        *by, "__c", F.posexplode(arr).alias("__i", "__p"), "__n"
-    ).withColumn("__at", F.col("__p") * (F.col("__n") - 1))
-    need = need.select(
-        *by, "__c", "__i", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__r")
-    )
-    picked = ranked.join(F.broadcast(need), [*by, "__c", "__r"]).groupBy(*by, "__c", "__i").agg(
-        (F.min("__v") + (F.max("__v") - F.min("__v")) * F.first(F.col("__at") - F.floor("__at"))).alias("__q")
-    )
-    arrays = picked.groupBy(*by, "__c").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"]).alias("__q")
-    )
-    wide = arrays.groupBy(*by).agg(
-        *[F.first(F.when(F.col("__c") == c, F.col("__q")), ignorenulls=True).alias(f"{c}_q") for c in cols]
-    )
-    total = hot.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *extra)
-    wide = total.join(wide, by, "left") if by else total.withColumn("__j", F.lit(0)).join(wide.withColumn("__j", F.lit(0)), "__j", "left")
-    wide = wide.select(*total.columns, *[f"{c}_q" for c in cols])
-    return wide if cold is None else cold.unionByName(wide)
-
-
-def fits_broadcast(df: DataFrame, rows: int = 200_000) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def hint_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only behind a row check; otherwise the planner's shuffle join is left alone."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+    entry = lambda c: F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+    long = df.select(*by, F.explode(F.array(*map(entry, cols))).alias("s")).select(*by, F.col("s.c").alias("__c"), F.col("s.v").alias("__v"))
+    key = [*by, "__c"]
+    counts = long.where(F.col("__v").isNotNull()).groupBy(*key, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = _placed(counts, key, ["__v"], "value-counts")
+    pieces = placed.groupBy("__part", *key).agg(F.sum("__n").alias("__s"))
+    group = Window.partitionBy(*key)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumns({"__b": F.coalesce(F.sum("__s").over(before), F.lit(0)), "__t": F.sum("__s").over(group)}).drop("__s")
+    inner = Window.partitionBy("__part", *key).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _with_pieces(placed.withColumn("__end", F.sum("__n").over(inner)), pieces, key).withColumn("__end", F.col("__b") + F.col("__end"))
+    at = lambda p: F.lit(p) * (F.col("__t") - 1)
+    wanted = [F.struct(F.lit(i).alias("i"), (at(p) - F.floor(at(p))).alias("f"), side(at(p)).alias("k"))
+              for i, p in enumerate(probs) for side in (F.floor, F.ceil)]
+    inside = lambda w: (w["k"] >= F.col("__end") - F.col("__n")) & (w["k"] < F.col("__end"))
+    picked = rows.select(*key, "__v", F.explode(F.filter(F.array(*wanted), inside)).alias("w"))
+    picked = picked.groupBy(*key, "w.i").agg((F.min("__v") + (F.max("__v") - F.min("__v")) * F.first("w.f")).alias("__q"))
+    arrays = picked.groupBy(*by).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("__c") == c, F.struct("i", "__q")))), lambda s: s["__q"]).alias(f"{c}_q")
+        for c in cols])
+    arrays = arrays.select(*[F.col(c).alias(f"__of_{c}") for c in by], *[F.when(F.size(f"{c}_q") > 0, F.col(f"{c}_q")).alias(f"{c}_q") for c in cols])
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *extra)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return total.join(arrays, same, "left").select(*total.columns, *[f"{c}_q" for c in cols])
 
 
 def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
@@ -147,6 +111,15 @@ def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], nam
     return materialize(out, name).withColumn("__part", F.shiftright("__pos", _POS_BITS))
 
 
+def _with_pieces(placed: DataFrame, pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their (partition, group) piece; NULL is a group of its own."""
+    p = pieces.withColumnsRenamed({c: f"__of_{c}" for c in ["__part", *by]})
+    same = F.col("__part") == F.col("__of___part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(p, same).drop("__of___part", *[f"__of_{c}" for c in by])
+
+
 def grouped_running_sum(
     df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str, out: str
 ) -> DataFrame:
@@ -157,7 +130,7 @@ def grouped_running_sum(
     pieces = placed.groupBy("__part", *by).agg(F.sum(value).alias("__s"))
     pieces = pieces.withColumn("__b", F.coalesce(F.sum("__s").over(before(by or [F.lit(0)], "__part")), F.lit(0))).drop("__s")
     inner = F.coalesce(F.sum(value).over(before(["__part", *by], "__pos")), F.lit(0))
-    return placed.withColumn("__in", inner).join(pieces, ["__part", *by]).withColumn(
+    return _with_pieces(placed.withColumn("__in", inner), pieces, by).withColumn(
         out, F.col("__b") + F.col("__in")).drop("__part", "__pos", "__b", "__in")
 
 
@@ -184,6 +157,6 @@ def surrounding(
         prev: F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)),
         nxt: F.first(value, ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing)),
     })
-    return near.join(pieces, ["__part", *by]).withColumns({
+    return _with_pieces(near, pieces, by).withColumns({
         prev: F.coalesce(F.col(prev), F.col("__prev")), nxt: F.coalesce(F.col(nxt), F.col("__next")),
     }).drop("__part", "__pos", "__prev", "__next")

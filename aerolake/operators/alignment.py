@@ -172,7 +172,7 @@ def baseline_pairs(n: DataFrame, by: Sequence[str], max_pairs: int, seed: int) -
 
 
 def fit_scale(
-    corr: DataFrame, by: Sequence[str], order: Sequence[str], max_pairs: int = 20000, seed: int = 0
+    corr: DataFrame, by: Sequence[str], order: Sequence[str], max_pairs: int, seed: int = 0
 ) -> DataFrame:
     """Median ratio of destination to source baselines over seeded pairs: (by, n, scale, num_pairs, scale_valid)."""
     by = list(by)
@@ -196,11 +196,12 @@ def fit_scale(
 
 
 def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: str, order: Sequence[str],
-                 seed: int = 0) -> DataFrame:
+                 max_pairs: int = 0, seed: int = 0) -> DataFrame:
     """Per-group pose alignment in one of ``POSE_MODES``, with the fallback ladder for few matches.
 
     ``corr`` holds predicted (source) and reference (destination) camera centres, ``groups`` every group, also
-    those without a match. One match gives a translation only; no usable baseline gives scale 1; no match gives
+    those without a match. ``max_pairs`` is the size of the seeded sample of baselines, needed by the modes with scale other
+    than sim3. One match gives a translation only; no usable baseline gives scale 1; no match gives
     an invalid identity.
     """
     if mode not in POSE_MODES:
@@ -222,7 +223,9 @@ def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: st
     else:
         tf = corr.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
         if wants_scale:
-            sc = fit_scale(corr, by, order, seed=seed).drop("n")
+            if max_pairs <= 0:
+                raise ValueError("modes with scale sample baselines: give max_pairs")
+            sc = fit_scale(corr, by, order, max_pairs, seed).drop("n")
             tf = tf.join(sc, by, "left")
         else:
             tf = tf.withColumns({"scale": F.lit(1.0), "num_pairs": long0})
@@ -297,8 +300,8 @@ def fit_sim3_robust(
 
 
 def balance_correspondences(
-    corr: DataFrame, by: Sequence[str], order: Sequence[str], grid: int = 16, total: int = 50000,
-    min_cell: int = 64, max_cell: int = 0, seed: int = 0,
+    corr: DataFrame, by: Sequence[str], order: Sequence[str], total: int, grid: int = 16, min_cell: int = 64,
+    max_cell: int = 0, seed: int = 0,
 ) -> DataFrame:
     """Cap correspondences per cell of a midpoint grid, chosen by seeded hash; adds the cell id ``cell``.
 

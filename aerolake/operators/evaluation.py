@@ -313,19 +313,24 @@ def trimmed_mean(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str
 
 
 def fit_depth_scale(pixels: DataFrame, by: Sequence[str], view: Sequence[str], order: Sequence[str], pred: str = "z",
-                    gt: str = "z_gt", mask: str = "valid", max_total: int = 200000, seed: int = 0) -> DataFrame:
-    """One scale per set: median of gt / pred over valid pixels, each view capped in proportion to its share."""
+                    gt: str = "z_gt", mask: str = "valid", max_total: int = 0, seed: int = 0) -> DataFrame:
+    """One scale per set: median of gt / pred over valid pixels; ``max_total`` > 0 caps each view in proportion to its share."""
     by, key = list(by), list(dict.fromkeys([*by, *view]))
     p, g = F.col(pred), F.col(gt)
     masked = pixels.where(F.col(mask))
     total = masked.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     ok = masked.where(L.finite(p) & L.finite(g) & (g > DEPTH_EPS) & (p > DEPTH_EPS))
-    # the rank runs inside one view, whose size is that of one image
-    w = Window.partitionBy(*key).orderBy(L.uniform(seed, *key, *order), *order)
-    ok = ok.withColumns({"rk": F.row_number().over(w), "nv": F.count(F.lit(1)).over(Window.partitionBy(*key))}).join(total, by)
-    cap = F.greatest(F.lit(1), F.floor(F.lit(max_total) * F.col("nv") / F.col("total")))
-    ratios = ok.where(F.col("rk") <= cap).select(*by, (g / p).alias("ratio"))
-    q = quantiles(ratios, by, ["ratio"], [0.5], derived=True)
+    if max_total > 0:
+        ok = _capped_views(ok.join(total, by), key, order, max_total, seed)
+    q = quantiles(ok.select(*by, (g / p).alias("ratio")), by, ["ratio"], [0.5], derived=True)
     return total.join(q, by, "left").select(
         *by, F.coalesce("n", F.lit(0).cast("long")).alias("num_ratios"),
         F.when(F.col("ratio_q")[0] > 0, F.col("ratio_q")[0]).otherwise(1.0).alias("depth_scale"))
+
+
+def _capped_views(ok: DataFrame, key: Sequence[str], order: Sequence[str], max_total: int, seed: int) -> DataFrame:
+    # the rank runs inside one view, whose size is that of one image
+    w = Window.partitionBy(*key).orderBy(L.uniform(seed, *key, *order), *order)
+    ok = ok.withColumns({"rk": F.row_number().over(w), "nv": F.count(F.lit(1)).over(Window.partitionBy(*key))})
+    cap = F.greatest(F.lit(1), F.floor(F.lit(max_total) * F.col("nv") / F.col("total")))
+    return ok.where(F.col("rk") <= cap)

@@ -92,12 +92,17 @@ def _merge(points: DataFrame, shapes: DataFrame, members: DataFrame, tf: DataFra
 
 
 def align_hierarchy(chunks: DataFrame, members: DataFrame, points: DataFrame, mode: str = "yaw_translation", min_corr: int = 512,
-                    cap_view: int = 0, cap_total: int = 50000, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+                    cap_view: int = 0, cap_total: int = 0, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Bottom-up merge along the chunk keys of ``chunks(scene, chunk_id, key ARRAY<INT>)``: (transforms, edges).
 
     Nodes with the same parent key form a group; its largest node, then lowest key, is the anchor. The other nodes are
-    fitted to it one after another and join it even when the fit fails. All parents of all scenes run together.
+    fitted to it one after another and join it even when the fit fails. All parents of all scenes run together. Chunks
+    with one key are fitted to each other as well: the key of each is extended by its place among them.
     """
+    same = Window.partitionBy("scene", "key")
+    # chunks of one leaf of the tree
+    chunks = chunks.select(*CHUNK, "key", (F.row_number().over(same.orderBy("chunk_id")) - 1).alias("__k"), F.count(F.lit(1)).over(same).alias("__n"))
+    chunks = chunks.select(*CHUNK, F.when(F.col("__n") > 1, F.concat("key", F.array("__k"))).otherwise(F.col("key")).alias("key"))
     shapes = materialize(grid_shapes(points), "shapes")
     tf = materialize(identity_transforms(chunks), "transforms")
     nodes = materialize(chunks.select(*CHUNK, "key"), "nodes")
@@ -123,7 +128,7 @@ def align_hierarchy(chunks: DataFrame, members: DataFrame, points: DataFrame, mo
 
 
 def align_parent_graph(chunks: DataFrame, members: DataFrame, points: DataFrame, mode: str = "yaw_translation", min_corr: int = 512,
-                       cap_view: int = 0, cap_total: int = 50000, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+                       cap_view: int = 0, cap_total: int = 0, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Merge along ``chunks(scene, chunk_id, parent_id, level)``: deepest level first, each chunk with all that joined it
     is fitted to its parent's group. Children of one parent follow their id. Returns (transforms, edges)."""
     shapes = materialize(grid_shapes(points), "shapes")
@@ -153,14 +158,16 @@ def _union(logs: list[DataFrame], tf: DataFrame) -> DataFrame | None:
     return out
 
 
-def align_global(transforms: DataFrame, cams: DataFrame, ref: DataFrame, mode: str, order: Sequence[str] = ("chunk_id",)) -> tuple[DataFrame, DataFrame]:
+def align_global(transforms: DataFrame, cams: DataFrame, ref: DataFrame, mode: str, order: Sequence[str] = ("chunk_id",),
+                 max_pairs: int = 0) -> tuple[DataFrame, DataFrame]:
     """One fit per scene of all aligned cameras to the reference poses, composed on every chunk: (transforms, fit).
 
-    ``cams(scene, chunk_id, stem, t_c2w)`` are the raw predictions; the first camera per stem counts.
+    ``cams(scene, chunk_id, stem, t_c2w)`` are the raw predictions; the first camera per stem counts. ``max_pairs`` as in
+    ``align_chunks``.
     """
     moved = apply_sim3_poses(cams, transforms, CHUNK)
     m = match_cameras(moved, ref, order)
-    fit = align_chunks(centre_correspondences(m, "scene", "stem"), transforms, ["scene"], mode, ["stem"])
+    fit = align_chunks(centre_correspondences(m, "scene", "stem"), transforms, ["scene"], mode, ["stem"], max_pairs)
     fit = materialize(fit, "gauge")
     j = transforms.join(fit.select("scene", F.col("s").alias("s2"), F.col("r").alias("r2"), F.col("t").alias("t2")), "scene")
     s, r, t = compose_columns((F.col("s"), F.col("r"), F.col("t")), (F.col("s2"), F.col("r2"), F.col("t2")))
@@ -206,24 +213,30 @@ def icp(src: DataFrame, dst: DataFrame, by: Sequence[str] = ("scene",), iteratio
     return total
 
 
-def seam_error(members: DataFrame, points: DataFrame, edges: DataFrame, transforms: DataFrame, cap: int = 20000, seed: int = 0) -> DataFrame:
+def seam_error(members: DataFrame, points: DataFrame, edges: DataFrame, transforms: DataFrame, cap: int = 0, seed: int = 0) -> DataFrame:
     """Per edge (scene, chunk_a, chunk_b): shared views, points, and symmetric median nearest distance and height gap.
 
-    Both sides take their points of the shared views in aligned coordinates, capped per side.
+    Both sides take their finite points of the shared views in aligned coordinates. ``cap`` > 0 bounds a side: each view
+    keeps up to ceil(cap / shared views) points, then the side up to ``cap``, of lowest seeded hash.
     """
     e = edges.select("scene", "chunk_a", "chunk_b").distinct()
     m = members.select(*CHUNK, "frame").distinct()
     shared = e.join(m.withColumnRenamed("chunk_id", "chunk_a"), ["scene", "chunk_a"]).join(
         m.withColumnRenamed("chunk_id", "chunk_b"), ["scene", "chunk_b", "frame"])
     shared = materialize(shared, "shared")
-    ok = points.where("valid").select(*CHUNK, "frame", "y", "x", *PT)
+    ok = points.where("valid").select(*CHUNK, "frame", "y", "x", *PT).where(L.finite("px") & L.finite("py") & L.finite("pz"))
     by = ["scene", "chunk_a", "chunk_b"]
+    views = materialize(shared.groupBy(*by).agg(F.count(F.lit(1)).alias("num_shared_views")), "seam-views")
 
     def side(name: str) -> DataFrame:
         p = ok.join(shared.withColumn("chunk_id", F.col(name)), [*CHUNK, "frame"])
         p = apply_sim3_points(p, transforms, CHUNK, PT).withColumnsRenamed(dict(zip(("y", "x"), ("row", "col"))))
         p = p.withColumnsRenamed(dict(zip(PT, "xyz"))).withColumn("pid", F.struct("frame", "row", "col"))
-        return materialize(cap_per_group(p, by, [L.uniform(seed, *by, "chunk_id", "frame", "row", "col"), "pid"], cap).select(*by, "pid", "x", "y", "z"), "seam-side")
+        if cap > 0:
+            order = [L.uniform(seed, *by, "chunk_id", "frame", "row", "col"), "pid"]
+            p = cap_per_group(p.join(views, by), [*by, "frame"], order, F.ceil(F.lit(cap) / F.col("num_shared_views")))
+            p = cap_per_group(p, by, order, cap)
+        return materialize(p.select(*by, "pid", "x", "y", "z"), "seam-side")
 
     a, b = side("chunk_a"), side("chunk_b")
 
@@ -234,7 +247,6 @@ def seam_error(members: DataFrame, points: DataFrame, edges: DataFrame, transfor
         q = quantiles(nn.select(*by, "dist", F.abs(F.col("zs") - F.col("zd")).alias("dz")), by, ["dist", "dz"], [0.5], derived=True)
         return q.select(*by, F.col("n").alias("num_" + tag), F.col("dist_q")[0].alias("nn_" + tag), F.col("dz_q")[0].alias("z_" + tag))
 
-    views = shared.groupBy(*by).agg(F.count(F.lit(1)).alias("num_shared_views"))
     out = e.join(views, by, "left").join(directed(a, b, "a"), by, "left").join(directed(b, a, "b"), by, "left")
     return out.select(
         *by, F.coalesce("num_shared_views", F.lit(0).cast("long")).alias("num_shared_views"), "num_a", "num_b", "nn_a", "nn_b",

@@ -65,7 +65,6 @@ VIEWS: dict[str, str] = {
 }
 
 _REF = re.compile(r"\{(\w+)\}")
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def _dialect(sql: str, spark: bool) -> str:
@@ -103,17 +102,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FRAMES:
-        events = table(spark, sf_dir, "events").select(
-            F.col("user_id").alias("scene"), "event_id", "ts", "value", "event_type"
-        )
-        ranked = grouped_rank(events, ["scene"], ["ts", "event_id"], "frame")
-        _FRAMES[key] = ranked.select(
-            "scene", "event_id", F.col("frame").cast("int").alias("frame"),
-            (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "value", "event_type",
-        )
-    return _FRAMES[key]
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("scene"), "event_id", "ts", "value", "event_type")
+    ranked = grouped_rank(events, ["scene"], ["ts", "event_id"], "frame")
+    return ranked.select(
+        "scene", "event_id", F.col("frame").cast("int").alias("frame"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "value", "event_type")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

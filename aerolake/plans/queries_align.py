@@ -88,12 +88,12 @@ sca AS (SELECT scene, median(dd / ds) AS scale, count(*) AS num_pairs FROM rat W
 SELECT c.scene, c.n, round(coalesce(scale, 1.0), 6) AS scale, coalesce(num_pairs, 0) AS num_pairs, scale IS NOT NULL AS scale_valid
 FROM cnt c LEFT JOIN sca USING (scene)""")
 def e4(spark, d):
-    return I.rounded(A.fit_scale(I.corr(spark, d), ["scene"], ["frame"]))
+    return I.rounded(A.fit_scale(I.corr(spark, d), ["scene"], ["frame"], max_pairs=20000))
 
 
 def _align(spark, d, mode):
     corr = I.corr(spark, d)
-    out = A.align_chunks(corr, view(spark, d, "fx_frames"), ["scene"], mode, ["frame"])
+    out = A.align_chunks(corr, view(spark, d, "fx_frames"), ["scene"], mode, ["frame"], max_pairs=20000)
     keep = ("scene", "valid", "num_corr", "num_scale_pairs", "yaw", "median_residual")
     return I.rounded(I.flat_tf(out, *keep).select(*keep, "s", "r00", "r10", "t0", "t1", "t2"))
 

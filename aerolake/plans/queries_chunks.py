@@ -33,9 +33,10 @@ def chunk_pixels(spark, d):
 
 
 def chunk_keys(spark, d):
-    """Chunks with the seven binary digits of their id as tree key."""
-    c = members(spark, d).select("scene", "chunk_id").distinct()
-    return c.withColumn("key", F.array(*[(F.shiftright("chunk_id", 6 - i) % 2).cast("int") for i in range(7)]))
+    """Chunks with the binary digits of their id as tree key, as many as the largest id has."""
+    c = materialize(members(spark, d).select("scene", "chunk_id").distinct(), "chunk-ids")
+    digits = max(1, (c.agg(F.max("chunk_id")).first()[0] or 0).bit_length())
+    return c.withColumn("key", F.array(*[(F.shiftright("chunk_id", digits - 1 - i) % 2).cast("int") for i in range(digits)]))
 
 
 @query("c11_shared_correspondences", f"""WITH {_CP},
@@ -125,11 +126,24 @@ sh AS (SELECT e.*, a.frame FROM e JOIN mem a ON a.chunk_id = chunk_a JOIN mem b
 SELECT *, round((nn_a + nn_b) / 2, 6) AS seam_error, round((z_a + z_b) / 2, 6) AS seam_error_z FROM v JOIN (SELECT * REPLACE (nn_a AS nn_a) FROM qa) USING (scene, chunk_a, chunk_b) JOIN qb USING (scene, chunk_a, chunk_b)""".replace(
     "SELECT *, round((nn_a", "SELECT scene, chunk_a, chunk_b, num_shared_views, num_a, num_b, round(nn_a, 6) AS nn_a, round(nn_b, 6) AS nn_b, round((nn_a"))
 def f10(spark, d):
+    return I.rounded(_seams(spark, d))
+
+
+def _seams(spark, d):
     m = members(spark, d)
     ch = m.select("scene", "chunk_id").distinct()
     nxt = ch.select("scene", (F.col("chunk_id") - 1).alias("chunk_id"), F.col("chunk_id").alias("chunk_b"))
     edges = ch.join(nxt, ["scene", "chunk_id"]).withColumnRenamed("chunk_id", "chunk_a")
-    return I.rounded(H.seam_error(m, chunk_pixels(spark, d), edges, H.identity_transforms(ch)))
+    return H.seam_error(m, chunk_pixels(spark, d), edges, H.identity_transforms(ch))
+
+
+@query("f10_seam_summary", f"""WITH {_CP}, e AS (SELECT DISTINCT a.scene, a.chunk_id AS chunk_a, a.chunk_id + 1 AS chunk_b FROM mem a JOIN mem b ON b.chunk_id = a.chunk_id + 1),
+sh AS (SELECT e.*, a.frame FROM e JOIN mem a ON a.chunk_id = chunk_a JOIN mem b ON b.chunk_id = chunk_b AND a.frame = b.frame),
+{_DIR('chunk_a', 'chunk_b', 'a')}, {_DIR('chunk_b', 'chunk_a', 'b')}
+SELECT e.scene, count(*) AS num_edges, count(nn_a + nn_b) AS num_valid_edges, round(avg((nn_a + nn_b) / 2), 6) AS seam_error, round(avg((z_a + z_b) / 2), 6) AS seam_error_z
+FROM e LEFT JOIN qa USING (scene, chunk_a, chunk_b) LEFT JOIN qb USING (scene, chunk_a, chunk_b) GROUP BY e.scene""")
+def f10_summary(spark, d):
+    return I.rounded(H.seam_summary(_seams(spark, d)))
 
 
 # --- rasters -------------------------------------------------------------------------------------------------------

@@ -41,10 +41,15 @@ def f2_rigid(spark, d):
     return I.rounded(E.trajectory_error(matched(spark, d), ["scene"], align="rigid"), 4)
 
 
+_EYE = "(SELECT DISTINCT scene, " + ", ".join(f"{float(i == j)}::DOUBLE AS r{i}{j}" for i in range(3) for j in range(3)) + " FROM corr)"
+
+
 @query("f2_trajectory_error_unaligned", f"""WITH {S.POSES}
-SELECT scene, 'ate' AS metric, {S.SUMMARY} FROM (SELECT scene, sqrt((sx-dx)^2 + (sy-dy)^2 + (sz-dz)^2) AS value FROM corr) GROUP BY scene""")
+SELECT scene, metric, {S.SUMMARY.replace(', 6)', ', 4)')} FROM (
+  SELECT scene, 'ate' AS metric, sqrt((sx-dx)^2 + (sy-dy)^2 + (sz-dz)^2) AS value FROM corr
+  UNION ALL SELECT c.scene, 'rot_deg', {S.rot_error()} FROM corr c JOIN {_EYE} USING (scene)) GROUP BY scene, metric""")
 def f2_none(spark, d):
-    return I.rounded(E.trajectory_error(matched(spark, d), ["scene"], align="none").where("metric = 'ate'"))
+    return I.rounded(E.trajectory_error(matched(spark, d), ["scene"], align="none"), 4)
 
 
 _REL = """
@@ -203,3 +208,10 @@ SELECT CAST(setid AS BIGINT) AS setid, count(*) AS num_ratios, round(median(z_gt
 def e12(spark, d):
     px = view(spark, d, "fx_pixels").withColumn("setid", F.floor(F.col("frame") / 8))
     return I.rounded(E.fit_depth_scale(px, ["setid"], ["frame"], ["y", "x"], max_total=600, seed=5))
+
+
+@query("e12_fit_depth_scale_all", """SELECT CAST(floor(frame / 8) AS BIGINT) AS setid, count(*) FILTER (z > 0 AND z_gt > 0) AS num_ratios,
+round(coalesce(median(z_gt / z) FILTER (z > 0 AND z_gt > 0), 1.0), 6) AS depth_scale FROM {fx_pixels} WHERE valid GROUP BY ALL""")
+def e12_all(spark, d):
+    px = view(spark, d, "fx_pixels").withColumn("setid", F.floor(F.col("frame") / 8))
+    return I.rounded(E.fit_depth_scale(px, ["setid"], ["frame"], ["y", "x"]))

@@ -236,9 +236,15 @@ def s3_stream(spark, d):
 
 
 @query("s4_stream_temporal_chunks", """WITH f AS (SELECT scene, event_id, frame AS pos, count(*) OVER (PARTITION BY scene) AS n FROM {fx_frames}),
-k AS (SELECT *, unnest(range(0, CASE WHEN n < 20 THEN 0 ELSE (n - 20) // 15 + 1 END)) AS k FROM f)
+k AS (SELECT *, unnest(range(0, CASE WHEN n <= 20 THEN 1 ELSE CAST(ceil((n - 20) / 15.0) AS BIGINT) + 1 END)) AS k FROM f)
 SELECT scene, k AS chunk_id, event_id AS frame, CASE WHEN k > 0 AND pos < k * 15 + 5 THEN 'overlap' ELSE 'core' END AS role FROM k WHERE pos >= k * 15 AND pos < k * 15 + 20""")
 def s4(spark, d):
-    e = _stream(spark, d, "events").select(F.col("user_id").alias("scene"), F.col("event_id").alias("frame"), F.col("ts").cast("timestamp").alias("ts"))
-    # no event is late enough to close a scene early; only full windows come out of one replay
-    return _drain(spark, SW.stream_temporal_chunks(e, 20, 0.25, idle_ms=4_000_000_000_000), "windows")
+    e = view(spark, d, "events").select(F.col("user_id").alias("scene"), F.col("event_id").alias("frame"), F.col("ts").cast("timestamp").alias("ts"))
+    # the replay ends with a mark of a scene of its own, ten years on: event time passes the idle limit of every scene, so
+    # the last short windows come out too
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 10 YEARS")).alias("ts")).select(
+        F.lit(None).cast(e.schema["scene"].dataType).alias("scene"), F.lit(-1).cast(e.schema["frame"].dataType).alias("frame"), "ts")
+    source = scratch_path(spark, "replay")
+    e.unionByName(end).write.parquet(source)
+    stream = spark.readStream.schema(e.schema).parquet(source)
+    return _drain(spark, SW.stream_temporal_chunks(stream, 20, 0.25), "windows").where("scene IS NOT NULL")

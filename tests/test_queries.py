@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from aerolake.plans import catalog
 from aerolake.plans.fixtures import TABLES
 from tests.conftest import SF
 
@@ -31,7 +32,8 @@ def rows(table):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == NO_SQL
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -25,19 +25,30 @@ def test_grouped_rank_matches_pandas(spark, skewed):
     assert len(m) == 4000 and (m.rk_x == m.rk_y).all()
 
 
-@pytest.mark.parametrize("limit", ["100", "1000000"])
-def test_quantiles_hot_group_path_is_exact(spark, skewed, limit):
-    spark.conf.set(R.GROUP_LIMIT_KEY, limit)
-    try:
-        df = spark.createDataFrame(skewed).withColumn("w", F.when(F.col("id") % 3 > 0, F.col("v") * 2))
-        got = R.quantiles(df, ["g"], ["v", "w"], [0.0, 0.25, 0.5, 0.98], extra=[F.max("v").alias("m")]).toPandas().set_index("g")
-    finally:
-        spark.conf.unset(R.GROUP_LIMIT_KEY)
+def test_quantiles_are_exact(spark, skewed):
+    df = spark.createDataFrame(skewed).withColumn("w", F.when((F.col("id") % 3 > 0) & (F.col("g") != 5), F.col("v") * 2))
+    df = df.unionAll(spark.createDataFrame([(None, 1.0, 9000, None), (None, 3.0, 9001, 4.0)], df.schema))
+    got = R.quantiles(df, ["g"], ["v", "w"], [0.0, 0.25, 0.5, 0.98], extra=[F.max("v").alias("m")]).toPandas()
+    none = got[got.g.isna()].iloc[0]
+    assert none.n == 2 and none.m == 3 and none.v_q[2] == 2 and list(none.w_q) == [4] * 4
+    got = got[got.g.notna()].set_index("g")
     for g, part in skewed.groupby("g"):
         assert got.loc[g, "n"] == len(part) and got.loc[g, "m"] == part.v.max()
         np.testing.assert_allclose(got.loc[g, "v_q"], np.quantile(part.v, [0, 0.25, 0.5, 0.98]), atol=1e-12)
         w = part.v[part.id % 3 > 0] * 2
-        np.testing.assert_allclose(got.loc[g, "w_q"], np.quantile(w, [0, 0.25, 0.5, 0.98]), atol=1e-12)
+        if g == 5:
+            assert got.loc[g, "w_q"] is None
+        else:
+            np.testing.assert_allclose(got.loc[g, "w_q"], np.quantile(w, [0, 0.25, 0.5, 0.98]), atol=1e-12)
+
+
+def test_quantiles_of_one_repeated_value_stay_spread(spark, monkeypatch):
+    placed, keep = [], R._placed
+    monkeypatch.setattr(R, "_placed", lambda *a: placed.append(keep(*a)) or placed[-1])
+    df = spark.range(40_000).select(F.lit(1).alias("g"), F.when(F.col("id") % 10 > 0, 0.0).otherwise(F.col("id")).alias("v"))
+    assert R.quantiles(df, ["g"], ["v"], [0.5, 1.0]).first().v_q == [0.0, 39_990.0]
+    sizes = [r["count"] for r in placed[0].groupBy("__part").count().collect()]
+    assert sum(sizes) == 4_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)  # distinct values, evenly placed
 
 
 def test_cap_keeps_lowest(spark, skewed):
