@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
-from aerolake.functions.ranking import grouped_rank
+from aerolake.functions.ranking import grouped_rank, grouped_running_sum
 from aerolake.session import materialize
 
 # fixed value: added to the epoch to seed a plan
 EPOCH_SEED = 777
-_BLOCK = 4096
 
 
 def _features(pools: Sequence[int], seed: int, *key: str) -> Column:
@@ -30,17 +29,6 @@ def _size_of(sizes: Mapping[int, int], feature: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), feature), F.lit(1))
 
 
-def _running_start(df: DataFrame, by: Sequence[str], index: str, size: str, out: str) -> DataFrame:
-    """Sum of the sizes of the earlier rows: blocks of rows first, then rows of a block, so no long window runs."""
-    df = df.withColumn("__blk", F.floor(F.col(index) / _BLOCK))
-    sums = df.groupBy(*by, "__blk").agg(F.sum(size).alias("__s"))
-    prior = lambda keys, o: Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__b", F.coalesce(F.sum("__s").over(prior(list(by) or [F.lit(0)], "__blk")), F.lit(0))).drop("__s")
-    inner = F.coalesce(F.sum(size).over(prior([*by, "__blk"], index)), F.lit(0))
-    return df.withColumn("__in", inner).join(sums, [*by, "__blk"]).withColumn(
-        out, F.col("__b") + F.col("__in")).drop("__blk", "__in", "__b")
-
-
 def plan_batches(samples: DataFrame, key: str, batch: int, pools: Sequence[int], world: int, epoch: int,
                  drop_last: bool = False) -> DataFrame:
     """Shuffle, cut into batches of a fixed size with shared features, and slice whole batches over ranks.
@@ -73,7 +61,7 @@ def plan_dynamic_batches(samples: DataFrame, key: str, sizes: Mapping[int, int],
     plan = spark.range(-(-total // smallest)).withColumnRenamed("id", "batch")
     plan = plan.withColumn("features", _features(pools, seed, "batch"))
     plan = plan.withColumn("size", _size_of(sizes, F.col("features")[scaling]).cast("long"))
-    plan = _running_start(plan, [], "batch", "size", "lo").where(F.col("lo") < total)
+    plan = grouped_running_sum(plan, [], ["batch"], "size", "lo").where(F.col("lo") < total)
     hi = F.col("lo") + F.col("size")
     plan = plan.where(hi <= total) if drop_last else plan.withColumn("size", F.least(hi, F.lit(total)) - F.col("lo"))
     if per_rank is not None:
@@ -104,16 +92,13 @@ def plan_balanced_batches(samples: DataFrame, key: str, pools: Sequence[int], wo
     if (batch is None) == (sizes is None):
         raise ValueError("give either a batch size or sizes by feature")
     seed = EPOCH_SEED + epoch
-    spark = samples.sparkSession
     samples = samples.select(key, "bin").distinct()
     pool = materialize(samples.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bins")
-    # a handful of ids: one per interval of the bin edges
-    bins = [r["bin"] for r in pool.select("bin").collect()]
-    n_bins = len(bins)
+    n_bins = pool.count()
     total = samples.select(key).distinct().count()
     n_batches = -(-total // batch) if batch is not None else int(per_rank) * world
-    rounds = spark.range(-(-n_batches // max(1, n_bins))).withColumnRenamed("id", "round")
-    turn = rounds.withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins]))).join(pool, "bin")
+    last = -(-n_batches // max(1, n_bins)) - 1
+    turn = pool.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
     turn = turn.withColumn("__h", L.uniform(seed + 100, "round", "bin"))
     slot = F.row_number().over(Window.partitionBy("round").orderBy("__h", "bin")) - 1
     plan = turn.withColumn("batch", F.col("round") * n_bins + slot).where(F.col("batch") < n_batches)
@@ -123,14 +108,14 @@ def plan_balanced_batches(samples: DataFrame, key: str, pools: Sequence[int], wo
     if batch is not None:
         plan = plan.withColumn("lo", F.col("round") * batch)
     else:
-        plan = _running_start(plan, ["bin"], "round", "size", "lo")
+        plan = grouped_running_sum(plan, ["bin"], ["round"], "size", "lo")
     plan = materialize(plan.select("batch", "bin", "n", "features", "size", "lo"), "plan")
     draws = plan.select("batch", "bin", "features", "n",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pos"), "lo")
     draws = draws.withColumn("q", F.col("lo") + F.col("pos")).withColumns({
         "pass": F.floor(F.col("q") / F.col("n")), "at": F.col("q") % F.col("n")})
     passes = plan.groupBy("bin").agg(F.floor((F.max(F.col("lo") + F.col("size")) - 1) / F.max("n")).alias("last"))
-    laps = samples.join(F.broadcast(passes), "bin").select(key, "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("pass"))
+    laps = samples.join(passes, "bin").select(key, "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("pass"))
     laps = grouped_rank(laps.withColumn("__h", L.uniform(seed + 200, "bin", "pass", key)), ["bin", "pass"], ["__h", key], "at")
     rows = draws.join(laps.select(key, "bin", "pass", "at"), ["bin", "pass", "at"])
     if batch is not None:

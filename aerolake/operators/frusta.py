@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolake.functions import linalg as L
-from aerolake.operators.projection import box_cells, point_cells
+from aerolake.operators.projection import box_cells, box_pairs, point_cells
 from aerolake.session import materialize
 
 # fixed values: default range of a view without depth, corner order (near then far plane), triangles and plane triples
@@ -62,9 +62,9 @@ def points_in_frustum(points: DataFrame, frusta: DataFrame, by: Sequence[str] =
     """(by, view, point_id) of the points on the inner side of all six planes."""
     by = list(by)
     boxes = materialize(_boxes(frusta).withColumn("planes", frustum_planes("corners")).drop("corners"), "frusta")
-    cells, size = box_cells(boxes, by)
-    p = point_cells(points.select(*by, "point_id", "x", "y", "z"), size, by)
-    j = p.join(cells, [*by, "__cx", "__cy"]).where("z >= __z0 AND z <= __z1")
+    cells, levels = box_cells(boxes, by)
+    p = point_cells(points.select(*by, "point_id", "x", "y", "z"), levels, by)
+    j = p.join(cells, [*by, "__lv", "__cx", "__cy"]).where("z >= __z0 AND z <= __z1")
     side = lambda i: F.col("planes")[4 * i] * F.col("x") + F.col("planes")[4 * i + 1] * F.col("y") + F.col("planes")[4 * i + 2] * F.col("z") + F.col("planes")[4 * i + 3]
     inside = side(0) >= 0
     for i in range(1, 6):
@@ -117,23 +117,13 @@ def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def frustum_pairs(frusta: DataFrame, by: Sequence[str] = ("scene",), view: str = "frame") -> DataFrame:
     """(by, view_a, view_b) with view_a < view_b whose frusta intersect or contain each other.
 
-    Candidates share a ground cell and their boxes overlap. A pair is kept only in the cell that holds the lower
-    corner of the shared box, so it appears once without a distinct.
+    Candidates are pairs whose boxes overlap.
     """
     by = list(by)
     boxes = materialize(_boxes(frusta), "frusta")
-    cells, size = box_cells(boxes, by)
-    cells = cells.join(size, by)
-    names = [c for c in cells.columns if c not in (*by, "__cx", "__cy", "__cell")]
-    a = cells.withColumnsRenamed({c: "a_" + c for c in names})
-    b = cells.drop("__cell").withColumnsRenamed({c: "b_" + c for c in names})
-    j = a.join(b, [*by, "__cx", "__cy"]).where(F.col("a_" + view) < F.col("b_" + view))
-    for c in "xyz":
-        j = j.where((F.col(f"a___{c}0") <= F.col(f"b___{c}1")) & (F.col(f"b___{c}0") <= F.col(f"a___{c}1")))
-    home = lambda c: F.floor(F.greatest(f"a___{c}0", f"b___{c}0") / F.col("__cell")) == F.col(f"__c{c}")
-    j = j.where(home("x") & home("y"))
-    return j.where(_overlap("a_corners", "b_corners")).select(
-        *by, F.col("a_" + view).alias("view_a"), F.col("b_" + view).alias("view_b"))
+    j = box_pairs(boxes, by, view).where((F.col("a___z0") <= F.col("b___z1")) & (F.col("b___z0") <= F.col("a___z1")))
+    a, b = F.col("a_" + view), F.col("b_" + view)
+    return j.where(_overlap("a_corners", "b_corners")).select(*by, F.least(a, b).alias("view_a"), F.greatest(a, b).alias("view_b"))
 
 
 def directed_pairs(pairs: DataFrame, by: Sequence[str] = ("scene",), view: str = "frame") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aerolake.functions import linalg as L
 from aerolake.functions.ranking import cap_per_group, grouped_rank, quantiles, shifted
 from aerolake.operators.neighbors import self_neighbours
-from aerolake.operators.projection import box_cells
+from aerolake.operators.projection import box_pairs
 from aerolake.session import materialize
 
 # fixed values
@@ -222,15 +222,12 @@ def assign_seams(assign: DataFrame, leaves: DataFrame, foot: DataFrame, max_chun
     """
     by = list(by)
     lv = leaves.withColumns({"__x0": F.col("r0") - margin, "__x1": F.col("r1") + margin, "__y0": F.col("s0") - margin, "__y1": F.col("s1") + margin})
-    cells, size = box_cells(lv, by)
-    cells = cells.join(size, by)
-    cols = ["path", "r0", "r1", "s0", "s1", "__x0", "__y0"]
-    a = cells.select(*by, "__cx", "__cy", "__cell", *[F.col(c).alias("a_" + c) for c in [*cols, "n"]])
-    b = cells.select(*by, "__cx", "__cy", *[F.col(c).alias("b_" + c) for c in cols])
+    cols = ["path", "n", "r0", "r1", "s0", "s1"]
+    once = box_pairs(lv.select(*by, *cols, "__x0", "__x1", "__y0", "__y1"), by, "path")
     near = lambda lo, hi: F.greatest(F.col(f"a_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"a_{hi}")) <= margin + 1e-9
-    home = lambda c: F.floor(F.greatest(f"a___{c}0", f"b___{c}0") / F.col("__cell")) == F.col(f"__c{c}")
-    adj = a.join(b, [*by, "__cx", "__cy"]).where((F.col("a_path") != F.col("b_path")) & near("r0", "r1") & near("s0", "s1") & home("x") & home("y"))
-    adj = adj.where(F.col("a_n") >= min_chunk_size).select(*by, F.col("a_path").alias("path"), F.col("a_n").alias("n"), *[F.col("a_" + c).alias(c) for c in ("r0", "r1", "s0", "s1")], "b_path")
+    once = once.where(near("r0", "r1") & near("s0", "s1"))
+    side = lambda p, q: once.select(*by, *[F.col(p + c).alias(c) for c in cols], F.col(q + "path").alias("b_path"))
+    adj = side("a_", "b_").unionAll(side("b_", "a_")).where(F.col("n") >= min_chunk_size)
     frames = assign.join(foot.select(*by, frame, "a_min", "a_max", "b_min", "b_max"), [*by, frame]).withColumnRenamed("path", "b_path")
     gap = lambda lo, hi, p, q: F.greatest(F.lit(0.0), F.col(lo) - F.col(q), F.col(p) - F.col(hi))
     cand = adj.join(frames, [*by, "b_path"]).withColumn("dist", L.norm([gap("a_min", "a_max", "r0", "r1"), gap("b_min", "b_max", "s0", "s1")]))

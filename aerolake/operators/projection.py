@@ -109,37 +109,68 @@ def point_bounds(points: DataFrame, by: Sequence[str]) -> DataFrame:
         *[F.min(a).alias("__lo" + a) for a in "xyz"], *[F.max(a).alias("__hi" + a) for a in "xyz"])
 
 
+def _level() -> Column:
+    """Level of a box: its cells have the smallest power of two as edge that is no less than the box."""
+    return F.ceil(F.log2(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-6)))).cast("int")
+
+
+def _cell(c: str) -> Column:
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__lv")))
+
+
+def _cells(boxes: DataFrame) -> DataFrame:
+    """One row per cell of level ``__lv`` that a box touches: at most four, as the box is no wider than a cell."""
+    out = boxes.withColumn("__cx", F.explode(F.sequence(_cell("__x0"), _cell("__x1"))))
+    return out.withColumn("__cy", F.explode(F.sequence(_cell("__y0"), _cell("__y1"))))
+
+
 def box_cells(boxes: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(boxes exploded to the grid cells (__cx, __cy) they touch, cell edge ``__cell`` per group).
+    """(boxes exploded to the cells (__lv, __cx, __cy) they touch, levels in use per group).
 
-    The edge is half the mean box size, so a typical box touches a handful of cells.
+    Every box has the level of its own size, so one wide box among many small ones is a handful of rows as well.
     """
-    size = boxes.groupBy(*by).agg(F.greatest(
-        F.avg((F.col("__x1") - F.col("__x0") + F.col("__y1") - F.col("__y0")) / 4),
-        (F.max("__x1") - F.min("__x0") + F.max("__y1") - F.min("__y0")) / 2**15, F.lit(1e-6)).alias("__cell"))
-    size = materialize(size, "cell-size")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("__cell")), F.floor(F.col(hi) / F.col("__cell")))
-    b = boxes.join(size, list(by)).withColumn("__cx", F.explode(span("__x0", "__x1")))
-    return b.withColumn("__cy", F.explode(span("__y0", "__y1"))).drop("__cell"), size
+    levelled = boxes.withColumn("__lv", _level())
+    return _cells(levelled), materialize(levelled.select(*by, "__lv").distinct(), "levels")
 
 
-def point_cells(points: DataFrame, size: DataFrame, by: Sequence[str]) -> DataFrame:
-    j = points.join(size, list(by))
-    return j.withColumns({"__cx": F.floor(F.col("x") / F.col("__cell")), "__cy": F.floor(F.col("y") / F.col("__cell"))}).drop("__cell")
+def point_cells(points: DataFrame, levels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every point in its cell of each level in use."""
+    return points.join(levels, list(by)).withColumns({"__cx": _cell("x"), "__cy": _cell("y")})
+
+
+def box_pairs(boxes: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Unordered pairs of boxes that overlap on the ground, columns prefixed a_ and b_.
+
+    The smaller box looks at the levels from its own upwards. A pair is kept only in the cell that holds the lower corner
+    of the shared box, so it appears once without a distinct.
+    """
+    names = [c for c in boxes.columns if c not in by]
+    cells, levels = box_cells(boxes, by)
+    at = [*by, "__lv", "__cx", "__cy"]
+    b = cells.select(*at, *[F.col(c).alias("b_" + c) for c in names])
+    a = boxes.withColumn("__own", _level()).join(levels, list(by)).where("__lv >= __own")
+    a = _cells(a).select(*at, "__own", *[F.col(c).alias("a_" + c) for c in names])
+    j = a.join(b, at).where((F.col("__own") < F.col("__lv")) | (F.col("a_" + key) < F.col("b_" + key)))
+    edge = F.pow(F.lit(2.0), F.col("__lv"))
+    for c in "xy":
+        j = j.where((F.col(f"a___{c}0") <= F.col(f"b___{c}1")) & (F.col(f"b___{c}0") <= F.col(f"a___{c}1")))
+        j = j.where(F.floor(F.greatest(f"a___{c}0", f"b___{c}0") / edge) == F.col(f"__c{c}"))
+    return j.drop("__lv", "__cx", "__cy", "__own")
 
 
 def project_join(points: DataFrame, cams: DataFrame, width: float, height: float, by: Sequence[str] = ("scene",),
                  view: str = "frame", keep: Sequence[str] = ()) -> DataFrame:
     """(by, view, point_id, u, v, z, kept columns) of every point seen by a view: z > 0 and inside the image.
 
-    The equi-join key is a ground cell: each point has one, each view those under its pyramid. The exact test follows.
+    The equi-join key is a ground cell: each point has one per level of box sizes, each view those under its pyramid. The
+    exact test follows.
     """
     by = list(by)
     bounds = materialize(point_bounds(points, by), "bounds")
     boxes = _pyramid_box(cams.select(*by, view, "k", "t_c2w"), bounds, by, width, height)
-    cells, size = box_cells(boxes, by)
-    p = point_cells(points.select(*by, "point_id", "x", "y", "z", *keep), size, by).withColumnsRenamed({"x": "__x", "y": "__y", "z": "__z"})
-    j = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), [*by, "__cx", "__cy"])
+    cells, levels = box_cells(boxes, by)
+    p = point_cells(points.select(*by, "point_id", "x", "y", "z", *keep), levels, by).withColumnsRenamed({"x": "__x", "y": "__y", "z": "__z"})
+    j = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), [*by, "__lv", "__cx", "__cy"])
     u, v, z = project(L.vec("__x", "__y", "__z"))
     out = j.select(*by, view, "point_id", u.alias("u"), v.alias("v"), z.alias("z"), *keep)
     return out.where((F.col("z") > 0) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
@@ -175,28 +206,30 @@ def export_observations(points: DataFrame, cams: DataFrame, width: int, height:
 
 
 def multiview_confidence(pixels: DataFrame, cams: DataFrame, pairs: DataFrame, width: int, height: int,
-                         abs_tol: float = 0.02, rel_tol: float = 0.02, view: str = "frame", depth: str = "z") -> DataFrame:
+                         abs_tol: float = 0.02, rel_tol: float = 0.02, view: str = "frame", depth: str = "z",
+                         by: Sequence[str] = ("scene",)) -> DataFrame:
     """Share of overlapping views whose depth agrees with a pixel; 1 for views without overlap.
 
-    ``pairs(view, other)`` lists directed overlaps. A pixel counts in a view it projects into (z > 0.04); the view's
+    ``pairs(by, view, other)`` lists directed overlaps. A pixel counts in a view it projects into (z > 0.04); the view's
     depth is read at the nearest pixel, missing depth reads as 0.
     """
-    px = unproject(pixels, cams, [view], depth=depth).select(view, "y", "x", "px", "py", "pz")
-    other = cams.select(F.col(view).alias("other"), *[c.alias(n) for n, c in projection_columns("t_c2w", "k").items()])
-    j = px.join(pairs.select(view, "other"), view).join(other, "other")
+    by = list(by)
+    px = unproject(pixels, cams, [*by, view], depth=depth).select(*by, view, "y", "x", "px", "py", "pz")
+    other = cams.select(*by, F.col(view).alias("other"), *[c.alias(n) for n, c in projection_columns("t_c2w", "k").items()])
+    j = px.join(pairs.select(*by, view, "other"), [*by, view]).join(other, [*by, "other"])
     u, v, z = project(L.vec("px", "py", "pz"))
-    j = j.select(view, "other", "y", "x", u.alias("u"), v.alias("v"), z.alias("zz"))
+    j = j.select(*by, view, "other", "y", "x", u.alias("u"), v.alias("v"), z.alias("zz"))
     j = j.where((F.col("zz") > MIN_TARGET_DEPTH) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     j = j.withColumns({"tx": F.least(F.rint("u"), F.lit(width - 1.0)).cast("int"), "ty": F.least(F.rint("v"), F.lit(height - 1.0)).cast("int")})
-    tgt = pixels.select(F.col(view).alias("other"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(depth).alias("td"))
-    j = j.join(tgt, ["other", "ty", "tx"], "left")
+    tgt = pixels.select(*by, F.col(view).alias("other"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(depth).alias("td"))
+    j = j.join(tgt, [*by, "other", "ty", "tx"], "left")
     hit = F.abs(F.col("zz") - F.coalesce("td", F.lit(0.0))) < abs_tol + rel_tol * F.col("zz")
-    votes = j.groupBy(view, "y", "x").agg(F.count_if(hit).alias("inliers"), F.count_if(~hit).alias("outliers"))
-    has = pairs.where(F.col(view) != F.col("other")).select(view).distinct().withColumn("__ov", F.lit(True))
-    out = pixels.select(view, "y", "x").join(votes, [view, "y", "x"], "left").join(has, view, "left")
+    votes = j.groupBy(*by, view, "y", "x").agg(F.count_if(hit).alias("inliers"), F.count_if(~hit).alias("outliers"))
+    has = pairs.where(F.col(view) != F.col("other")).select(*by, view).distinct().withColumn("__ov", F.lit(True))
+    out = pixels.select(*by, view, "y", "x").join(votes, [*by, view, "y", "x"], "left").join(has, [*by, view], "left")
     i, o = F.coalesce("inliers", F.lit(0)), F.coalesce("outliers", F.lit(0))
     conf = F.when(F.col("__ov"), i / (i + o + CONF_EPS)).otherwise(1.0)
-    return out.select(view, "y", "x", i.cast("long").alias("inliers"), o.cast("long").alias("outliers"), conf.alias("confidence"))
+    return out.select(*by, view, "y", "x", i.cast("long").alias("inliers"), o.cast("long").alias("outliers"), conf.alias("confidence"))
 
 
 def fuse_semantics(points: DataFrame, cams: DataFrame, depth: DataFrame, scores: DataFrame, mode: str, width: int,

@@ -103,20 +103,26 @@ def c3(spark, d):
 _PAIRS = "pr AS (SELECT a.frame, b.frame AS other FROM {fx_pixcams} a JOIN {fx_pixcams} b ON a.frame <> b.frame AND abs(a.frame - b.frame) <= 9 AND abs(a.cx - b.cx) <= 10 AND abs(a.cy - b.cy) <= 10)"
 
 
-@query("c4_multiview_confidence", f"""WITH {_PX}, {_PAIRS},
-q AS (SELECT px.frame, y, x, other, 50 * (px - c.cx) / (c.cz - pz) + 8 AS u, -50 * (py - c.cy) / (c.cz - pz) + 8 AS v, c.cz - pz AS zz FROM px JOIN pr USING (frame) JOIN {{fx_pixcams}} c ON c.frame = other),
+# three scenes with equal frame ids that hold different frames
+_SCENES = "sf AS (SELECT CAST(scene AS INT) AS scene, frame FROM {fx_pixcams} CROSS JOIN range(3) r(scene) WHERE frame % (scene + 2) <> 0)"
+
+
+@query("c4_multiview_confidence", f"""WITH {_PX}, {_PAIRS}, {_SCENES},
+ps AS (SELECT a.scene, pr.* FROM pr JOIN sf a USING (frame) JOIN sf b ON b.scene = a.scene AND b.frame = pr.other),
+q AS (SELECT ps.scene, px.frame, y, x, other, 50 * (px - c.cx) / (c.cz - pz) + 8 AS u, -50 * (py - c.cy) / (c.cz - pz) + 8 AS v, c.cz - pz AS zz FROM px JOIN ps USING (frame) JOIN {{fx_pixcams}} c ON c.frame = other),
 s AS (SELECT *, CAST(least(15, round_even(u, 0)) AS INT) AS tx, CAST(least(15, round_even(v, 0)) AS INT) AS ty FROM q WHERE zz > 0.04 AND u >= 0 AND u < 16 AND v >= 0 AND v < 16),
-h AS (SELECT s.frame, s.y, s.x, abs(zz - coalesce(t.z, 0)) < 3 + 0.02::DOUBLE * zz AS hit FROM s LEFT JOIN {{fx_pixels}} t ON t.frame = s.other AND t.y = s.ty AND t.x = s.tx),
-n AS (SELECT frame, y, x, count(*) FILTER (WHERE hit) AS i, count(*) FILTER (WHERE NOT hit) AS o FROM h GROUP BY frame, y, x), ov AS (SELECT DISTINCT frame FROM pr)
-SELECT p.frame, p.y, p.x, coalesce(i, 0) AS inliers, coalesce(o, 0) AS outliers, round(CASE WHEN ov.frame IS NULL THEN 1 ELSE coalesce(i, 0) / (coalesce(i, 0) + coalesce(o, 0) + 1e-10) END, 6) AS confidence
-FROM {{fx_pixels}} p LEFT JOIN n USING (frame, y, x) LEFT JOIN ov USING (frame)""")
+h AS (SELECT s.scene, s.frame, s.y, s.x, abs(zz - coalesce(t.z, 0)) < 3 + 0.02::DOUBLE * zz AS hit FROM s LEFT JOIN {{fx_pixels}} t ON t.frame = s.other AND t.y = s.ty AND t.x = s.tx),
+n AS (SELECT scene, frame, y, x, count(*) FILTER (WHERE hit) AS i, count(*) FILTER (WHERE NOT hit) AS o FROM h GROUP BY scene, frame, y, x), ov AS (SELECT DISTINCT scene, frame FROM ps)
+SELECT sf.scene, p.frame, p.y, p.x, coalesce(i, 0) AS inliers, coalesce(o, 0) AS outliers, round(CASE WHEN ov.frame IS NULL THEN 1 ELSE coalesce(i, 0) / (coalesce(i, 0) + coalesce(o, 0) + 1e-10) END, 6) AS confidence
+FROM {{fx_pixels}} p JOIN sf USING (frame) LEFT JOIN n ON n.scene = sf.scene AND n.frame = p.frame AND n.y = p.y AND n.x = p.x LEFT JOIN ov ON ov.scene = sf.scene AND ov.frame = p.frame""")
 def c4(spark, d):
-    c = view(spark, d, "fx_pixcams")
-    o = c.select(F.col("frame").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    near = c.withColumn("other", F.explode(F.sequence(F.col("frame") - 9, F.col("frame") + 9))).where("other <> frame").join(o, "other")
-    pairs = near.where("abs(cx - ox) <= 10 AND abs(cy - oy) <= 10").select("frame", "other")
-    px = view(spark, d, "fx_pixels").select("frame", "y", "x", "z")
-    return I.rounded(PR.multiview_confidence(px, I.pixel_cams(spark, d), pairs, 16, 16, abs_tol=3.0))
+    scenes = lambda df: df.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("frame % (scene + 2) <> 0")
+    c = scenes(view(spark, d, "fx_pixcams"))
+    o = c.select("scene", F.col("frame").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    near = c.withColumn("other", F.explode(F.sequence(F.col("frame") - 9, F.col("frame") + 9))).where("other <> frame").join(o, ["scene", "other"])
+    pairs = near.where("abs(cx - ox) <= 10 AND abs(cy - oy) <= 10").select("scene", "frame", "other")
+    px = scenes(view(spark, d, "fx_pixels").select("frame", "y", "x", "z"))
+    return I.rounded(PR.multiview_confidence(px, scenes(I.pixel_cams(spark, d)), pairs, 16, 16, abs_tol=3.0))
 
 
 def _frusta(spark, d):

@@ -15,8 +15,11 @@ DEFAULT_COLOR = 220
 
 
 def write_chunk_payload(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Per-chunk arrays as one Parquet partition per (scene, chunk_id). A hot chunk spreads over many files."""
-    df.write.mode(mode).partitionBy("scene", "chunk_id").parquet(path)
+    """Per-chunk arrays as one Parquet partition per (scene, chunk_id).
+
+    Rows are gathered by chunk first, so a chunk is one file; large ones are split by adaptive execution.
+    """
+    df.hint("rebalance", "scene", "chunk_id").write.mode(mode).partitionBy("scene", "chunk_id").parquet(path)
 
 
 def read_chunk_payload(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:
@@ -27,7 +30,7 @@ def read_chunk_payload(spark: SparkSession, path: str, cols: Sequence[str] | Non
 
 def update_chunk_payload(df: DataFrame, path: str) -> None:
     """Replace the chunks present in ``df`` and leave the others alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene", "chunk_id").parquet(path)
+    df.hint("rebalance", "scene", "chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene", "chunk_id").parquet(path)
 
 
 def export_chunks(chunks: DataFrame, members: DataFrame, adjacency: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
