@@ -116,6 +116,32 @@ def a5(spark, d):
     return I.rounded(p.select("scene", "pos", "frame_id", "stem", t[3].alias("cx"), t[11].alias("cz"), t[0].alias("r00"), t[4].alias("r10")))
 
 
+def _text_tree(spark, lines, order):
+    """Lines (scene, value) written as one text file per scene, in the given order."""
+    root = scratch_path(spark, "text")
+    lines.repartition("scene").sortWithinPartitions("scene", order).select("scene", "value").write.partitionBy("scene").text(root)
+    return root
+
+
+@query("a3_recon_cameras", """SELECT 'scene=' || (p_partkey % 20) AS scene, CAST(p_partkey AS INT) AS camera_id, 'PINHOLE' AS model, CAST(p_size AS BIGINT) AS width, CAST(p_size + 1 AS BIGINT) AS height, p_size + 0.5::DOUBLE AS fx, CAST(4 AS INT) AS num_params FROM part""")
+def a3_cameras(spark, d):
+    size = F.col("p_size").cast("string")
+    line = F.concat_ws(" ", F.col("p_partkey").cast("string"), F.lit("PINHOLE"), size, (F.col("p_size") + 1).cast("string"), F.concat(size, F.lit(".5 7 1 2")))
+    rows = view(spark, d, "part").select((F.col("p_partkey") % 20).alias("scene"), "p_partkey", F.explode(F.array(F.lit("# camera"), line)).alias("value"))
+    c = G.parse_recon_cameras(G.read_text_lines(spark, _text_tree(spark, rows, F.col("p_partkey"))))
+    return c.select("scene", "camera_id", "model", "width", "height", F.col("params")[0].alias("fx"), F.size("params").alias("num_params"))
+
+
+@query("a5_pose_log_lines", """WITH f AS (SELECT scene, cx, cz, row_number() OVER (PARTITION BY scene ORDER BY frame DESC) - 1 AS pos FROM {fx_cams} WHERE frame % 4 <> 2)
+SELECT 'scene=' || scene AS scene, pos, CAST(pos AS DOUBLE) AS frame_id, 'frame_' || lpad(CAST(pos AS VARCHAR), 6, '0') AS stem, round(cx, 6) AS cx, round(cz, 6) AS cz FROM f""")
+def a5_lines(spark, d):
+    n = lambda v: F.format_string("%.6f", v)
+    line = F.when(F.col("frame") % 4 == 2, "1 2 3").otherwise(F.concat_ws(" ", F.lit("1 0 0"), n(F.col("cx")), F.lit("0 1 0"), n(F.col("cy")), F.lit("0 0 1"), n(F.col("cz"))))
+    rows = view(spark, d, "fx_cams").select("scene", "frame", line.alias("value"))
+    p = G.parse_pose_log(G.read_text_lines(spark, _text_tree(spark, rows, F.col("frame").desc())))
+    return I.rounded(p.select("scene", "pos", "frame_id", "stem", F.col("t_c2w")[3].alias("cx"), F.col("t_c2w")[11].alias("cz")))
+
+
 _PATHS = {"ate_rmse": ("pose", "ate", "ate_rmse"), "fscore_0.5": ("point_cloud", "fscore", "0.5", "fscore"), "note": ("note",)}
 
 

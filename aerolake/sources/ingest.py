@@ -33,6 +33,13 @@ def read_text_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> D
     return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_text_lines(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+    """(path, at, value): one row per line below ``root``; ``at`` orders the lines of a file. Large files are split over tasks."""
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return r.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
+
+
 def scan_scenes(files: DataFrame, start: int = 0, stride: int = 1, num_views: int = 0) -> DataFrame:
     """Frames of every scene: images joined with cameras and depth by stem, in natural stem order.
 
@@ -114,7 +121,7 @@ def _words(line: Column) -> Column:
 
 
 def parse_recon_cameras(files: DataFrame) -> DataFrame:
-    """(scene, camera_id, model, width, height, params) from cameras text."""
+    """(scene, camera_id, model, width, height, params) from cameras text, as whole files or as lines."""
     rec = F.filter(X.lines("value"), lambda s: ~s.startswith("#"))
     w = _scene_of(files).select("scene", F.explode(F.transform(rec, _words)).alias("w"))
     return w.select("scene", F.col("w")[0].cast("int").alias("camera_id"), F.col("w")[1].alias("model"), F.col("w")[2].cast("long").alias("width"),
@@ -143,7 +150,7 @@ def parse_recon_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_recon_points(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points, tracks) from points text: scene, point_id, x, y, z, r, g, b, error and scene, point_id, image_id, p2d_idx."""
+    """(points, tracks) from points text, as whole files or as lines: scene, point_id, x, y, z, r, g, b, error and scene, point_id, image_id, p2d_idx."""
     rec = F.filter(X.lines("value"), lambda s: ~s.startswith("#"))
     w = _scene_of(files).select("scene", F.explode(F.transform(rec, _words)).alias("w"))
     d = lambda i: F.col("w")[i].cast("double")
@@ -160,9 +167,14 @@ def parse_pose_log(files: DataFrame, frame_map: DataFrame | None = None) -> Data
 
     8 = id, translation, quaternion xyzw; 12 = 3x4; 13 = id and 3x4; 16 = 4x4. Lines without an id are numbered by the
     accepted lines before them. ``pos`` is the order by frame id; ``frame_map(scene, frame, stem)`` names the frames.
+    ``files`` holds whole files, or lines with their order ``at``: then no file has to fit in a row.
     """
     nums = F.filter(F.transform(X.lines("value"), X.numbers), lambda v: v.isNotNull() & F.size(v).isin(8, 12, 13, 16))
-    p = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("scene"), F.posexplode(nums).alias("i", "v"))
+    scene = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("scene")
+    if "at" in files.columns:
+        p = grouped_rank(files.select(scene, "at", F.explode(nums).alias("v")), ["scene"], ["at"], "i").drop("at")
+    else:
+        p = files.select(scene, F.posexplode(nums).alias("i", "v"))
     v, n = F.col("v"), F.size("v")
     p = p.withColumn("frame_id", F.when(n.isin(8, 13), v[0]).otherwise(F.col("i").cast("double")))
     q = [v[i] for i in (7, 4, 5, 6)]
