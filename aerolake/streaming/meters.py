@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,14 +48,20 @@ def stream_rolling_meter(stream: DataFrame, key: str, order: str, value: str = "
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, total, count = state.get if state.exists else ([], 0.0, 0)
-        last = list(last)
-        rows = []
-        for pdf in [pd.concat(list(parts)).sort_values(order, kind="stable")]:
-            for at, v in zip(pdf[order], pdf[value].astype(float)):
-                last = (last + [v])[-window:]
-                total, count = total + v, count + 1
-                rows.append((k[0], at, v, sorted(last)[(len(last) - 1) // 2], sum(last) / len(last), max(last), total, count))
-        state.update((last, total, count))
-        yield pd.DataFrame(rows, columns=[f.name for f in out])
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        new = rows[value].to_numpy(float)
+        # windows over the kept values and the new ones; places before the start of the series are blank
+        kept = np.asarray(last, float)[-(window - 1):] if window > 1 else np.zeros(0)
+        seen = count + 1 + np.arange(len(new))
+        full = np.concatenate([np.full(window - 1 - len(kept), np.inf), kept, new])
+        view = np.lib.stride_tricks.sliding_window_view(full, window)
+        held = np.minimum(seen, window)
+        blank = np.arange(window)[None, :] < (window - held)[:, None]
+        middle = np.sort(view, axis=1)[np.arange(len(new)), (held - 1) // 2]
+        sums = np.cumsum(np.concatenate([[total], new]))[1:]
+        yield pd.DataFrame({
+            key: k[0], order: rows[order].to_numpy(), "value": new, "median": middle, "mean": np.where(blank, 0.0, view).sum(axis=1) / held,
+            "max": np.where(blank, -np.inf, view).max(axis=1), "total": sums, "count": seen})
+        state.update((full[-window:][-min(count + len(new), window):].tolist(), float(sums[-1]), count + len(new)))
 
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, out, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from aerolake.functions import linalg as L
 from aerolake.operators.sampling import with_cells
+from aerolake.session import materialize
 
 
 def stream_voxel_first(stream: DataFrame, size: float, delay: str, event_time: str = "ts", by: Sequence[str] = ("scene",)) -> DataFrame:
@@ -19,18 +20,20 @@ def stream_voxel_first(stream: DataFrame, size: float, delay: str, event_time: s
 
 
 def start_coverage_fill(stream: DataFrame, base: DataFrame, grid: float, out: str, checkpoint: str, by: Sequence[str] = ("scene",),
-                        order: str = "chunk_order") -> StreamingQuery:
+                        order: str = "chunk_order", trigger: Mapping[str, str | bool] | None = None) -> StreamingQuery:
     """Write the points of cells that neither ``base`` nor an earlier chunk occupies to ``out``/points; returns the query.
 
     The state is a table of cell owners beside the output. A batch elects owners for its free cells (lowest chunk), joins
     its points with them and appends; its folders carry the batch id, so a repeated batch overwrites its own work only.
-    All of it is joins and aggregates, so a crowded cell does not sit in one task.
+    All of it is joins and aggregates, so a crowded cell does not sit in one task. The cells of ``base`` are written once.
+    ``trigger`` is passed on to the writer; without it the query ends with the data at hand.
     """
     spark = stream.sparkSession
     by = list(by)
     keys = [*by, "cx", "cy"]
     finite = lambda df: df.where(L.finite("x") & L.finite("y") & L.finite("z"))
     used = with_cells(finite(base), grid, ("x", "y")).select(*keys).distinct()
+    used = materialize(used, "base-cells")
     owners_dir, points_dir = f"{out}/owners", f"{out}/points"
 
     def fill(batch: DataFrame, batch_id: int) -> None:
@@ -47,4 +50,5 @@ def start_coverage_fill(stream: DataFrame, base: DataFrame, grid: float, out: st
         keep = c.join(owners, keys).where(F.col(order) == F.col("own")).drop("cx", "cy", "own")
         keep.write.mode("overwrite").parquet(f"{points_dir}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,25 +28,28 @@ def stream_temporal_chunks(stream: DataFrame, max_size: int, ratio: float, scene
     out = T.StructType([T.StructField("scene", stream.schema[scene].dataType), T.StructField("chunk_id", T.LongType()),
                         T.StructField("frame", T.LongType()), T.StructField("role", T.StringType())])
 
-    def emit(key, frames: list[int], chunk: int) -> pd.DataFrame:
-        shared = over if chunk > 0 else 0
-        return pd.DataFrame({"scene": key, "chunk_id": chunk, "frame": frames, "role": ["overlap"] * shared + ["core"] * (len(frames) - shared)})
+    step = max_size - over
+
+    def emit(key, frames: np.ndarray, chunk: int, windows: int, size: int) -> pd.DataFrame:
+        """``windows`` windows of ``size`` frames, ``step`` apart; the first is window ``chunk`` of the scene."""
+        i, j = np.divmod(np.arange(windows * size), size)
+        shared = (j < over) & (chunk + i > 0)
+        return pd.DataFrame({"scene": key, "chunk_id": chunk + i, "frame": frames[i * step + j], "role": np.where(shared, "overlap", "core")})
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frames, chunk = state.get if state.exists else ([], 0)
-        frames = list(frames)
+        frames = np.asarray(frames, np.int64)
         if state.hasTimedOut:
             state.remove()
             if len(frames) > (over if chunk > 0 else 0):
-                yield emit(k[0], frames, chunk)
+                yield emit(k[0], frames, chunk, 1, len(frames))
             return
         pdf = pd.concat(list(parts)).sort_values([event_time, frame], kind="stable")
-        for f in pdf[frame]:
-            frames.append(int(f))
-            if len(frames) == max_size:
-                yield emit(k[0], frames, chunk)
-                frames, chunk = frames[max_size - over:] if over else [], chunk + 1
-        state.update((frames, chunk))
+        frames = np.concatenate([frames, pdf[frame].to_numpy(np.int64)])
+        full = (len(frames) - max_size) // step + 1 if len(frames) >= max_size else 0
+        if full:
+            yield emit(k[0], frames, chunk, full, max_size)
+        state.update((frames[full * step:].tolist(), chunk + full))
         latest = int(pdf[event_time].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
 
