@@ -9,14 +9,14 @@ sets form one class, whose smallest id stands for it.
 * **Banding.** ``BANDS`` runs of 4 registers, 64 bits each. A pair with similarity s shares a band with probability
   1 - (1 - s^4)^32: 0.999995 at 0.75, more above.
 * **Candidates without all pairs of a bucket.** First every member of a bucket meets its smallest member only. Where the
-  verified links leave a bucket in several components, members of different components are compared by their registers,
-  in blocks, and each takes its most similar untested partners of each other component: 64, then 4,096, and so on
-  until nothing is left to test. A bucket of mutual copies costs one pair per member, and no link between components is lost.
+  verified links leave a bucket in several components, the members outside its largest component (usually few) are
+  compared with the rest of the bucket, in blocks that hold their sets; only links that join components leave the task.
+  A bucket of mutual copies costs one pair per member, and no link between components is lost.
 * **Estimate.** The share of equal registers, less the share expected to be equal by chance. Pairs below ``LEAST`` are
   dropped before verification; that is 4.4 standard errors under the threshold.
 * **Verification** on the full sets, in integers: 100 * intersection >= 75 * union.
 
-Sets are not stored: texts of documents in candidate pairs are read again. Components come from links in tables.
+Sets are not kept for all: texts of documents in candidate pairs are read again. Components come from links in tables.
 
 Defined results: NULL and empty texts have an empty set and are linked with nothing; with fewer than five words the whole
 sequence is the one shingle; rows that share an id are one document if their texts are equal; rows with a NULL id are
@@ -40,8 +40,8 @@ from aerolake.llm.quality import _chunks, _row_of
 from aerolake.session import materialize
 
 REGISTERS, BANDS, SHINGLE = 128, 32, 5
-#: Estimated similarity under which a pair is not verified; rows of a bucket compared at a time; partners of the first round.
-LEAST, BLOCK, FIRST = 0.58, 64, 64
+#: Estimated similarity under which a pair is not verified; rows of a bucket compared at a time.
+LEAST, BLOCK = 0.58, 256
 _BUCKET_BITS, _VALUE_BITS, _MANTISSA = 7, 57, 10
 #: Chance that unequal minima give equal registers: equal leading zeros (1/3) and equal mantissas.
 CHANCE = 2.0**-_MANTISSA / 3
@@ -173,9 +173,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets of their documents."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, set) of the documents in ``ids``: sorted shingle hashes as bytes, written once."""
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +183,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([_row_of(batch, "doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    # an id with several texts takes part with the one of its class that the pair was made of: the smallest digest is stable
-    sets = materialize(texts.mapInArrow(to_sets, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set")), "shingle-sets")
+    # an id with several texts takes part with one of them, chosen by content
+    sets = texts.mapInArrow(to_sets, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set"))
+    return materialize(sets, "shingle-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets of their documents."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -201,54 +206,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
-def _untested(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) to test in buckets with several components: per member and other component, the ``most`` most similar
-    untested partners; ``cut`` tells that a member has more.
+def _crossing(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between components that meet in a bucket. ``members``: (bucket, n, rep, component).
 
-    ``members``: (bucket, n, rep, component, bands, tested). Buckets are compared in blocks of about BLOCK rows.
+    The largest component of a bucket is not compared with itself. The others are dealt to blocks; block meets block, and
+    each meets the largest component a block of it at a time, so no task holds more than two blocks.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("k", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    columns = ["rep", "component", "mine", "bands", "tested"]
-    rows = rows.groupBy("bucket", "i", "j").agg(*[F.collect_list(F.coalesce(c, F.array().cast("array<bigint>")) if c == "tested" else c).alias(c)
-                                                  for c in columns])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n")).where(F.col("top.m") < F.col("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    main = main.select("bucket", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.m")).alias("ko"),
+                       blocks(F.col("top.m")).alias("km"))
+    rows = members.select("bucket", "rep", "component").join(main, "bucket")
+    inner = F.col("component") == F.col("main")
+    mine = F.pmod(F.xxhash64("rep"), F.when(inner, F.col("km")).otherwise(F.col("ko"))).cast("int")
+    rows = rows.withColumns({"inner": inner, "mine": mine})
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    meet = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    at = F.when(inner, F.transform(upto("ko"), lambda t: meet(t, F.col("mine"), 1))).otherwise(F.concat(
+        F.transform(upto("km"), lambda t: meet(F.col("mine"), t, 1)),
+        F.transform(upto("ko"), lambda t: meet(F.least(F.col("mine"), t), F.greatest(F.col("mine"), t), 0))))
+    rows = rows.select("bucket", "rep", "component", "inner", "mine", F.explode(at).alias("at"))
+    sets = _sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(classes, "rep").join(sets, "rep").groupBy("bucket", "at").agg(
+        *[F.collect_list(c).alias(c) for c in ("rep", "component", "inner", "mine", "bands", "set")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             out = []
-            for r in part.itertuples():
-                out += _open_pairs(np.asarray(r.rep), np.asarray(r.component), np.asarray(r.mine) if r.i != r.j else None,
-                                   _registers_of(r.bands), r.tested, most)
-            yield pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": "bool"})
+            for r in batch.itertuples():
+                # two blocks are compared across only: with the largest component, or of different number
+                kind, mine = r.at["kind"], np.asarray(r.mine)
+                side = np.asarray(r.inner) if kind == 1 else mine if r.at["i"] != r.at["j"] else None
+                out += _joining(np.asarray(r.rep), np.asarray(r.component), side, _registers_of(r.bands), [np.frombuffer(x, np.uint64) for x in r.set], percent)
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.mapInPandas(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
-def _open_pairs(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray, tested: list, most: int) -> list[tuple]:
-    """(a, b, cut) of one block, or of two blocks told apart by ``side``."""
+def _joining(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links (a, b) of one block, or of two told apart by ``side``: per member one to each other component that it reaches."""
     if (comp == comp[0]).all():
         return []
-    out = []
+    out, every, at = [], None, None
+    size = np.array([len(s) for s in sets])
     for u in range(len(rep)):
         open_ = (comp != comp[u]) & (rep < rep[u])
         if side is not None:
             open_ &= side != side[u]
-        if len(tested[u]):
-            open_ &= ~np.isin(rep, tested[u])
         vs = np.flatnonzero(open_)
+        vs = vs[estimate(regs[vs], regs[u]) >= LEAST] if len(vs) else vs
         if len(vs) == 0:
             continue
-        est = estimate(regs[vs], regs[u])
-        vs, est = vs[est >= LEAST], est[est >= LEAST]
-        taken: dict[int, int] = {}
-        for v in vs[np.lexsort((rep[vs], -est))]:
-            taken[comp[v]] = seen = taken.get(comp[v], 0) + 1
-            if seen <= most:
-                out.append((rep[u], rep[v], False))
-            elif seen == most + 1:
-                out[-1] = (*out[-1][:2], True)
+        if every is None:  # places of all shingles of the block among its distinct ones
+            every = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            at = np.concatenate([[0], np.cumsum(size)])
+        held = np.zeros(every.max() + 1, np.int64)
+        held[every[at[u] : at[u + 1]]] = 1
+        both = np.add.reduceat(held[every], at[:-1])[vs]
+        vs = vs[100 * both >= percent * (size[u] + size[vs] - both)]
+        out += [(rep[u], rep[v]) for v in vs[np.unique(comp[vs], return_index=True)[1]]]
     return out
 
 
@@ -273,22 +290,12 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(rows.join(full, "bucket").select("bucket", "rep", "hub", "n"), "buckets")
     pairs = members.where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = pairs = materialize(_estimated(pairs, classes), "pairs")
-    links, most = materialize(_verified(pairs, docs, percent), "links"), FIRST
-    while True:
-        comp = components(links).withColumnRenamed("node", "rep")
-        now = materialize(members.where("n > 2").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        by_rep = tested.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "rep")
-        rows = now.join(mixed, "bucket", "left_semi").join(classes, "rep").join(by_rep, "rep", "left")
-        pairs = materialize(_untested(rows, most), "pairs")
-        found, more = pairs.agg(F.count(F.lit(1)), F.bool_or("cut")).first()
-        if found:
-            tested = materialize(tested.unionAll(pairs.drop("cut")), "tested")
-            links = materialize(links.unionAll(_verified(pairs.drop("cut"), docs, percent)), "links")
-        if not more:
-            return links
-        most *= FIRST
+    pairs = materialize(_estimated(pairs, classes), "pairs")
+    links = materialize(_verified(pairs, docs, percent), "links")
+    comp = components(links).withColumnRenamed("node", "rep")
+    members = members.where("n > 2").select("bucket", "rep").join(comp, "rep", "left")
+    members = materialize(members.withColumn("component", F.coalesce("component", "rep")), "members")
+    return links.unionAll(materialize(_crossing(members, classes, docs, percent), "links"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

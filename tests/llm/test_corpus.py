@@ -33,10 +33,9 @@ def near_docs():
     return docs
 
 
-@pytest.mark.parametrize("block, first", [(64, 64), (8, 1)])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, block, first):
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(hyperminhash, "BLOCK", block)
-    monkeypatch.setattr(hyperminhash, "FIRST", first)
     docs = near_docs()
     want = near_components(docs)
     rows = hyperminhash.near_duplicates(documents(spark, docs + [docs[0], (None, docs[1][1]), (None, None)], "bands print rep")).collect()
