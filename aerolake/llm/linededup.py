@@ -43,37 +43,44 @@ def _identity(line: str = "line") -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"), F.length(line).alias("n"))
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Hashed halves of a line: against lines at least as long (h of its own n words) and against lines one word shorter."""
+def _halves(words: Column, n: Column) -> list[Column]:
+    """Hashed halves of a line, in the order of KINDS."""
     def pair(m: Column, longer: int) -> list[Column]:
         h = F.floor(m / 2).cast("int")
-        kind = lambda tail: F.lit(2 * longer + tail).alias("kind")  # tail: the second half may differ
-        head = F.xxhash64(F.slice(words, F.lit(1), h), m, F.lit(1)).alias("key")
-        tail = F.xxhash64(F.slice(words, h + 1 + longer, m - h), m, F.lit(0)).alias("key")
-        return [F.struct(head, kind(1)), F.struct(tail, kind(0))]
+        return [F.xxhash64(F.slice(words, F.lit(1), h), m, F.lit(1)), F.xxhash64(F.slice(words, h + 1 + longer, m - h), m, F.lit(0))]
 
-    return F.array(*pair(n, 0), *pair(n - 1, 1))
+    return [*pair(n, 0), *pair(n - 1, 1)]
 
 
-def distinct_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per distinct line: id, first (doc_id, line_no), n_words and the hashed halves; NULL for short lines."""
+#: Columns of the hashed halves: against lines at least as long (h of the line's own n words) and against lines one word
+#: shorter; "tail" means that the second half may differ, as the first one was hashed.
+KINDS = ("same_tail", "same_head", "more_tail", "more_head")
+
+
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line_no, id, n_words, *KINDS) of every line that holds a word; the halves are NULL for short lines."""
     words = F.split("line", " ")
     n = F.size(words)
-    rows = lines(docs).select(_identity().alias("id"), F.struct("doc_id", "line_no").alias("at"), n.alias("n_words"),
-                              F.when(n >= min_words, _halves(words, n)).alias("halves"))
-    return rows.groupBy("id").agg(F.min("at").alias("first"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves"))
+    halves = [F.when(n >= min_words, h).alias(k) for h, k in zip(_halves(words, n), KINDS)]
+    return lines(docs).select("doc_id", "line_no", _identity().alias("id"), n.alias("n_words"), *halves)
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """One row per distinct line of ``occurrences``: id, first (doc_id, line_no), n_words, *KINDS."""
+    return rows.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.max(c).alias(c) for c in ("n_words", *KINDS)])
 
 
 def _candidates(distinct: DataFrame, min_words: int) -> DataFrame:
     """Lines that share a half with another: id, first, and which variants they have to emit."""
-    rows = distinct.where(F.col("halves").isNotNull()).select(
-        "id", "first", "n_words", F.explode("halves").alias("h")).select("id", "first", "n_words", "h.key", "h.kind")
-    longer = F.col("kind") >= 2
-    rows = rows.where(~longer | (F.col("n_words") > min_words))  # the shorter line must be long enough itself
+    entry = lambda k: F.struct(F.col(k).alias("key"), F.lit(k.startswith("more")).alias("longer"), F.lit(k.endswith("tail")).alias("tail"))
+    rows = distinct.where(F.col("n_words") >= min_words)
+    # the shorter line must be long enough itself
+    rows = rows.withColumn("h", F.explode(F.when(F.col("n_words") > min_words, F.array(*map(entry, KINDS))).otherwise(
+        F.array(*map(entry, KINDS[:2]))))).select("id", "first", "h.key", "h.longer", "h.tail")
+    longer, tail = F.col("longer"), F.col("tail")
     met = rows.groupBy("key").agg(F.count_if(~longer).alias("same"), F.count_if(longer).alias("more"))
     met = met.where((F.col("same") > 1) | ((F.col("same") > 0) & (F.col("more") > 0)))
-    rows = rows.select("id", "first", "key", "kind").join(met, "key")
-    tail = F.col("kind") % 2 == 1
+    rows = rows.join(met, "key")
     return rows.groupBy("id", "first").agg(
         F.bool_or(~longer & tail & (F.col("same") > 1)).alias("swap_tail"),
         F.bool_or(~longer & ~tail & (F.col("same") > 1)).alias("swap_head"),
@@ -148,19 +155,16 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS)
     return checked.groupBy("id").agg(F.min("keeper").alias("keeper"))
 
 
-def decide(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per distinct line: id, first, n_words, keeper. keeper is NULL if the first occurrence stays."""
-    distinct = materialize(distinct_lines(docs, min_words), "line-ids")
-    near = near_lines(docs, distinct, min_words)
-    return materialize(distinct.drop("halves").join(near, "id", "left"), "line-decisions")
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every line that holds a word: doc_id, line_no, n_words, kept, and the place of the line kept in its stead."""
-    rows = lines(docs).select("doc_id", "line_no", _identity().alias("id")).join(decide(docs, min_words), "id")
-    keeper = F.coalesce("keeper", "first")
-    return rows.select("doc_id", "line_no", "n_words", (keeper == F.struct("doc_id", "line_no")).alias("kept"),
-                       keeper["doc_id"].alias("keep_doc_id"), keeper["line_no"].alias("keep_line_no"))
+    rows = materialize(occurrences(docs, min_words), "line-occurrences")
+    distinct = materialize(distinct_lines(rows), "line-ids")
+    near = near_lines(docs, distinct, min_words)
+    keepers = distinct.select("id", "first").join(near, "id", "left").select("id", F.coalesce("keeper", "first").alias("keeper"))
+    keeper = F.col("keeper")
+    return rows.select("doc_id", "line_no", "n_words", "id").join(keepers, "id").select(
+        "doc_id", "line_no", "n_words", (keeper == F.struct("doc_id", "line_no")).alias("kept"),
+        keeper["doc_id"].alias("keep_doc_id"), keeper["line_no"].alias("keep_line_no"))
 
 
 def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
