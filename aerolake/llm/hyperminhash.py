@@ -227,37 +227,65 @@ def _crossing(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
         F.transform(upto("km"), lambda t: meet(F.col("mine"), t, 1)),
         F.transform(upto("ko"), lambda t: meet(F.least(F.col("mine"), t), F.greatest(F.col("mine"), t), 0))))
     rows = rows.select("bucket", "rep", "component", "inner", "mine", F.explode(at).alias("at"))
+    columns = ["rep", "component", "inner", "mine", "bands"]
+    gathered = lambda t, names: t.groupBy("bucket", "at").agg(*[F.collect_list(c).alias(c) for c in names])
+    rows = gathered(rows.join(classes, "rep"), columns).withColumn("open", _open_members("at", *columns))
+    # only members with a partner that may be close go on, now with their sets
+    member = F.explode(F.filter(F.arrays_zip(*columns, "open"), lambda m: m["open"])).alias("m")
+    rows = rows.where(F.exists("open", lambda o: o)).select("bucket", "at", member).select("bucket", "at", *[f"m.{c}" for c in columns])
+    rows = materialize(rows, "open-members")
     sets = _sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs).withColumnRenamed("doc_id", "rep")
-    rows = rows.join(classes, "rep").join(sets, "rep").groupBy("bucket", "at").agg(
-        *[F.collect_list(c).alias(c) for c in ("rep", "component", "inner", "mine", "bands", "set")])
+    rows = gathered(rows.join(sets, "rep"), [*columns, "set"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                # two blocks are compared across only: with the largest component, or of different number
-                kind, mine = r.at["kind"], np.asarray(r.mine)
-                side = np.asarray(r.inner) if kind == 1 else mine if r.at["i"] != r.at["j"] else None
-                out += _joining(np.asarray(r.rep), np.asarray(r.component), side, _registers_of(r.bands), [np.frombuffer(x, np.uint64) for x in r.set], percent)
+                out += _joining(np.asarray(r.rep), np.asarray(r.component), _side(r.at, r.inner, r.mine), _registers_of(r.bands),
+                                [np.frombuffer(x, np.uint64) for x in r.set], percent)
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
-def _joining(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """Links (a, b) of one block, or of two told apart by ``side``: per member one to each other component that it reaches."""
+def _side(at: dict, inner: list, mine: list) -> np.ndarray | None:
+    """What tells two blocks apart, which are compared across only: the largest component, or the number of the block."""
+    return np.asarray(inner) if at["kind"] == 1 else np.asarray(mine) if at["i"] != at["j"] else None
+
+
+def _partners(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Members with the places of their smaller partners, of other components, whose estimate reaches LEAST."""
     if (comp == comp[0]).all():
-        return []
-    out, every, at = [], None, None
-    size = np.array([len(s) for s in sets])
+        return
     for u in range(len(rep)):
         open_ = (comp != comp[u]) & (rep < rep[u])
         if side is not None:
             open_ &= side != side[u]
         vs = np.flatnonzero(open_)
-        vs = vs[estimate(regs[vs], regs[u]) >= LEAST] if len(vs) else vs
-        if len(vs) == 0:
-            continue
+        if len(vs):
+            vs = vs[estimate(regs[vs], regs[u]) >= LEAST]
+            if len(vs):
+                yield u, vs
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _open_members(at: pd.DataFrame, rep: pd.Series, comp: pd.Series, inner: pd.Series, mine: pd.Series, bands: pd.Series) -> pd.Series:
+    """Which members of a block have a partner, or are one."""
+    out = []
+    for a, r, c, i, m, b in zip(at.to_dict("records"), rep, comp, inner, mine, bands):
+        open_ = np.zeros(len(r), bool)
+        for u, vs in _partners(np.asarray(r), np.asarray(c), _side(a, i, m), _registers_of(b)):
+            open_[u] = True
+            open_[vs] = True
+        out.append(open_)
+    return pd.Series(out)
+
+
+def _joining(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links (a, b) of one block, or of two told apart by ``side``: per member one to each other component that it reaches."""
+    out, every, at = [], None, None
+    size = np.array([len(s) for s in sets])
+    for u, vs in _partners(rep, comp, side, regs):
         if every is None:  # places of all shingles of the block among its distinct ones
             every = np.unique(np.concatenate(sets), return_inverse=True)[1]
             at = np.concatenate([[0], np.cumsum(size)])
