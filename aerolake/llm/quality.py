@@ -35,7 +35,7 @@ from aerolake.session import materialize
 #: Labelled documents the models are fitted on at most; hash buckets of the two streams.
 SAMPLE, BYTE_BUCKETS, SHAPE_BUCKETS = 20_000, 1 << 14, 1 << 13
 #: Log ratios are multiples of 1 / UNIT; SHRINK n-grams of ratio 0 are added to each mean; bytes handled at a time.
-UNIT, SHRINK, CHUNK = 4096, 8, 1 << 22
+UNIT, SHRINK, CHUNK = 4096, 8, 1 << 20
 _MIX = np.uint32(2654435761)
 
 
