@@ -1,8 +1,9 @@
 """Licence scan in DataFrame operations: sparse TF-IDF cosine against templates, then inheritance from ancestor folders.
 
-Texts are cut into sentences and lines, and so are the templates. Both become sparse TF-IDF vectors; document frequencies
-of the template vocabulary are counted over all files, a word outside of it has the weight of an unseen one. A segment
-matches a template from cosine ``least`` on; a file's own licence is that of its best segment (ties: smaller id).
+Texts are cut into sentences and lines. Segments and templates become sparse TF-IDF vectors; document frequencies of all
+words are counted over all files, with the templates as one file more. Words in less than one of ``RARE`` files weigh the
+same, so weights follow the shares of files and not their number. A segment matches a template from cosine ``least`` on; a
+file's own licence is that of its best segment (ties: smaller id).
 
 A file is a licence file of its folder if its base name says so, or if segments that match make up at least ``share`` of
 its words. A file without a licence of its own takes that of the nearest ancestor folder with a licence file (of several
@@ -51,7 +52,7 @@ TEMPLATES = (
 STOP_WORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "its", "of", "on", "or", "that",
               "the", "this", "to", "with", "you")
 FILE_NAMES = r"(?i)^(licen[cs]es?|copying|copyright|unlicense)([._-].*)?$"
-LEAST, SHARE = 0.6, 0.5
+LEAST, SHARE, RARE = 0.6, 0.5, 1000.0
 _CUT = r"\n|(?<=[.;:!?])\s+"
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
 
@@ -60,11 +61,20 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0), lambda w: ~w.isin(*STOP_WORDS))
 
 
-def _vectors(rows: DataFrame, keys: list[str], weights: DataFrame, unseen: float) -> DataFrame:
-    """(*keys, word, w): unit TF-IDF vectors of the token arrays ``tokens``."""
+def _vectors(rows: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
+    """(*keys, word, w): TF-IDF vectors of the token arrays ``tokens``."""
     tf = rows.select(*keys, F.explode("tokens").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(weights), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    return tf.select(*keys, "word", "w")
+    return tf.join(weights, "word").select(*keys, "word", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def _weights(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(word, idf) of every word of the files and the templates."""
+    held = F.array_distinct(_tokens(F.col("text")))
+    words = files.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ours = files.sparkSession.createDataFrame([(w, 1) for w in vocabulary], "word string, df long")  # of the fixed templates
+    df = words.unionByName(ours).groupBy("word").agg(F.sum("df").alias("df"))
+    share = F.least((F.lit(files.count()) + 1.0) / F.col("df"), F.lit(RARE))
+    return materialize(df.select("word", (F.log(share) + 1.0).alias("idf")), "license-weights")
 
 
 def match(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -78,20 +88,15 @@ def match(files: DataFrame, least: float = LEAST) -> DataFrame:
     vocabulary = sorted({w for r in given.select("tokens").collect() for w in r[0]})  # of the fixed templates
     hits = files.where(F.col("text").isNotNull()).select(
         "file", F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 0), F.array(*map(F.lit, vocabulary))).alias("hits"), "text")
-    df = files.select(F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 0), F.array(*map(F.lit, vocabulary))).alias("hits"))
-    df = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("hits", w)).alias(f"w{i}") for i, w in enumerate(vocabulary)]).first()
-    n = df["n"]
-    idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0
-    weights = spark.createDataFrame([(w, df[f"w{i}"]) for i, w in enumerate(vocabulary)], "word string, df long").select("word", idf.alias("idf"))
-    unseen = weights.select(F.log(F.lit(n) + 1.0) + 1.0).first()[0]
-    unit = _vectors(given.select("template", "license_id", "tokens"), ["template", "license_id"], weights, unseen)
+    weights = _weights(files, vocabulary)
+    unit = _vectors(given.select("template", "license_id", "tokens"), ["template", "license_id"], weights)
     norms = unit.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = unit.join(norms, "template").select("template", "license_id", "word", (F.col("w") / F.col("norm")).alias("tw"))
     segments = hits.where(F.size("hits") >= 2).select("file", F.posexplode(F.split("text", _CUT)).alias("no", "segment"))
     segments = segments.select("file", "no", _tokens(F.col("segment")).alias("tokens"),
                                F.regexp_count("segment", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     segments = segments.where(F.arrays_overlap("tokens", F.array(*map(F.lit, vocabulary))))
-    vec = _vectors(segments, ["file", "no", "words"], weights, unseen)
+    vec = _vectors(segments, ["file", "no", "words"], weights)
     size = vec.groupBy("file", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vec.join(F.broadcast(unit), "word").groupBy("file", "no", "words", "template", "license_id").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scores = dots.join(size, ["file", "no"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)

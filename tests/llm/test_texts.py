@@ -162,3 +162,16 @@ def test_licence_scan(spark):
     assert got[4][:2] == ("Apache-2.0", "header") and got[5] == (None, None, None) and got[6] == (None, None, None)
     assert got[8] == ("MIT", "inherited", "a/LICENSE") and got[10] == ("MIT", "inherited", "k/only.txt") and got[7][0] == "MIT"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_licence_verdict_does_not_follow_corpus_size(spark):
+    """A notice with one more common word, at equal shares of files."""
+    notice = "This project is licensed under the MIT License."
+    bits = [(2, "project"), (4, "license"), (5, "licensed"), (5, "under"), (10, "mit")]
+    found = []
+    for n in (40, 40_000):
+        words = F.concat_ws(" ", *[F.when(F.col("id") % k == 0, F.lit(w)) for k, w in bits])
+        files = spark.range(n).select(F.col("id").alias("file"), words.alias("text"))
+        files = files.unionByName(spark.createDataFrame([(-1, notice)], "file long, text string"))
+        found.append({r.file: (r.license_id, r.score) for r in licenses.match(files).collect()}[-1])
+    assert found[0][0] == found[1][0] == "MIT" and found[0][1] == pytest.approx(found[1][1], abs=0.05)
