@@ -1,12 +1,15 @@
 """Licence scan in DataFrame operations: sparse TF-IDF cosine against templates, then inheritance from ancestor folders.
 
-Texts are cut into sentences and lines. Segments and templates become sparse TF-IDF vectors; document frequencies of all
+Texts are cut into sentences, with the wrapped lines of a paragraph joined, and these into lines. Segments and templates become sparse TF-IDF vectors; document frequencies of all
 words are counted over all files, with the templates as one file more. Words in less than one of ``RARE`` files weigh the
 same, so weights follow the shares of files and not their number. A segment matches a template from cosine ``least`` on; a
 file's own licence is that of its best segment (ties: smaller id).
 
-A file is a licence file of its folder if its base name says so, or if segments that match make up at least ``share`` of
-its words. A file without a licence of its own takes that of the nearest ancestor folder with a licence file (of several
+A whole file with a cosine of ``WHOLE`` to the full text of a licence (``licence_texts``) has that licence, before its
+segments. Only texts whose words in the file hold ``WHOLE`` squared of the text's squared norm can come to that.
+
+A file is a licence file of its folder if it is such a text, if its base name says so, or if segments that match make up at
+least ``share`` of its words. A file without a licence of its own takes that of the nearest ancestor folder with a licence file (of several
 in one folder the best match, then the smallest path). Folders are resolved once each and joined to the files.
 
 Whole texts are scanned. Only files that hold two words of the template vocabulary are cut into segments: one with fewer
@@ -18,6 +21,8 @@ repeated rows are resolved alike; an empty table gives an empty result. Other co
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +57,11 @@ TEMPLATES = (
 STOP_WORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "its", "of", "on", "or", "that",
               "the", "this", "to", "with", "you")
 FILE_NAMES = r"(?i)^(licen[cs]es?|copying|copyright|unlicense)([._-].*)?$"
-LEAST, SHARE, RARE = 0.6, 0.5, 1000.0
+LEAST, WHOLE, SHARE, RARE = 0.6, 0.9, 0.5, 1000.0
+TEXTS = Path(__file__).with_name("licence_texts")
 _CUT = r"\n|(?<=[.;:!?])\s+"
+#: Sentences with their wrapped lines: a line without letters and digits ends a paragraph.
+_PART = r"\n[^a-zA-Z0-9\n]*\n|(?<=[.;:!?])\s+"
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
 
 
@@ -67,42 +75,73 @@ def _vectors(rows: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
     return tf.join(weights, "word").select(*keys, "word", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def _weights(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(word, idf) of every word of the files and the templates."""
+def _unit(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, word, tw): the vectors at length one; rows of templates."""
+    norms = vectors.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return vectors.join(norms, keys).select(*keys, "word", (F.col("w") / F.col("norm")).alias("tw"))
+
+
+def _weights(files: DataFrame, vocabulary: list[str], others: DataFrame) -> DataFrame:
+    """(word, idf) of every word of the files, the templates and the ``tokens`` of others, which do not count as files."""
     held = F.array_distinct(_tokens(F.col("text")))
     words = files.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ours = files.sparkSession.createDataFrame([(w, 1) for w in vocabulary], "word string, df long")  # of the fixed templates
+    ours = ours.unionByName(others.select(F.explode("tokens").alias("word"), F.lit(0).cast("long").alias("df")))
     df = words.unionByName(ours).groupBy("word").agg(F.sum("df").alias("df"))
-    share = F.least((F.lit(files.count()) + 1.0) / F.col("df"), F.lit(RARE))
+    share = F.least((F.lit(files.count()) + 1.0) / F.greatest("df", F.lit(1)), F.lit(RARE))
     return materialize(df.select("word", (F.log(share) + 1.0).alias("idf")), "license-weights")
 
 
+def _whole(files: DataFrame, full: DataFrame, weights: DataFrame) -> DataFrame:
+    """(file, whole_id, whole_score): files that are the full text of a licence."""
+    unit = materialize(_unit(_vectors(full, ["license_id"], weights), ["license_id"]), "license-texts")
+    rows = files.select("file", _tokens(F.col("text")).alias("tokens"))
+    held = rows.select("file", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(unit), "word")  # fixed texts
+    near = held.groupBy("file", "license_id").agg(F.sum(F.col("tw") * F.col("tw")).alias("held")).where(F.col("held") >= WHOLE * WHOLE - 1e-9)
+    near = materialize(near.select("file").distinct(), "license-near")
+    vec = materialize(_vectors(rows.join(near, "file"), ["file"], weights), "license-whole")
+    size = vec.groupBy("file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vec.join(F.broadcast(unit), "word").groupBy("file", "license_id").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scores = dots.join(size, "file").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= WHOLE)
+    best = scores.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
+    return best.select("file", F.col("b.license_id").alias("whole_id"), (-F.col("b.s")).alias("whole_score"))
+
+
 def match(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """(file, license_id, score, n_words, matched): files, by an id column ``file`` and ``text``, with a matching segment.
+    """(file, license_id, score, matched, whole): files, by an id column ``file`` and ``text``, with a licence of their own.
 
-    matched: words in matching segments.
+    matched: words in matching segments; whole: the file is the full text of the licence.
     """
     spark = files.sparkSession
     given = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template int, license_id string, text string")
     given = given.select("template", "license_id", _tokens(F.col("text")).alias("tokens"))
+    full = spark.createDataFrame([(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))], "license_id string, text string")
+    full = full.select("license_id", _tokens(F.col("text")).alias("tokens"))
     vocabulary = sorted({w for r in given.select("tokens").collect() for w in r[0]})  # of the fixed templates
     hits = files.where(F.col("text").isNotNull()).select(
         "file", F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 0), F.array(*map(F.lit, vocabulary))).alias("hits"), "text")
-    weights = _weights(files, vocabulary)
-    unit = _vectors(given.select("template", "license_id", "tokens"), ["template", "license_id"], weights)
-    norms = unit.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = unit.join(norms, "template").select("template", "license_id", "word", (F.col("w") / F.col("norm")).alias("tw"))
-    segments = hits.where(F.size("hits") >= 2).select("file", F.posexplode(F.split("text", _CUT)).alias("no", "segment"))
-    segments = segments.select("file", "no", _tokens(F.col("segment")).alias("tokens"),
+    weights = _weights(files, vocabulary, full)
+    unit = _unit(_vectors(given, ["template", "license_id"], weights), ["template", "license_id"])
+    parts = hits.where(F.size("hits") >= 2).select("file", F.posexplode(F.split("text", _PART)).alias("no", "part"))
+    in_lines = F.split("part", "\n")
+    # sub 0 is the sentence, the others are its lines
+    segments = parts.select("file", "no", F.posexplode(F.when(F.size(in_lines) > 1, F.concat(F.array("part"), in_lines)).otherwise(
+        F.array("part"))).alias("sub", "segment"))
+    segments = segments.select("file", "no", "sub", _tokens(F.col("segment")).alias("tokens"),
                                F.regexp_count("segment", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     segments = segments.where(F.arrays_overlap("tokens", F.array(*map(F.lit, vocabulary))))
-    vec = _vectors(segments, ["file", "no", "words"], weights)
-    size = vec.groupBy("file", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vec.join(F.broadcast(unit), "word").groupBy("file", "no", "words", "template", "license_id").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scores = dots.join(size, ["file", "no"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = scores.groupBy("file", "no", "words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
-    return best.groupBy("file").agg(F.min("b").alias("b"), F.sum("words").alias("matched")).select(
-        "file", F.col("b.license_id").alias("license_id"), (-F.col("b.s")).alias("score"), "matched")
+    vec = _vectors(segments, ["file", "no", "sub", "words"], weights)
+    size = vec.groupBy("file", "no", "sub").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vec.join(F.broadcast(unit), "word").groupBy("file", "no", "sub", "words", "template", "license_id").agg(
+        F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scores = dots.join(size, ["file", "no", "sub"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    best = scores.groupBy("file", "no", "sub", "words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
+    in_part = F.greatest(F.max(F.when(F.col("sub") == 0, F.col("words"))), F.sum(F.when(F.col("sub") > 0, F.col("words"))))
+    best = best.groupBy("file", "no").agg(F.min("b").alias("b"), in_part.alias("words"))
+    best = best.groupBy("file").agg(F.min("b").alias("b"), F.sum("words").alias("matched"))
+    best = best.join(_whole(files, full, weights), "file", "full")
+    return best.select("file", F.coalesce("whole_id", "b.license_id").alias("license_id"), F.coalesce("whole_score", -F.col("b.s")).alias("score"),
+                       "matched", F.col("whole_id").isNotNull().alias("whole"))
 
 
 def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFrame:
@@ -113,7 +152,7 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     base = materialize(files.select("file", "path", folder.alias("folder"), words.alias("words")), "license-files")
     own = base.join(found, "file", "left")
     named = F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAMES)
-    is_file = F.col("license_id").isNotNull() & (named | (F.col("matched") >= F.lit(share) * F.col("words")))
+    is_file = F.col("license_id").isNotNull() & (F.col("whole") | named | (F.col("matched") >= F.lit(share) * F.col("words")))
     own = materialize(own.withColumn("is_file", F.coalesce(is_file, F.lit(False))), "license-own")
     holders = own.where("is_file AND folder IS NOT NULL").groupBy(F.col("folder").alias("at")).agg(
         F.min(F.struct((-F.col("score")).alias("s"), "path", "license_id")).alias("b"))

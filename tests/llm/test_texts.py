@@ -175,3 +175,18 @@ def test_licence_verdict_does_not_follow_corpus_size(spark):
         files = files.unionByName(spark.createDataFrame([(-1, notice)], "file long, text string"))
         found.append({r.file: (r.license_id, r.score) for r in licenses.match(files).collect()}[-1])
     assert found[0][0] == found[1][0] == "MIT" and found[0][1] == pytest.approx(found[1][1], abs=0.05)
+
+
+@pytest.mark.parametrize("wrapped", [True, False])
+def test_full_licence_texts_and_wrapped_notices(spark, wrapped):
+    lay = lambda t: t if wrapped else re.sub(r"\s+", " ", t)
+    texts = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    holder = "Copyright (c) 2021 Jane Doe and contributors\n\n"
+    files = [(i, f"{name}/d1.txt", lay(holder + text)) for i, (name, text) in enumerate(texts.items())]
+    files += [(100 + i, f"{name}/sub/x.py", "no notice") for i, name in enumerate(texts)]
+    notice = "# Licensed under the Apache License,\n# Version 2.0.\n#\nx = 1\n" + "y = x\n" * 50
+    files += [(200, "code/a.py", lay(notice) if wrapped else notice)]
+    got = {r.path: (r.license_id, r.how) for r in licenses.scan(spark.createDataFrame(files, "file long, path string, text string")).collect()}
+    for name in texts:
+        assert got[f"{name}/d1.txt"] == (name, "file") and got[f"{name}/sub/x.py"] == (name, "inherited")
+    assert got["code/a.py"] == ("Apache-2.0", "header")
