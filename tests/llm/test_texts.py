@@ -190,3 +190,28 @@ def test_full_licence_texts_and_wrapped_notices(spark, wrapped):
     for name in texts:
         assert got[f"{name}/d1.txt"] == (name, "file") and got[f"{name}/sub/x.py"] == (name, "inherited")
     assert got["code/a.py"] == ("Apache-2.0", "header")
+
+
+def test_licences_are_not_taken_for_one_another(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as\n" \
+          "published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    bsd = licenses.TEMPLATES[3][1]
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 1.", None),
+        (gnu.format("", ";", "2"), "GPL-2.0"), (gnu.format("", ",", "3"), "GPL-3.0"), (gnu.format("Lesser ", ";", "2.1"), "LGPL-2.1"),
+        (gnu.format("Affero ", ",", "3"), "AGPL-3.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 3.0.", None),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        ('The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except '
+         "in compliance with the License.", "MPL-1.1"),
+        (bsd, "BSD-2-Clause"), (bsd + "\n" + licenses.TEMPLATES[4][1], "BSD-3-Clause"), ("Released under the BSD License.", None), ("SOFTWARE.", None)]
+    files = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "file long, text string")
+    full = (licenses.TEXTS / "GPL-3.0.txt").read_text()
+    affero = full.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    files = files.unionByName(spark.createDataFrame([(100, full), (101, affero)], files.schema))
+    got = {r.file: r for r in licenses.match(files).collect()}
+    assert [got[i].license_id if i in got else None for i in range(len(cases))] == [name for _, name in cases]
+    assert got[100].whole and (101 not in got or not got[101].whole)
