@@ -15,11 +15,12 @@ A file is a licence file of its folder if it is such a text, if its base name sa
 least ``share`` of its words. A file without a licence of its own takes that of the nearest ancestor folder with a licence file (of several
 in one folder the best match, then the smallest path). Folders are resolved once each and joined to the files.
 
-Whole texts are scanned. Only files that hold two words of the template vocabulary are cut into segments: one with fewer
-shares at most one word with any template. Templates and their vocabulary are fixed tables, so their joins are broadcast.
+Whole texts are scanned. Only files that hold two words of the template vocabulary are cut into segments, as a match
+needs two shared words in one segment. Templates and their vocabulary are fixed tables, so their joins are broadcast.
 
 Defined results: NULL and empty texts have no licence of their own and may inherit one; a NULL path has no folder;
-repeated rows are resolved alike; an empty table gives an empty result. Other columns are ignored.
+repeated rows are resolved alike; a
+NULL id is an id like others, and rows of one id with different texts are different files; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,9 +212,10 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     """Per row of ``files`` (file, path, text): file, path, license_id, score, how (header, file, inherited) and from_path."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    found = match(files.select("file", "text"), least)
-    base = materialize(files.select("file", "path", folder.alias("folder"), words.alias("words")), "license-files")
-    own = base.join(found, "file", "left")
+    key = F.struct("file", F.xxhash64("text").alias("text")).alias("key")
+    found = match(files.select(key.alias("file"), "text"), least).withColumnRenamed("file", "key")
+    base = materialize(files.select(key, "file", "path", folder.alias("folder"), words.alias("words")), "license-files")
+    own = base.join(found, "key", "left")
     named = F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAMES)
     is_file = F.col("license_id").isNotNull() & (F.col("whole") | named | (F.col("matched") >= F.lit(share) * F.col("words")))
     own = materialize(own.withColumn("is_file", F.coalesce(is_file, F.lit(False))), "license-own")

@@ -215,3 +215,12 @@ def test_licences_are_not_taken_for_one_another(spark):
     got = {r.file: r for r in licenses.match(files).collect()}
     assert [got[i].license_id if i in got else None for i in range(len(cases))] == [name for _, name in cases]
     assert got[100].whole and (101 not in got or not got[101].whole)
+
+
+def test_licence_of_files_without_id_and_of_one_word(spark):
+    full = (licenses.TEXTS / "MIT.txt").read_text()
+    files = [(None, "a/x.txt", "Released under the MIT License."), (None, "b/y.txt", "nothing here"), (None, "c/z.txt", full),
+             (1, "d/x.txt", "SOFTWARE.\nfoo"), (2, "e/x.txt", "SOFTWARE.\nlicense")]
+    rows = licenses.scan(spark.createDataFrame(files, "file long, path string, text string")).collect()
+    assert {r.path: (r.license_id, r.how) for r in rows} == {
+        "a/x.txt": ("MIT", "file"), "b/y.txt": (None, None), "c/z.txt": ("MIT", "file"), "d/x.txt": (None, None), "e/x.txt": (None, None)}
