@@ -185,14 +185,14 @@ def match(files: DataFrame, least: float = LEAST) -> DataFrame:
     segments = parts.select("file", "no", F.posexplode(F.when(F.size(in_lines) > 1, F.concat(F.array("part"), in_lines)).otherwise(
         F.array("part"))).alias("sub", "segment"))
     segments = segments.select("file", "no", "sub", _tokens(F.col("segment")).alias("tokens"),
-                               F.regexp_count("segment", F.lit(r"[^\x20\x09-\x0D]+")).alias("words")).withColumn("tells", _tells(F.col("tokens")))
+                               F.regexp_count("segment", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     segments = segments.where(F.arrays_overlap("tokens", F.array(*map(F.lit, vocabulary))))
-    vec = _vectors(segments, ["file", "no", "sub", "words", "tells"], weights)
-    size = vec.groupBy("file", "no", "sub").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vec.join(F.broadcast(unit), "word").where("(tells & need) = need AND (tells & bars) = 0")
-    dots = dots.groupBy("file", "no", "sub", "words", "template", "license_id").agg(
+    vec = _vectors(segments, ["file", "no", "sub", "words"], weights)
+    told = sum((F.when(F.col("word").isin(*words), 1 << i).otherwise(0) for i, words in enumerate(TELLS)), F.lit(0))
+    size = vec.groupBy("file", "no", "sub").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.bit_or(told).alias("tells"))
+    dots = vec.join(F.broadcast(unit), "word").groupBy("file", "no", "sub", "words", "template", "license_id", "need", "bars").agg(
         F.sum(F.col("w") * F.col("tw")).alias("dot"), F.count(F.lit(1)).alias("common")).where("common >= 2")
-    scores = dots.join(size, ["file", "no", "sub"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    scores = dots.join(size, ["file", "no", "sub"]).where("(tells & need) = need AND (tells & bars) = 0").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
     named = F.struct((-F.col("score")).alias("s"), "license_id")
     bests = lambda: [F.min(F.when(F.col("license_id") != "BSD-2-Clause", named)).alias("b"),
                      F.min(F.when(F.col("license_id") == "BSD-2-Clause", named)).alias("b2"), F.bool_or(F.col("license_id") == "BSD-3-Clause").alias("b3")]
