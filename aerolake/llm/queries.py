@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, sharding
+from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, runs, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +157,21 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every vector whose id is divisible by 50, among all others."""
     rows = read(spark, sf_dir, "embeddings")
     return mih.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of every tenth document or so repeat from a place on, by the id's checksum; the others stay as they are."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    turn = words[a : a + p]
+    return words[:a] + (turn * ((n - a) // p + 1))[: n - a]
+
+
+@query("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document: number, longest one, digests of all and of the text without repeats."""
+    return runs.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), edit=plant_period)
