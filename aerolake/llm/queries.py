@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, runs, sharding
+from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, rankqueue, runs, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,16 @@ def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document: number, longest one, digests of all and of the text without repeats."""
     return runs.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), edit=plant_period)
+
+
+def rank_file() -> str:
+    """Path of the public vocabulary of ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op12_rank_bpe")
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, digest of the ids and digest of the decoded bytes of every document, by the vocabulary of ranks."""
+    return rankqueue.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), rank_file())
