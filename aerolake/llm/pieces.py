@@ -31,7 +31,7 @@ class Memo(dict):
     """Text to ids, filled on demand and bounded in bytes. What was not asked for since the table was last full is
     forgotten, which changes no result."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes] | None = None) -> None:
         super().__init__()
         self.make, self.old, self.size = make, {}, 0
 
@@ -39,13 +39,23 @@ class Memo(dict):
         ids = self.old.get(text)
         if ids is None:
             ids = self.make(text)
+        self.store(text, ids)
+        return ids
+
+    def recall(self, text: str) -> bytes | None:
+        """Ids if they are known."""
+        ids = self.get(text)
+        if ids is None and (ids := self.old.get(text)) is not None:
+            self.store(text, ids)
+        return ids
+
+    def store(self, text: str, ids: bytes) -> None:
         if len(text) <= MEMO_LENGTH:
             self.size += len(text) + len(ids) + ENTRY_BYTES
             if self.size > MEMO_BYTES:
                 self.old, self.size = dict(self), 0
                 self.clear()
             self[text] = ids
-        return ids
 
     def forget(self) -> None:
         self.clear()
@@ -55,19 +65,26 @@ class Memo(dict):
 class Splitter:
     """Texts to pieces by the pattern of the byte-level vocabularies, and pieces to ids by ``encode_piece``."""
 
-    def __init__(self, encode_piece: Callable[[str], bytes]) -> None:
+    def __init__(self, encode_piece: Callable[[str], bytes] | None = None) -> None:
         self.find, self.find_any, self.odd_blank, self.lone_blank = _patterns()
         self.pieces, self.runs = Memo(encode_piece), Memo(self._spaced)
 
+    def cut(self, text: str) -> list[str]:
+        """The text without the blanks that stand between two other characters that are no white space. Such a blank always
+        begins a piece, so the text can be cut there first: most of these runs are known, and a look-up is cheaper than the
+        pattern."""
+        return self.lone_blank.split(text) if self.odd_blank.search(text) else text.split(" ")
+
+    def split(self, run: str) -> list[str]:
+        """Pieces of a text or a part of it."""
+        return (self.find if max(run, default="") < "\U00010000" else self.find_any)(run)
+
     def encode(self, text: str) -> bytes:
-        """A blank between two other characters that are no white space always begins a piece, so the text is cut there
-        first: most of these runs are known, and a look-up is cheaper than the pattern."""
-        runs = self.lone_blank.split(text) if self.odd_blank.search(text) else text.split(" ")
+        runs = self.cut(text)
         return self._run(runs[0]) + b"".join(map(self.runs.__getitem__, runs[1:]))
 
     def _run(self, run: str) -> bytes:
-        find = self.find if max(run, default="") < "\U00010000" else self.find_any
-        return b"".join(map(self.pieces.__getitem__, find(run)))
+        return b"".join(map(self.pieces.__getitem__, self.split(run)))
 
     def _spaced(self, run: str) -> bytes:
         return self._run(" " + run)

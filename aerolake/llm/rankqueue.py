@@ -4,8 +4,9 @@ A pre-token starts as a linked list of its bytes. Each pair of neighbours whose
 of that token's rank; a bitmap of three levels of 64-bit words says which buckets hold something, so the next rank is found
 with three find-first-set steps, however many ranks are in use. The bucket's positions are merged from left to right; each
 merge links the right neighbour out and puts the two new pairs in their buckets. Entries whose pair has changed since are
-stale and skipped. If a merge opens a lower rank, that rank comes first. The work is proportional to the number of pairs that
-ever exist (at most three per byte) and independent of their order, which suits very long pre-tokens.
+stale and skipped. If a merge opens a lower rank, that rank comes first in its pre-token. The work is proportional to the
+number of pairs that ever exist (at most three per byte) and independent of their order, which suits very long pre-tokens.
+The pre-tokens of a slice of texts that are not known yet go through one queue together, closed off from each other.
 
 Encoding is a narrow map over Arrow batches, a megabyte of text at a time: no shuffle. A worker holds the ranks; frequent
 pre-tokens are looked up in memo tables that are bounded in bytes and emptied at the end of a task.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from aerolake.llm.pieces import Splitter, slices
+from aerolake.llm.pieces import Memo, Splitter, slices
 
 #: Rows that are decoded at a time.
 DECODE_ROWS = 256
+#: Mark of the node that ends a pre-token.
+CLOSE = -2
 
 
 class RankQueue:
@@ -45,13 +49,17 @@ class RankQueue:
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            self.fill(rank, [position])
         else:
             bucket.append(position)
 
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Put positions into an empty bucket."""
+        self.buckets[rank] = positions
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+        self.top |= 1 << (rank >> 12)
+
     def first(self) -> int:
         """Smallest rank that waits, or -1."""
         top = self.top
@@ -83,69 +91,107 @@ class RankBPE:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
         self.bytes = {r: t for t, r in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self._plain = Splitter(self._piece)
+        self.byte_rank = np.array([self.ranks.get(bytes([c]), 0) for c in range(256)], np.int64)
+        self.pair_rank = np.array([self.ranks.get(bytes([c, d]), -1) for c in range(256) for d in range(256)], np.int64)
+        self._splitter, self._known = Splitter(), Memo()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return self._plain.encode(text) if text else b""
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        cuts = [self._splitter.cut(t) if t else [""] for t in texts]
+        split = self._splitter.split
+        ids = {r: self._known.recall(r) for r in set().union(*[c[1:] for c in cuts])}  # runs after a blank
+        pieces = {r: split(" " + r) for r, known in ids.items() if known is None}
+        firsts = [split(c[0]) for c in cuts]
+        new = list({p for found in [*pieces.values(), *firsts] for p in found})
+        made = dict(zip(new, self.encode_pieces([p.encode() for p in new])))
+        for r, found in pieces.items():
+            ids[r] = b"".join(map(made.__getitem__, found))
+            self._known.store(r, ids[r])
+        return [b"".join([*map(made.__getitem__, f), *map(ids.__getitem__, c[1:])]) for f, c in zip(firsts, cuts)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def forget(self) -> None:
         """Empty the memo tables."""
-        self._plain.forget()
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        rank_of = self.ranks.get
-        whole = rank_of(piece)
-        if whole is not None:
-            return [whole]
-        n, queue = len(piece), self.queue
+        self._known.forget()
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, none of them empty, by one queue."""
+        out = [self.ranks.get(p, -1).to_bytes(4, "little", signed=True) for p in pieces]
+        rest = [k for k, p in enumerate(pieces) if p not in self.ranks]
+        if not rest:
+            return out
+        text = b"".join([pieces[k] + b"\0" for k in rest])  # each is closed by a node that pairs with nothing
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        n = len(data)
+        close = np.cumsum([len(pieces[k]) + 1 for k in rest]) - 1
+        waits = np.full(n, -1, np.int64)
+        waits[:-1] = self.pair_rank[data[:-1] << 8 | data[1:]]
+        waits[close - 1], waits[close] = -1, CLOSE
+        links = np.arange(-1, n - 1)
+        links[close[:-1] + 1] = -1
+        at = np.flatnonzero(waits >= 0)
+        at = at[np.argsort(waits[at], kind="stable")]
+        edges = np.flatnonzero(np.diff(waits[at], prepend=-1))
+        for rank, positions in zip(waits[at[edges]].tolist(), np.split(at, edges[1:])):
+            if len(positions):
+                self.queue.fill(rank, positions.tolist())
+        token = self.byte_rank[data].tolist()
+        gone = self._merge(text, waits.tolist(), links.tolist(), close.tolist(), token)
+        ids = np.array(token, "<u4")
+        stays = np.frombuffer(gone, np.uint8) == 0
+        stays[close] = False
+        ends = np.cumsum(stays)[close].tolist()
+        ids, start = ids[stays], 0
+        for k, end in zip(rest, ends):
+            out[k] = ids[start:end].tobytes()
+            start = end
+        return out
+
+    def _merge(self, text: bytes, wait: list[int], before: list[int], close: list[int], token: list[int]) -> bytearray:
+        """Merge what waits in the queue. ``wait`` holds the rank of a node's pair with the next one (-1: none, CLOSE: the
+        node ends a pre-token), ``token`` the nodes' ids. Returns a mark for every node that is gone."""
+        rank_of, queue = self.ranks.get, self.queue
         push = queue.push
-        after = list(range(1, n + 1))  # position of the next node; n ends the list
-        before = list(range(-1, n - 1))
-        wait = [-1] * n  # rank of a node's pair with the next one, -1 if none
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                wait[i] = rank
-                push(rank, i)
+        after = list(range(1, len(text) + 1))
+        gone = bytearray(len(text))
         while (rank := queue.first()) >= 0:
-            positions = queue.take(rank)
-            for k, i in enumerate(positions):
+            held = -1
+            for i in queue.take(rank):
                 if wait[i] != rank:
                     continue  # stale: the pair has changed or the node is gone
+                if i < held:
+                    push(rank, i)
+                    continue
                 j = after[i]
-                end = after[j]
-                after[i], wait[j], wait[i], lowest = end, -1, -1, rank
-                if end < n:
+                after[i] = end = after[j]
+                token[i], gone[j] = rank, 1
+                wait[j] = wait[i] = -1
+                lowest = rank
+                if wait[end] != CLOSE:
                     before[end] = i
-                    new = rank_of(piece[i : after[end]])
+                    new = rank_of(text[i : after[end]])
                     if new is not None:
                         wait[i] = new
                         push(new, i)
-                        lowest = min(lowest, new)
+                        lowest = new
                 left = before[i]
                 if left >= 0:
-                    new = rank_of(piece[left:end])
-                    wait[left] = -1 if new is None else new
-                    if new is not None:
+                    new = rank_of(text[left:end])
+                    if new is None:
+                        wait[left] = -1
+                    else:
+                        wait[left] = new
                         push(new, left)
-                        lowest = min(lowest, new)
+                        if new < lowest:
+                            lowest = new
                 if lowest < rank:
-                    for p in positions[k + 1 :]:
-                        push(rank, p)
-                    break
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+                    held = close[bisect_left(close, i)]  # the rest of this pre-token waits for the lower rank
+        return gone
 
 
 @lru_cache(maxsize=2)
@@ -154,11 +200,11 @@ def load(lines: bytes) -> RankBPE:
     return RankBPE(lines)
 
 
-Row = Callable[[RankBPE, "str | None"], tuple]
+Row = Callable[[RankBPE, bytes], tuple]
 
 
 def _mapped(docs: DataFrame, ranks_path: str, outputs: dict[str, tuple[T.DataType, pa.DataType]], row: Row) -> DataFrame:
-    """``docs`` without the text, with the columns that ``row(bpe, text)`` gives as a tuple."""
+    """``docs`` without the text, with the columns that ``row(bpe, ids)`` gives as a tuple."""
     with open(ranks_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: fixed size
     keep = [c for c in docs.columns if c not in outputs and c != "text"]
@@ -170,7 +216,7 @@ def _mapped(docs: DataFrame, ranks_path: str, outputs: dict[str, tuple[T.DataTyp
         try:
             for part in (p for batch in batches for p in slices(batch, "__text")):
                 at = part.schema.get_field_index("__text")
-                rows = [row(bpe, t.as_py()) for t in part.column(at)]
+                rows = [row(bpe, ids) for ids in bpe.encode_texts(part.column(at).to_pylist())]
                 made = [pa.array(list(c), k) for c, k in zip(zip(*rows), arrow)]
                 yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != at], *made], schema.names)
         finally:
@@ -182,9 +228,8 @@ def _mapped(docs: DataFrame, ranks_path: str, outputs: dict[str, tuple[T.DataTyp
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` (array of int) in place of the text."""
 
-    def row(bpe: RankBPE, text: str | None):
-        ids = np.frombuffer(bpe.encode(text), "<u4").astype(np.int32)
-        return len(ids), ids
+    def row(bpe: RankBPE, ids: bytes):
+        return len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32)
 
     return _mapped(docs, ranks_path, {"n_tokens": (T.LongType(), pa.int64()),
                                       "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}, row)
@@ -212,8 +257,7 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 in place of the text."""
 
-    def row(bpe: RankBPE, text: str | None):
-        ids = bpe.encode(text)
+    def row(bpe: RankBPE, ids: bytes):
         listed = ",".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()
         return len(ids) // 4, hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 

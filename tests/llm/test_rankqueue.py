@@ -60,7 +60,9 @@ def test_any_ranks_against_plain_merges():
                 break
             _, i = min(pairs)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert bpe.encode_piece(piece) == [bpe.ranks[p] for p in parts] and bpe.queue.first() == -1
+        want = b"".join(bpe.ranks[p].to_bytes(4, "little") for p in parts)
+        given = [piece, b"ab", piece[::-1], piece]
+        assert bpe.encode_pieces(given)[::3] == [want, want] and bpe.encode_pieces([piece]) == [want] and bpe.queue.first() == -1
 
 
 def test_table_against_library(spark, library):
