@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, rankqueue, runs, sharding
+from aerolake.llm import alignment, bpe, chat, covertree, hyperminhash, licenses, linededup, mih, mixing, quality, rankqueue, runs, sharding
 from aerolake.llm.common import read, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,16 @@ def rank_file() -> str:
 def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded bytes of every document, by the vocabulary of ranks."""
     return rankqueue.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), rank_file())
+
+
+def piece_model() -> str:
+    """Path of the public vocabulary of pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers that cut the same bytes, and how common the linked pairs of ids are."""
+    return alignment.link_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), piece_model())
