@@ -6,8 +6,8 @@ that is compatible with the last token of the shorter prefix in front of it, two
 their concatenation as this pair. Following the stored tokens back from the end gives the ids. The work is linear in the
 piece, however long it is and however its merges are nested.
 
-Encoding is a narrow map over Arrow batches: no shuffle, and each worker holds the vocabulary, the automaton and bounded
-memo tables. Frequent pieces are looked up; the tables are emptied when they are full, which changes no result.
+Encoding is a narrow map over Arrow batches, a megabyte of text at a time: no shuffle, and each worker holds the vocabulary
+and the automaton. Frequent pieces are looked up in memo tables that are bounded in bytes and emptied at the end of a task.
 
 Defined results: NULL and empty texts have no tokens; the special tokens of the vocabulary file are recognised inside
 texts; other columns are passed through as they are unless they have the name of an output column, in which case the
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries of a worker's memo tables, and the longest text that is remembered.
-MEMO_TEXTS, MEMO_PAIRS, MEMO_LENGTH = 200_000, 300_000, 32
-_SPACES = "\t-\r \x85\xa0  -     　"
+from aerolake.llm.pieces import Splitter, slices
+
+#: Token pairs of which a worker remembers whether they are compatible.
+MEMO_PAIRS = 200_000
+#: Rows that are decoded at a time.
+DECODE_ROWS = 256
 
 
 class ByteBPE:
@@ -58,10 +61,8 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = raw | {i: s.encode() for s, i in self.special.items()}
-        self.find, self.find_any, self.odd_blank, self.lone_blank = _splitters()
         self._pairs: dict[int, bool] = {}
-        self._pieces = _Memo(self._piece)
-        self._words = _Memo(self._spaced)
+        self._plain = Splitter(self._piece)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE keeps ``a`` and ``b`` apart. Their merges are undone, latest first; the pair at the seam must not
@@ -113,20 +114,16 @@ class ByteBPE:
             return b""
         if self.special and any(s in text for s in self.special):
             return self._encode_special(text)
-        return self._encode_plain(text)
-
-    def _encode_plain(self, text: str) -> bytes:
-        """A blank between two other characters that are no white space always begins a piece, so the text is cut there
-        first: most of these runs are known, and a look-up is cheaper than the pattern."""
-        runs = self.lone_blank.split(text) if self.odd_blank.search(text) else text.split(" ")
-        return self._run(runs[0]) + b"".join(map(self._words.__getitem__, runs[1:]))
+        return self.encode_plain(text)
 
-    def _run(self, run: str) -> bytes:
-        find = self.find if max(run, default="") < "\U00010000" else self.find_any
-        return b"".join(map(self._pieces.__getitem__, find(run)))
+    def encode_plain(self, text: str) -> bytes:
+        """As ``encode``, but special tokens inside the text are plain text."""
+        return self._plain.encode(text)
 
-    def _spaced(self, run: str) -> bytes:
-        return self._run(" " + run)
+    def forget(self) -> None:
+        """Empty the memo tables."""
+        self._plain.forget()
+        self._pairs.clear()
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
@@ -138,9 +135,9 @@ class ByteBPE:
             hits = [(text.find(s, at), -len(s), s) for s in self.special]
             hits = [h for h in hits if h[0] >= 0]
             if not hits:
-                return b"".join([*out, self._encode_plain(text[at:])])
+                return b"".join([*out, self.encode_plain(text[at:])])
             i, _, s = min(hits)
-            out += [self._encode_plain(text[at:i]), self.special[s].to_bytes(4, "little")]
+            out += [self.encode_plain(text[at:i]), self.special[s].to_bytes(4, "little")]
             at = i + len(s)
 
     def decode(self, ids: bytes) -> str:
@@ -148,25 +145,6 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, tokens)).decode("utf-8", "replace")
 
 
-class _Memo(dict):
-    """Text to ids, filled on demand. What was not asked for since the table was last full is forgotten."""
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.old.get(text)
-        if ids is None:
-            ids = self.make(text)
-        if len(text) <= MEMO_LENGTH:
-            if len(self) >= MEMO_TEXTS:
-                self.old = dict(self)
-                self.clear()
-            self[text] = ids
-        return ids
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -174,36 +152,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _splitters() -> tuple:
-    """Piece splitters for texts within the BMP, with character classes spelled out, and for any text; patterns for a blank
-    beside other white space and for one that is not."""
-    import re
-
-    import regex
-
-    def ranges(prop: str) -> str:
-        member, out, start = regex.compile(rf"\p{{{prop}}}"), [], None
-        for c in range(0x10001):
-            inside = c < 0x10000 and not 0xD800 <= c < 0xE000 and bool(member.match(chr(c)))
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
-                start = None
-        return "".join(out)
-
-    def pattern(letter: str, number: str) -> str:
-        s = _SPACES
-        # the contractions only compete with the run of other characters, so the frequent kinds are tried first
-        return (rf" ?[{letter}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{s}{letter}{number}]+"
-                rf"|[{s}]+(?![^{s}])|[{s}]+")
-
-    return (re.compile(pattern(ranges("L"), ranges("N"))).findall, regex.compile(pattern(r"\p{L}", r"\p{N}")).findall,
-            re.compile(f" [{_SPACES}]|[{_SPACES}] "), re.compile(f"(?<![{_SPACES}]) (?![{_SPACES}])"))
-
-
 @lru_cache(maxsize=2)
-def _bpe(spec: str) -> ByteBPE:
+def load(spec: str) -> ByteBPE:
+    """The vocabulary, kept by a worker; without memo tables between tasks."""
     return ByteBPE(spec)
 
 
@@ -219,12 +170,15 @@ def _mapped(docs: DataFrame, vocab_path: str, outputs: dict[str, tuple[T.DataTyp
     arrow = [k[1] for k in outputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(held.value)
-        for batch in batches:
-            rows = [row(bpe, t) for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
-            made = [pa.array(list(c), k) for c, k in zip(zip(*rows), arrow)] if rows else [pa.array([], k) for k in arrow]
-            cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, *made], schema.names)
+        bpe = load(held.value)
+        try:
+            for part in (p for batch in batches for p in slices(batch, "__text")):
+                rows = [row(bpe, t.as_py()) for t in part.column(part.schema.get_field_index("__text"))]
+                made = [pa.array(list(c), k) for c, k in zip(zip(*rows), arrow)]
+                cols = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__text"]
+                yield pa.RecordBatch.from_arrays([*cols, *made], schema.names)
+        finally:
+            bpe.forget()
 
     return source.withColumn("__text", docs["text"]).mapInArrow(run, schema)
 
@@ -240,6 +194,19 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
                                       "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}, row)
 
 
+def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """``docs`` without the text, with ``n_tokens``, ``ids`` and ``decoded_sha256``, the digest of the text that the ids decode
+    to: encoding and decoding in one pass, so decoded texts never leave the worker."""
+
+    def row(bpe: ByteBPE, text: str | None):
+        ids = bpe.encode(text)
+        return len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+
+    out = _mapped(docs, vocab_path, {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+                                     "decoded_sha256": (T.StringType(), pa.string())}, row)
+    return out.drop("text")
+
+
 def decode(rows: DataFrame, vocab_path: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of the column ``ids``; a NULL array gives an empty text."""
     with open(vocab_path, encoding="utf-8") as f:
@@ -248,10 +215,13 @@ def decode(rows: DataFrame, vocab_path: str) -> DataFrame:
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(held.value)
+        bpe = load(held.value)
         for batch in batches:
-            texts = [bpe.decode(np.array(i or [], "<u4").tobytes()) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
+            at = batch.schema.get_field_index("ids")
+            for k in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(k, DECODE_ROWS)
+                texts = [bpe.decode(np.array(i.as_py() or [], "<u4").tobytes()) for i in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema.names)
 
     return rows.select(*keep).mapInArrow(run, schema)
 

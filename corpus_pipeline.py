@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), vocabulary()).drop("text")
+    """Token ids of every document, and the digest of the text that they decode to; NULL and empty texts have no tokens."""
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary())
 
 
 STAGES = [
@@ -44,7 +44,7 @@ STAGES = [
     ("line dedup", drop_repeated_lines),
     ("MinHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
-    ("BPE encoding", tokenize),
+    ("BPE encoding and decoding", tokenize),
 ]
 
 #: SQL cannot state hashed models, Gumbel draws and BPE; tests/llm compares the stages with plain Python.

@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline stage by stage against plain Python."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -64,10 +65,12 @@ def test_pipeline_stage_by_stage(spark):
     for r in mixing.plan_mix(seen["MinHash near-dedup"][1]).collect():
         assert abs(copies[r.doc_id] * r.size - r.taken) * 2 <= r.size or r.size == 0
     assert sum(copies[d] * n for d, n in sizes.items()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.1)
-    (given, out) = seen["BPE encoding"]
+    (given, out) = seen["BPE encoding and decoding"]
     lib = Tokenizer.from_file(vocabulary())
     assert sorted((r.doc_id, tuple(r.ids)) for r in out.collect()) == sorted(
         (d, tuple(lib.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in given)
+    digest = lambda ids: hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert all(r.decoded_sha256 == digest(r.ids) for r in out.collect())
     whole = corpus_pipeline.run(spark, SF).select("doc_id", "ids").collect()
     pairs = lambda t: sorted((r.doc_id, tuple(r.ids)) for r in t)
     assert pairs(whole) == pairs(out.collect())
