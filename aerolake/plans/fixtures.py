@@ -51,6 +51,14 @@ VIEWS: dict[str, str] = {
     ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
   JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM {lineitem} GROUP BY l_suppkey) n ON n.l_suppkey = a.l_suppkey
   GROUP BY a.l_suppkey, b.l_suppkey""",
+    # three view graphs with the same node ids
+    "fx_scene_edges": """SELECT a.scene, a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) / max(n.n) AS w
+  FROM (SELECT DISTINCT l_orderkey % 3 AS scene, l_orderkey, l_suppkey FROM {lineitem}) a
+  JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) b
+    ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
+  JOIN (SELECT l_orderkey % 3 AS scene, l_suppkey, count(DISTINCT l_orderkey) AS n FROM {lineitem} GROUP BY 1, 2) n
+    ON n.scene = a.scene AND n.l_suppkey = a.l_suppkey
+  GROUP BY a.scene, a.l_suppkey, b.l_suppkey""",
     "fx_metrics": """SELECT o_orderpriority AS method, o_orderstatus AS dataset, o_custkey % 6 AS scene, 'ate_rmse' AS metric,
   avg(CASE WHEN o_custkey % 6 = 5 AND o_orderstatus = 'F' THEN NULL ELSE o_totalprice / 1000 END) AS value FROM {orders}
   GROUP BY o_orderpriority, o_orderstatus, o_custkey % 6""",
