@@ -301,7 +301,7 @@ def fit_sim3_robust(
 
 def balance_correspondences(
     corr: DataFrame, by: Sequence[str], order: Sequence[str], total: int, grid: int = 16, min_cell: int = 64,
-    max_cell: int = 0, seed: int = 0,
+    max_cell: int = 0, seed: int | Column = 0,
 ) -> DataFrame:
     """Cap correspondences per cell of a midpoint grid, chosen by seeded hash; adds the cell id ``cell``.
 

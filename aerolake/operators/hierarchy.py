@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
 from aerolake.functions.ranking import cap_per_group, quantiles
-from aerolake.operators.alignment import align_chunks, balance_correspondences, eye, fit_overlap, fit_sim3, zeros
+from aerolake.operators.alignment import align_chunks, eye, fit_sim3, zeros
 from aerolake.operators.matching import apply_sim3_points, apply_sim3_poses, centre_correspondences, compose_columns, match_cameras
+from aerolake.operators.mergetree import grid_shapes, key_tree, merge_tree, parent_tree
 from aerolake.operators.neighbors import nn_join
 from aerolake.operators.sampling import sample_cap
 from aerolake.session import materialize
@@ -30,10 +31,6 @@ def pick_predictions(members: DataFrame, groups: DataFrame, by: Sequence[str]) -
     return m.groupBy(*by, "frame").agg(best.alias("b")).select(*by, "frame", F.col("b.c").alias("chunk_id"))
 
 
-def grid_shapes(points: DataFrame) -> DataFrame:
-    return points.groupBy(*CHUNK, "frame").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-
-
 def shared_correspondences(points: DataFrame, transforms: DataFrame, src: DataFrame, dst: DataFrame, by: Sequence[str],
                            shapes: DataFrame | None = None, cap_view: int = 0, cap_total: int = 0, seed: int = 0) -> DataFrame:
     """Same frame and pixel, valid on both sides: (by, frame, y, x, sx..dz) in the current aligned coordinates.
@@ -64,33 +61,6 @@ def shared_correspondences(points: DataFrame, transforms: DataFrame, src: DataFr
     return j.select(*by, "frame", "y", "x", "sx", "sy", "sz", "dx", "dy", "dz")
 
 
-def _merge(points: DataFrame, shapes: DataFrame, members: DataFrame, tf: DataFrame, sides: DataFrame, mode: str, min_corr: int,
-           cap_view: int, cap_total: int, balance: bool, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Fit the child chunks of every group to its anchor chunks and compose the result onto them.
-
-    ``sides(scene, chunk_id, gid, child)``. Returns (transforms, edges(scene, gid, n, valid, s, r, t)).
-    """
-    by = ["scene", "gid"]
-    dst = pick_predictions(members, sides.where("NOT child").drop("child"), by)
-    src = pick_predictions(members, sides.where("child").drop("child"), by)
-    corr = shared_correspondences(points, tf, src, dst, by, shapes, cap_view, 0 if balance else cap_total, seed)
-    if balance:
-        corr = materialize(corr, "corr")
-        corr = balance_correspondences(corr, by, ["frame", "y", "x"], total=cap_total, seed=seed).drop("cell")
-    fit = fit_overlap(materialize(corr, "corr"), by, mode, min_corr)
-    every = sides.select(*by).distinct()
-    edges = materialize(every.join(fit, by, "left").select(
-        *by, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("valid", F.lit(False)).alias("valid"),
-        F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("r", eye()).alias("r"), F.coalesce("t", zeros()).alias("t")), "edges")
-    step = sides.where("child").join(edges, by).select(*CHUNK, F.col("s").alias("s2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
-    j = tf.join(step, CHUNK, "left")
-    s, r, t = compose_columns((F.col("s"), F.col("r"), F.col("t")), (F.col("s2"), F.col("r2"), F.col("t2")))
-    has = F.col("s2").isNotNull()
-    new = j.select(*CHUNK, F.when(has, s).otherwise(F.col("s")).alias("s"), F.when(has, r).otherwise(F.col("r")).alias("r"),
-                   F.when(has, t).otherwise(F.col("t")).alias("t"))
-    return materialize(new, "transforms"), edges
-
-
 def align_hierarchy(chunks: DataFrame, members: DataFrame, points: DataFrame, mode: str = "yaw_translation", min_corr: int = 512,
                     cap_view: int = 0, cap_total: int = 0, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Bottom-up merge along the chunk keys of ``chunks(scene, chunk_id, key ARRAY<INT>)``: (transforms, edges).
@@ -103,59 +73,14 @@ def align_hierarchy(chunks: DataFrame, members: DataFrame, points: DataFrame, mo
     # chunks of one leaf of the tree
     chunks = chunks.select(*CHUNK, "key", (F.row_number().over(same.orderBy("chunk_id")) - 1).alias("__k"), F.count(F.lit(1)).over(same).alias("__n"))
     chunks = chunks.select(*CHUNK, F.when(F.col("__n") > 1, F.concat("key", F.array("__k"))).otherwise(F.col("key")).alias("key"))
-    shapes = materialize(grid_shapes(points), "shapes")
-    tf = materialize(identity_transforms(chunks), "transforms")
-    nodes = materialize(chunks.select(*CHUNK, "key"), "nodes")
-    logs: list[DataFrame] = []
-    for level in range((nodes.agg(F.max(F.size("key"))).first()[0] or 0) + 4):
-        if nodes.groupBy("scene").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] <= 1:
-            break
-        parent = F.slice("key", 1, F.greatest(F.size("key") - 1, F.lit(0)))
-        size = nodes.groupBy("scene", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("up", parent)
-        # the children of one node of the tree
-        w = Window.partitionBy("scene", "up").orderBy(-F.col("n"), "key")
-        size = materialize(size.withColumn("child_rank", F.row_number().over(w) - 1), "children")
-        nodes = materialize(nodes.join(size.drop("n"), ["scene", "key"]), "nodes")
-        for rank in range(1, nodes.agg(F.max("child_rank")).first()[0] + 1):
-            gid = F.concat_ws("/", F.lit("g"), F.transform("up", lambda v: v.cast("string")))
-            busy = size.where(F.col("child_rank") == rank).select("scene", "up")
-            sides = nodes.where(F.col("child_rank") <= rank).join(busy, ["scene", "up"], "left_semi").select(
-                *CHUNK, gid.alias("gid"), (F.col("child_rank") == rank).alias("child"))
-            tf, edges = _merge(points, shapes, members, tf, materialize(sides, "sides"), mode, min_corr, cap_view, cap_total, balance, seed + level)
-            logs.append(edges.withColumns({"level": F.lit(level), "child_rank": F.lit(rank)}))
-        nodes = nodes.select(*CHUNK, F.col("up").alias("key"))
-    return tf, _union(logs, tf)
+    return merge_tree(key_tree(chunks), members, points, mode, min_corr, cap_view, cap_total, balance, seed)
 
 
 def align_parent_graph(chunks: DataFrame, members: DataFrame, points: DataFrame, mode: str = "yaw_translation", min_corr: int = 512,
                        cap_view: int = 0, cap_total: int = 0, balance: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Merge along ``chunks(scene, chunk_id, parent_id, level)``: deepest level first, each chunk with all that joined it
     is fitted to its parent's group. Children of one parent follow their id. Returns (transforms, edges)."""
-    shapes = materialize(grid_shapes(points), "shapes")
-    tf = materialize(identity_transforms(chunks), "transforms")
-    nodes = materialize(chunks.select(*CHUNK, F.col("chunk_id").alias("node")), "nodes")
-    logs: list[DataFrame] = []
-    for level in range(chunks.agg(F.max("level")).first()[0] or 0, 0, -1):
-        kids = chunks.where((F.col("level") == level) & F.col("parent_id").isNotNull()).select("scene", F.col("chunk_id").alias("kid"), "parent_id")
-        # the children of one chunk
-        kids = materialize(kids.withColumn("k", F.row_number().over(Window.partitionBy("scene", "parent_id").orderBy("kid"))), "kids")
-        for rank in range(1, (kids.agg(F.max("k")).first()[0] or 0) + 1):
-            now = kids.where(F.col("k") == rank)
-            child = nodes.join(now.select("scene", F.col("kid").alias("node"), F.col("kid").alias("gid")), ["scene", "node"])
-            anchor = nodes.join(now.select("scene", F.col("parent_id").alias("node"), F.col("kid").alias("gid")), ["scene", "node"])
-            sides = child.select(*CHUNK, "gid", F.lit(True).alias("child")).unionByName(anchor.select(*CHUNK, "gid", F.lit(False).alias("child")))
-            tf, edges = _merge(points, shapes, members, tf, materialize(sides, "sides"), mode, min_corr, cap_view, cap_total, balance, seed + level)
-            logs.append(edges.withColumns({"level": F.lit(level), "child_rank": F.lit(rank)}))
-            up = now.select("scene", F.col("kid").alias("node"), "parent_id")
-            nodes = materialize(nodes.join(up, ["scene", "node"], "left").select(*CHUNK, F.coalesce("parent_id", "node").alias("node")), "nodes")
-    return tf, _union(logs, tf)
-
-
-def _union(logs: list[DataFrame], tf: DataFrame) -> DataFrame | None:
-    out = None
-    for e in logs:
-        out = e if out is None else out.unionByName(e)
-    return out
+    return merge_tree(parent_tree(chunks), members, points, mode, min_corr, cap_view, cap_total, balance, seed)
 
 
 def align_global(transforms: DataFrame, cams: DataFrame, ref: DataFrame, mode: str, order: Sequence[str] = ("chunk_id",),

@@ -75,6 +75,38 @@ def e9(spark, d):
     return _flat(H.align_parent_graph(ch, members(spark, d), pts, min_corr=128)[0])
 
 
+# two scenes with the same chunk ids; in the second one every chunk is turned and shifted the other way
+_UNDO_SCENES = f"""WITH {MEMBERS_SQL}, c AS (SELECT DISTINCT g.scene, chunk_id, 1 - 2 * g.scene AS g FROM mem, (SELECT unnest([0, 1]::BIGINT[]) AS scene) g)
+SELECT scene, chunk_id, 1.0::DOUBLE AS s, {S.rnd('cos(0.05 * chunk_id)', 'r00', 5)}, {S.rnd('g * sin(0.05 * chunk_id)', 'r10', 5)}, {S.rnd('g * chunk_id', 't0', 5)}, {S.rnd('g * -2 * chunk_id', 't1', 5)}, {S.rnd('g * chunk_id / 2', 't2', 5)} FROM c"""
+
+
+def scene_members(spark, d):
+    return members(spark, d).withColumn("scene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+
+
+def scene_pixels(spark, d):
+    px = view(spark, d, "fx_pixels").select("frame", "y", "x", "z", "valid")
+    p = PR.unproject(px, I.pixel_cams(spark, d), ["frame"]).join(scene_members(spark, d), "frame")
+    c = F.col("chunk_id") * (1 - 2 * F.col("scene"))
+    a, u, v = F.lit(0.05) * c, F.col("px") - c, F.col("py") + 2 * c
+    p = p.select("scene", "chunk_id", "frame", "role", "y", "x", "valid", (F.cos(a) * u + F.sin(a) * v).alias("px"),
+                 (-F.sin(a) * u + F.cos(a) * v).alias("py"), (F.col("pz") - c / 2).alias("pz"))
+    return materialize(p, "chunk-pixels")
+
+
+@query("e8_align_hierarchy_scenes", _UNDO_SCENES)
+def e8_scenes(spark, d):
+    keys = chunk_keys(spark, d).withColumn("scene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return _flat(H.align_hierarchy(keys, scene_members(spark, d), scene_pixels(spark, d), min_corr=128)[0])
+
+
+@query("e9_align_parent_graph_scenes", _UNDO_SCENES)
+def e9_scenes(spark, d):
+    ch = scene_members(spark, d).select("scene", "chunk_id").distinct()
+    ch = ch.withColumns({"parent_id": F.when(F.col("chunk_id") > 0, F.col("chunk_id") - 1), "level": F.col("chunk_id").cast("int")})
+    return _flat(H.align_parent_graph(ch, scene_members(spark, d), scene_pixels(spark, d), min_corr=128)[0])
+
+
 def _chunk_cams(spark, d):
     """Predicted cameras in chunk coordinates: twice too large, turned by 30 degrees in every scene."""
     p = I.pred_cams(spark, d).drop("ord")
