@@ -20,6 +20,7 @@ unless they have the name of an output column, in which case the output replaces
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,37 +39,65 @@ CHUNK_BYTES = 4 << 20
 #: First length of a probe along a diagonal; a power of two.
 PROBE = 4
 
-#: (first token, end token) of A and of B of a group
-Group = tuple[int, int, int, int]
-
-
 class Tokens:
-    """Tokenizers A (byte-level BPE file) and B (sentencepiece model) with the bytes of their tokens."""
+    """Tokenizers A (byte-level BPE file, by its own library) and B (sentencepiece model) with the bytes of their tokens."""
 
     def __init__(self, a_spec: str, b_model: bytes) -> None:
         import sentencepiece
-
-        self.a = bpe.load(a_spec)
+        from tokenizers import Tokenizer
+
+        letters = {c: b for b, c in bpe.byte_letters().items()}
+        model = json.loads(a_spec)["model"]
+        self.a_bytes = {i: bytes(map(letters.__getitem__, t)) for t, i in model["vocab"].items()}
+        self._encode_a = _ranked(model, self.a_bytes)
+        if self._encode_a is None:
+            library = Tokenizer.from_str(a_spec)
+            library.encode_special_tokens = True
+            self._encode_a = lambda text: library.encode(text, add_special_tokens=False).ids
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size = np.zeros(max(self.a.bytes, default=0) + 1, np.int64)
-        for i, t in self.a.bytes.items():
+        top = max(self.a_bytes, default=-1) + 1
+        self.a_size, self.b_size = np.zeros(top, np.int64), np.array([len(t) for t in self.b_bytes], np.int64)
+        for i, t in self.a_bytes.items():
             self.a_size[i] = len(t)
-        self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        known = set(self.a_bytes.values())
+        self.lossless = all(bytes([c]) in known for c in range(256))
+        # ids as decimal digits with a mark, filled up with zero bytes
+        self.width = len(str(max(top, len(pieces)))) + 1
+        written = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], f"S{self.width}").view(np.uint8).reshape(n, self.width)
+        self.text_a = written(top, ","), written(top, "|")
+        self.text_b = written(len(pieces), ","), written(len(pieces), ";")
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[int], np.ndarray, list[int]] | None:
         """Ids and ends of A, ids and ends of B; None if there are no tokens or a tokenizer does not keep the bytes."""
         if not text:
             return None
         whole = " " + text
-        ids = np.frombuffer(self.a.encode_plain(whole), "<u4")
-        other = self.b.encode(text)
-        a = ids.tolist()
+        a, b = self._encode_a(whole), self.b.encode(text)
         given = whole.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != given or b"".join(map(self.b_bytes.__getitem__, other)) != given:
+        if b"".join(map(self.b_bytes.__getitem__, b)) != given:
             return None
-        return a, np.cumsum(self.a_size[ids]).tolist(), other, np.cumsum(self.b_size[other]).tolist()
+        # a byte-level vocabulary that has every byte gives back any text
+        if not self.lossless and b"".join(map(self.a_bytes.__getitem__, a)) != given:
+            return None
+        a, b = np.array(a, np.int32), np.array(b, np.int32)
+        return a, np.cumsum(self.a_size[a]).tolist(), b, np.cumsum(self.b_size[b]).tolist()
+
+
+def _ranked(model: dict, tokens: dict[int, bytes]) -> Callable[[str], list[int]] | None:
+    """The encoder of the library for rank files, which is faster, if ids follow the order of the merges, so that they are
+    ranks; None if they do not."""
+    import public_tokenizers
+    import tiktoken
+
+    vocab = model["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made) or len(set(made)) != len(made) or len(made) + 256 < len(vocab) - 1:
+        return None
+    singles = {i for i in tokens if len(tokens[i]) == 1}
+    ranks = {tokens[i]: i for i in singles | set(made)}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
@@ -76,76 +105,71 @@ def _load(a_spec: str, b_model: bytes) -> Tokens:
     return Tokens(a_spec, b_model)
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[Group]:
-    """Walk two lists of ends that close at the same place: (i, i2, j, j2) is either a stretch of one-to-one groups, tokens i to i2
-    of A and as many of B from j on, or one irregular group of tokens i to i2 and j to j2."""
-    i = j = 0
-    n = len(a)
-    while i < n:
-        start, probe = i, PROBE
-        while a[i : i + probe] == b[j : j + probe] and i < n:
-            i, j, probe = i + probe, j + probe, 2 * probe
-        if i >= n:
-            yield start, n, j - (i - start), len(b)
-            return
-        while probe > 1:  # the first difference lies within the last probe
-            probe //= 2
-            if a[i : i + probe] == b[j : j + probe]:
-                i, j = i + probe, j + probe
-        if i > start:
-            yield start, i, j - (i - start), j
-        p, q = i, j
-        while a[p] != b[q]:
-            if a[p] < b[q]:
-                p += 1
-            else:
-                q += 1
-        yield i, p + 1, j, q + 1
-        i, j = p + 1, q + 1
-
-
 class Alignment:
-    """Groups of one text, as lists, and its links as parallel lists of ids."""
-
-    __slots__ = ("groups", "link_a", "link_b", "cuts")
-
-    def __init__(self, tokens: tuple[list[int], list[int], list[int], list[int]]) -> None:
-        a, a_end, b, b_end = tokens
-        self.link_a, self.link_b, self.cuts, self.groups = [], [], [], 0
-        for i, i2, j, j2 in stretches(a_end, b_end):
-            self.cuts.append((i, i2, j, j2))
-            if a_end[i] == b_end[j]:
-                self.link_a += a[i:i2]
-                self.link_b += b[j:j2]
-                self.groups += i2 - i
-                continue
-            self.groups += 1
-            while i < i2:
-                self.link_a.append(a[i])
-                self.link_b.append(b[j])
-                x, y = a_end[i], b_end[j]
-                i += x <= y
-                j += y <= x
-
-    def each(self, tokens: tuple[list[int], list[int], list[int], list[int]]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B, group by group."""
-        a, a_end, b, b_end = tokens
-        for i, i2, j, j2 in self.cuts:
-            if a_end[i] == b_end[j]:
-                yield from zip(([x] for x in a[i:i2]), ([x] for x in b[j:j2]))
-            else:
-                yield a[i:i2], b[j:j2]
-
-    def text(self, tokens: tuple[list[int], list[int], list[int], list[int]]) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3``."""
-        a, a_end, b, b_end = tokens
-        out: list[str] = []
-        for i, i2, j, j2 in self.cuts:
-            if a_end[i] == b_end[j]:
-                out += map("%d|%d".__mod__, zip(a[i:i2], b[j:j2]))
+    """Groups of one text, by their last tokens of A and of B, and its links as parallel lists of places of tokens."""
+
+    __slots__ = ("last_a", "last_b", "link_a", "link_b")
+
+    def __init__(self, a: list[int], b: list[int]) -> None:
+        """Walk two lists of ends that close at the same place."""
+        self.last_a, self.last_b, self.link_a, self.link_b = last_a, last_b, link_a, link_b = [], [], [], []
+        i = j = 0
+        n = len(a)
+        while i < n:
+            start, probe = i, PROBE
+            while a[i : i + probe] == b[j : j + probe] and i < n:
+                i, j, probe = i + probe, j + probe, 2 * probe
+            if i < n:
+                while probe > 1:  # the first difference lies within the last probe
+                    probe //= 2
+                    if a[i : i + probe] == b[j : j + probe]:
+                        i, j = i + probe, j + probe
             else:
-                out.append(",".join(map(str, a[i:i2])) + "|" + ",".join(map(str, b[j:j2])))
-        return ";".join(out)
+                i, j = n, len(b)
+            if i > start:  # a stretch of one token with one token
+                mine, other = range(start, i), range(j - i + start, j)
+                last_a += mine
+                last_b += other
+                link_a += mine
+                link_b += other
+                if i == n:
+                    return
+            while True:  # an irregular group, up to the next common end
+                link_a.append(i)
+                link_b.append(j)
+                x, y = a[i], b[j]
+                if x < y:
+                    i += 1
+                elif y < x:
+                    j += 1
+                else:
+                    break
+            last_a.append(i)
+            last_b.append(j)
+            i += 1
+            j += 1
+
+    def each(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of A and of B, group by group."""
+        i = j = 0
+        for i2, j2 in zip(self.last_a, self.last_b):
+            yield a[i : i2 + 1], b[j : j2 + 1]
+            i, j = i2 + 1, j2 + 1
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Linked ids, a << 32 | b."""
+        return a[np.array(self.link_a)].astype(np.int64) << 32 | b[np.array(self.link_b)]
+
+    def text(self, a: np.ndarray, b: np.ndarray, both: Tokens) -> bytes:
+        """The groups as ``a1,a2|b1;a3|b2,b3``: every id is written with the mark that follows it."""
+        last_a, last_b = np.array(self.last_a), np.array(self.last_b)
+        at_a = np.arange(len(a)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))
+        at_b = np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+        parts = np.empty((len(a) + len(b), both.width), np.uint8)
+        parts[at_a], parts[at_b] = both.text_a[0][a], both.text_b[0][b]
+        parts[at_a[last_a]], parts[at_b[last_b]] = both.text_a[1][a[last_a]], both.text_b[1][b[last_b]]
+        parts = parts.ravel()
+        return parts[parts > 0].tobytes()[:-1]
 
 
 def _held(docs: DataFrame, a_path: str, b_path: str) -> Callable[[], Tokens]:
@@ -167,13 +191,10 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens()
-        try:
-            for part in (p for batch in batches for p in slices(batch, "text")):
-                found = [both.encode(t.as_py()) for t in part.column(part.schema.get_field_index("text"))]
-                made = [[{"a": x, "b": y} for x, y in Alignment(t).each(t)] if t else [] for t in found]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, _GROUPS_ARROW)], schema.names)
-        finally:
-            both.a.forget()
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            found = [both.encode(t.as_py()) for t in part.column(part.schema.get_field_index("text"))]
+            made = [[{"a": x, "b": y} for x, y in Alignment(t[1], t[3]).each(t[0], t[2])] if t else [] for t in found]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, _GROUPS_ARROW)], schema.names)
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -199,28 +220,26 @@ def _chunked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         both, number = tokens(), TaskContext.get().partitionId() << 32
         chunk, size = _Chunk(schema, len(fields)), 0
-        try:
-            for part in (p for batch in batches for p in slices(batch, "__text")):
-                at = part.schema.get_field_index("__text")
-                made = []
-                for text in part.column(at):
-                    text = text.as_py()
-                    found = both.encode(text)
-                    size += len(text or "")
-                    if found is None:
-                        made.append((0, 0, 0, 0, "", None))
-                        continue
-                    aligned = Alignment(found)
-                    pairs = np.array(aligned.link_a, np.int64) << 32 | np.array(aligned.link_b, np.int64)
-                    digest = hashlib.sha256(aligned.text(found).encode()).hexdigest()
-                    made.append((len(found[0]), len(found[2]), aligned.groups, len(pairs), digest, np.unique(pairs, return_counts=True)))
-                chunk.add([c for i, c in enumerate(part.columns) if i != at], made)
-                if size >= CHUNK_BYTES:
-                    yield from chunk.rows(number)
-                    chunk, size, number = _Chunk(schema, len(fields)), 0, number + 1
-            yield from chunk.rows(number)
-        finally:
-            both.a.forget()
+        for part in (p for batch in batches for p in slices(batch, "__text")):
+            at = part.schema.get_field_index("__text")
+            made = []
+            for text in part.column(at):
+                text = text.as_py()
+                found = both.encode(text)
+                size += len(text or "")
+                if found is None:
+                    made.append((0, 0, 0, 0, "", None))
+                    continue
+                a, a_end, b, b_end = found
+                aligned = Alignment(a_end, b_end)
+                pairs = aligned.pairs(a, b)
+                digest = hashlib.sha256(aligned.text(a, b, both)).hexdigest()
+                made.append((len(a), len(b), len(aligned.last_a), len(pairs), digest, np.unique(pairs, return_counts=True)))
+            chunk.add([c for i, c in enumerate(part.columns) if i != at], made)
+            if size >= CHUNK_BYTES:
+                yield from chunk.rows(number)
+                chunk, size, number = _Chunk(schema, len(fields)), 0, number + 1
+        yield from chunk.rows(number)
 
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
 

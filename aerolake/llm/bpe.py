@@ -42,7 +42,7 @@ class ByteBPE:
         import ahocorasick
 
         spec = json.loads(spec)
-        letters = _byte_letters()
+        letters = byte_letters()
         to_byte = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
         raw = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items()}
@@ -145,7 +145,7 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, tokens)).decode("utf-8", "replace")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = [b for b in range(256) if b not in own]

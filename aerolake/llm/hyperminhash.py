@@ -13,7 +13,9 @@ sets form one class, whose smallest id stands for it.
   compared with the rest of the bucket, in blocks that hold their sets; only links that join components leave the task.
   A bucket of mutual copies costs one pair per member, and no link between components is lost.
 * **Estimate.** The share of equal registers, less the share expected to be equal by chance. Pairs below ``LEAST`` are
-  dropped before verification; that is 4.4 standard errors under the threshold.
+  dropped before verification; that is 4.4 standard errors under the threshold for sets that fill the registers. In small
+  sets two shingles may share a bucket and copied registers repeat it, so pairs with a set under ``SMALL`` are not
+  estimated: they are verified, which costs little. Pairs whose sizes alone rule the similarity out are dropped, too.
 * **Verification** on the full sets, in integers: 100 * intersection >= 75 * union.
 
 Sets are not kept for all: texts of documents in candidate pairs are read again. Components come from links in tables.
@@ -42,6 +44,8 @@ from aerolake.session import materialize
 REGISTERS, BANDS, SHINGLE = 128, 32, 5
 #: Estimated similarity under which a pair is not verified; rows of a bucket compared at a time.
 LEAST, BLOCK = 0.58, 256
+#: Sets under this size are verified without an estimate.
+SMALL = 64
 _BUCKET_BITS, _VALUE_BITS, _MANTISSA = 7, 57, 10
 #: Chance that unequal minima give equal registers: equal leading zeros (1/3) and equal mantissas.
 CHANCE = 2.0**-_MANTISSA / 3
@@ -155,20 +159,26 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - CHANCE) / (1 - CHANCE)
 
 
+def may_be_close(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of register rows have to be verified."""
+    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    return (100 * low >= percent * high) & ((low < SMALL) | (estimate(a, b) >= LEAST))
+
+
 def _registers_of(bands: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, "<i8") for x in bands]).view("<u2")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate reaches LEAST."""
-    one = classes.select(F.col("rep").alias("a"), F.col("bands").alias("x"))
-    two = classes.select(F.col("rep").alias("b"), F.col("bands").alias("y"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that have to be verified."""
+    one = classes.select(F.col("rep").alias("a"), F.col("bands").alias("x"), F.col("n_shingles").alias("n"))
+    two = classes.select(F.col("rep").alias("b"), F.col("bands").alias("y"), F.col("n_shingles").alias("m"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                yield p.loc[estimate(_registers_of(p.x), _registers_of(p.y)) >= LEAST, ["a", "b"]]
+                yield p.loc[may_be_close(_registers_of(p.x), _registers_of(p.y), p.n.to_numpy(), p.m.to_numpy(), percent), ["a", "b"]]
 
     return rows.mapInPandas(run, "a long, b long")
 
@@ -227,9 +237,9 @@ def _crossing(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
         F.transform(upto("km"), lambda t: meet(F.col("mine"), t, 1)),
         F.transform(upto("ko"), lambda t: meet(F.least(F.col("mine"), t), F.greatest(F.col("mine"), t), 0))))
     rows = rows.select("bucket", "rep", "component", "inner", "mine", F.explode(at).alias("at"))
-    columns = ["rep", "component", "inner", "mine", "bands"]
+    columns = ["rep", "component", "inner", "mine", "bands", "n_shingles"]
     gathered = lambda t, names: t.groupBy("bucket", "at").agg(*[F.collect_list(c).alias(c) for c in names])
-    rows = gathered(rows.join(classes, "rep"), columns).withColumn("open", _open_members("at", *columns))
+    rows = gathered(rows.join(classes, "rep"), columns).withColumn("open", _open_members("at", *columns, F.lit(percent)))
     # only members with a partner that may be close go on, now with their sets
     member = F.explode(F.filter(F.arrays_zip(*columns, "open"), lambda m: m["open"])).alias("m")
     rows = rows.where(F.exists("open", lambda o: o)).select("bucket", "at", member).select("bucket", "at", *[f"m.{c}" for c in columns])
@@ -253,8 +263,9 @@ def _side(at: dict, inner: list, mine: list) -> np.ndarray | None:
     return np.asarray(inner) if at["kind"] == 1 else np.asarray(mine) if at["i"] != at["j"] else None
 
 
-def _partners(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Members with the places of their smaller partners, of other components, whose estimate reaches LEAST."""
+def _partners(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: np.ndarray, size: np.ndarray,
+              percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members with the places of their smaller partners, of other components, that have to be verified."""
     if (comp == comp[0]).all():
         return
     for u in range(len(rep)):
@@ -263,18 +274,19 @@ def _partners(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs:
             open_ &= side != side[u]
         vs = np.flatnonzero(open_)
         if len(vs):
-            vs = vs[estimate(regs[vs], regs[u]) >= LEAST]
+            vs = vs[may_be_close(regs[vs], regs[u], size[vs], size[u], percent)]
             if len(vs):
                 yield u, vs
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _open_members(at: pd.DataFrame, rep: pd.Series, comp: pd.Series, inner: pd.Series, mine: pd.Series, bands: pd.Series) -> pd.Series:
+def _open_members(at: pd.DataFrame, rep: pd.Series, comp: pd.Series, inner: pd.Series, mine: pd.Series, bands: pd.Series,
+                  size: pd.Series, percent: pd.Series) -> pd.Series:
     """Which members of a block have a partner, or are one."""
     out = []
-    for a, r, c, i, m, b in zip(at.to_dict("records"), rep, comp, inner, mine, bands):
+    for a, r, c, i, m, b, n, p in zip(at.to_dict("records"), rep, comp, inner, mine, bands, size, percent):
         open_ = np.zeros(len(r), bool)
-        for u, vs in _partners(np.asarray(r), np.asarray(c), _side(a, i, m), _registers_of(b)):
+        for u, vs in _partners(np.asarray(r), np.asarray(c), _side(a, i, m), _registers_of(b), np.asarray(n), p):
             open_[u] = True
             open_[vs] = True
         out.append(open_)
@@ -285,7 +297,7 @@ def _joining(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: n
     """Links (a, b) of one block, or of two told apart by ``side``: per member one to each other component that it reaches."""
     out, every, at = [], None, None
     size = np.array([len(s) for s in sets])
-    for u, vs in _partners(rep, comp, side, regs):
+    for u, vs in _partners(rep, comp, side, regs, size, percent):
         if every is None:  # places of all shingles of the block among its distinct ones
             every = np.unique(np.concatenate(sets), return_inverse=True)[1]
             at = np.concatenate([[0], np.cumsum(size)])
@@ -300,9 +312,9 @@ def _joining(rep: np.ndarray, comp: np.ndarray, side: np.ndarray | None, regs: n
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     marks = materialize(sketches(docs), "sketches")
-    classes = marks.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
-    classes = materialize(classes.select("print", F.col("c.doc_id").alias("rep"), F.col("c.bands").alias("bands")), "classes")
-    links = _links(docs, classes.select("rep", "bands"), percent)
+    classes = marks.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "bands", "n_shingles")).alias("c"))
+    classes = materialize(classes.select("print", F.col("c.doc_id").alias("rep"), "c.bands", "c.n_shingles"), "classes")
+    links = _links(docs, classes.select("rep", "bands", "n_shingles"), percent)
     comp = components(links).withColumnRenamed("node", "rep")
     of = materialize(classes.select("print", "rep").join(comp, "rep", "left").select(
         "print", F.coalesce("component", "rep").alias("component_id")), "class-components")
@@ -318,7 +330,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     full = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(rows.join(full, "bucket").select("bucket", "rep", "hub", "n"), "buckets")
     pairs = members.where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = materialize(_estimated(pairs, classes), "pairs")
+    pairs = materialize(_estimated(pairs, classes, percent), "pairs")
     links = materialize(_verified(pairs, docs, percent), "links")
     comp = components(links).withColumnRenamed("node", "rep")
     members = members.where("n > 2").select("bucket", "rep").join(comp, "rep", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 #: Bytes of texts that a worker holds as Python objects at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Bytes of one generation of a memo (two are kept), what an entry takes beside its text and its ids, longest text kept.
-MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 12 << 20, 160, 32
+MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 20 << 20, 160, 32
+#: Entries of one generation where texts are kept by the slice.
+MEMO_ENTRIES = 120_000
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -31,7 +33,7 @@ class Memo(dict):
     """Text to ids, filled on demand and bounded in bytes. What was not asked for since the table was last full is
     forgotten, which changes no result."""
 
-    def __init__(self, make: Callable[[str], bytes] | None = None) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
         self.make, self.old, self.size = make, {}, 0
 
@@ -39,29 +41,39 @@ class Memo(dict):
         ids = self.old.get(text)
         if ids is None:
             ids = self.make(text)
-        self.store(text, ids)
-        return ids
-
-    def recall(self, text: str) -> bytes | None:
-        """Ids if they are known."""
-        ids = self.get(text)
-        if ids is None and (ids := self.old.get(text)) is not None:
-            self.store(text, ids)
-        return ids
-
-    def store(self, text: str, ids: bytes) -> None:
         if len(text) <= MEMO_LENGTH:
             self.size += len(text) + len(ids) + ENTRY_BYTES
             if self.size > MEMO_BYTES:
                 self.old, self.size = dict(self), 0
                 self.clear()
             self[text] = ids
+        return ids
 
     def forget(self) -> None:
         self.clear()
         self.old, self.size = {}, 0
 
 
+class Recent:
+    """Text to ids in two generations, read and filled for many texts at a time. Entries are short, so their number bounds
+    the bytes."""
+
+    def __init__(self) -> None:
+        self.new, self.old = {}, {}
+
+    def lookup(self, texts: Iterable[str]) -> dict[str, bytes | None]:
+        new, old = self.new, self.old
+        return {t: new[t] if t in new else old.get(t) for t in texts}
+
+    def keep(self, known: dict[str, bytes]) -> None:
+        self.new.update({t: ids for t, ids in known.items() if len(t) <= MEMO_LENGTH})
+        if len(self.new) > MEMO_ENTRIES:
+            self.new, self.old = {}, self.new
+
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
+
 class Splitter:
     """Texts to pieces by the pattern of the byte-level vocabularies, and pieces to ids by ``encode_piece``."""
 
@@ -86,8 +98,12 @@ class Splitter:
     def _run(self, run: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(run)))
 
+    def spaced(self, run: str) -> list[str]:
+        """Pieces of a blank and a part of a text; letters stay together."""
+        return [" " + run] if run.isalpha() else self.split(" " + run)
+
     def _spaced(self, run: str) -> bytes:
-        return self._run(" " + run)
+        return b"".join(map(self.pieces.__getitem__, self.spaced(run)))
 
     def forget(self) -> None:
         self.pieces.forget()

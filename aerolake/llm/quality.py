@@ -173,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[Model,
         ratio[part] = np.rint(UNIT * np.log((p / p.sum()) / (q / q.sum())))
     model = Model(ratio)
     scored = materialize(_scored(docs.select("doc_id", "text"), model, keep_text=False), "quality-scores")
-    fitted = scored.join(F.broadcast(sample), "doc_id").select("by_bytes", "by_shapes", "good")
+    # one row per id, however often it is repeated; of an id with several texts the lowest scores count
+    fitted = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("by_bytes", "by_shapes")).alias("x"), F.first("good").alias("good"))
+    fitted = fitted.orderBy("doc_id").select("x.by_bytes", "x.by_shapes", "good")
     model.coef = _logistic(np.array([[float(x) for x in r] for r in fitted.collect()]).reshape(-1, 3))  # <= limit rows
     return model, scored
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from aerolake.llm.pieces import Memo, Splitter, slices
+from aerolake.llm.pieces import Recent, Splitter, slices
 
 #: Rows that are decoded at a time.
 DECODE_ROWS = 256
@@ -90,10 +90,11 @@ class RankBPE:
     def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
         self.bytes = {r: t for t, r in self.ranks.items()}
+        self.decimal = {r: str(r) for r in self.bytes}
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
         self.byte_rank = np.array([self.ranks.get(bytes([c]), 0) for c in range(256)], np.int64)
         self.pair_rank = np.array([self.ranks.get(bytes([c, d]), -1) for c in range(256) for d in range(256)], np.int64)
-        self._splitter, self._known = Splitter(), Memo()
+        self._splitter, self._known, self._pieces = Splitter(), Recent(), Recent()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -101,15 +102,18 @@ class RankBPE:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self._splitter.cut(t) if t else [""] for t in texts]
-        split = self._splitter.split
-        ids = {r: self._known.recall(r) for r in set().union(*[c[1:] for c in cuts])}  # runs after a blank
-        pieces = {r: split(" " + r) for r, known in ids.items() if known is None}
-        firsts = [split(c[0]) for c in cuts]
-        new = list({p for found in [*pieces.values(), *firsts] for p in found})
-        made = dict(zip(new, self.encode_pieces([p.encode() for p in new])))
+        ids = self._known.lookup(set().union(*[c[1:] for c in cuts]))  # runs after a blank
+        spaced = self._splitter.spaced
+        pieces = {r: spaced(r) for r, known in ids.items() if known is None}
+        firsts = [self._splitter.split(c[0]) for c in cuts]
+        made = self._pieces.lookup({p for found in [*pieces.values(), *firsts] for p in found})
+        new = [p for p, known in made.items() if known is None]
+        made.update(zip(new, self.encode_pieces([p.encode() for p in new])))
         for r, found in pieces.items():
-            ids[r] = b"".join(map(made.__getitem__, found))
-            self._known.store(r, ids[r])
+            ids[r] = made[found[0]] if len(found) == 1 else b"".join(map(made.__getitem__, found))
+        self._known.keep(ids)
+        # what is a run of its own after a blank is known as that
+        self._pieces.keep({p: made[p] for found in pieces.values() if len(found) > 1 for p in found})
         return [b"".join([*map(made.__getitem__, f), *map(ids.__getitem__, c[1:])]) for f, c in zip(firsts, cuts)]
 
     def decode(self, ids: bytes) -> bytes:
@@ -118,11 +122,12 @@ class RankBPE:
     def forget(self) -> None:
         """Empty the memo tables."""
         self._known.forget()
+        self._pieces.forget()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens, none of them empty, by one queue."""
-        out = [self.ranks.get(p, -1).to_bytes(4, "little", signed=True) for p in pieces]
-        rest = [k for k, p in enumerate(pieces) if p not in self.ranks]
+        out = [self.ranks[p].to_bytes(4, "little") if p in self.ranks else b"" for p in pieces]
+        rest = [k for k, ids in enumerate(out) if not ids]
         if not rest:
             return out
         text = b"".join([pieces[k] + b"\0" for k in rest])  # each is closed by a node that pairs with nothing
@@ -137,18 +142,18 @@ class RankBPE:
         at = np.flatnonzero(waits >= 0)
         at = at[np.argsort(waits[at], kind="stable")]
         edges = np.flatnonzero(np.diff(waits[at], prepend=-1))
-        for rank, positions in zip(waits[at[edges]].tolist(), np.split(at, edges[1:])):
-            if len(positions):
-                self.queue.fill(rank, positions.tolist())
+        listed, ends = at.tolist(), np.append(edges[1:], len(at)).tolist()
+        for rank, start, end in zip(waits[at[edges]].tolist(), edges.tolist(), ends):
+            self.queue.fill(rank, listed[start:end])
         token = self.byte_rank[data].tolist()
         gone = self._merge(text, waits.tolist(), links.tolist(), close.tolist(), token)
         ids = np.array(token, "<u4")
         stays = np.frombuffer(gone, np.uint8) == 0
         stays[close] = False
         ends = np.cumsum(stays)[close].tolist()
-        ids, start = ids[stays], 0
+        raw, start = ids[stays].tobytes(), 0
         for k, end in zip(rest, ends):
-            out[k] = ids[start:end].tobytes()
+            out[k] = raw[4 * start : 4 * end]
             start = end
         return out
 
@@ -156,7 +161,7 @@ class RankBPE:
         """Merge what waits in the queue. ``wait`` holds the rank of a node's pair with the next one (-1: none, CLOSE: the
         node ends a pre-token), ``token`` the nodes' ids. Returns a mark for every node that is gone."""
         rank_of, queue = self.ranks.get, self.queue
-        push = queue.push
+        buckets, fill = queue.buckets, queue.fill
         after = list(range(1, len(text) + 1))
         gone = bytearray(len(text))
         while (rank := queue.first()) >= 0:
@@ -165,20 +170,23 @@ class RankBPE:
                 if wait[i] != rank:
                     continue  # stale: the pair has changed or the node is gone
                 if i < held:
-                    push(rank, i)
+                    queue.push(rank, i)
                     continue
                 j = after[i]
                 after[i] = end = after[j]
                 token[i], gone[j] = rank, 1
                 wait[j] = wait[i] = -1
-                lowest = rank
+                lower = False
                 if wait[end] != CLOSE:
                     before[end] = i
                     new = rank_of(text[i : after[end]])
                     if new is not None:
                         wait[i] = new
-                        push(new, i)
-                        lowest = new
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            fill(new, [i])
+                        lower = new < rank
                 left = before[i]
                 if left >= 0:
                     new = rank_of(text[left:end])
@@ -186,10 +194,12 @@ class RankBPE:
                         wait[left] = -1
                     else:
                         wait[left] = new
-                        push(new, left)
-                        if new < lowest:
-                            lowest = new
-                if lowest < rank:
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            fill(new, [left])
+                        lower = lower or new < rank
+                if lower:
                     held = close[bisect_left(close, i)]  # the rest of this pre-token waits for the lower rank
         return gone
 
@@ -258,7 +268,7 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 in place of the text."""
 
     def row(bpe: RankBPE, ids: bytes):
-        listed = ",".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()
+        listed = ",".join(map(bpe.decimal.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode()
         return len(ids) // 4, hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
     return _mapped(docs, ranks_path, {"n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()),

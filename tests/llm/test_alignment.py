@@ -75,24 +75,18 @@ def check(libraries, texts, got):
     assert len(got) == len(texts)
 
 
-def test_stretches_of_random_ends():
+def test_groups_and_links_of_random_ends():
     rnd = random.Random(4)
     for _ in range(3000):
         total = rnd.randint(1, 60)
         cut = lambda share: sorted({total, *(e for e in range(1, total) if rnd.random() < share)})
         a = cut(rnd.random())
         b = sorted({total, *(e for e in a if rnd.random() < 0.9), *(e for e in range(1, total) if rnd.random() < 0.1)})
-        found, i, j = [], 0, 0
-        for i1, i2, j1, j2 in alignment.stretches(a, b):
-            assert (i1, j1) == (i, j)
-            if a[i1] == b[j1]:
-                assert a[i1:i2] == b[j1:j2]
-                found += a[i1:i2]
-            else:
-                assert not set(a[i1 : i2 - 1]) & set(b[j1 : j2 - 1])
-                found.append(a[i2 - 1])
-            i, j = i2, j2
-        assert (i, j) == (len(a), len(b)) and found == sorted(set(a) & set(b))
+        found = alignment.Alignment(a, b)
+        assert [a[i] for i in found.last_a] == [b[j] for j in found.last_b] == sorted(set(a) & set(b))
+        ends = lambda t, k: (t[k - 1] if k else 0, t[k])
+        want = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends(a, i)[0] < ends(b, j)[1] and ends(b, j)[0] < ends(a, i)[1]]
+        assert list(zip(found.link_a, found.link_b)) == want
 
 
 def test_table_against_plain_python(spark, libraries, monkeypatch):

@@ -64,6 +64,34 @@ def test_register_estimate():
         assert abs(np.mean(errors)) < 0.04
 
 
+def test_no_pair_of_small_sets_is_dropped_before_verification():
+    """Pairs at exactly 0.75: 3 k shared shingles of 4 k in all."""
+    rng = np.random.default_rng(11)
+    lost = 0
+    for union in (4, 8, 12, 16, 20):
+        shared = 3 * union // 4
+        for _ in range(2000):
+            x = np.unique(rng.integers(0, 2**63, union, dtype=np.int64).view(np.uint64))
+            rng.shuffle(x)
+            cut = rng.integers(0, union - shared + 1)
+            a, b = np.sort(x[: shared + cut]), np.sort(np.concatenate([x[:shared], x[shared + cut :]]))
+            regs = hyperminhash.registers([a, b])
+            size = np.array([len(a), len(b)])
+            close = hyperminhash.may_be_close(regs[:1], regs[1], size[:1], size[1], 75)
+            assert close[0]
+            bands = regs.view("<i8")
+            lost += not (bands[0] == bands[1]).any()
+    assert lost <= 1  # banding loses 5 in a million
+
+
+def test_quality_of_an_id_repeated_in_most_rows(spark):
+    docs = [(i, ("good words here " if i % 2 else "xq zz kk ") * 20 + str(i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r for r in quality.select_top(documents(spark, docs), labels)[0].collect()}
+    often, model = quality.select_top(documents(spark, docs + [docs[3]] * 200), labels)
+    assert often.count() == 260 and {r.doc_id for r in often.collect()} == set(once)
+
+
 def test_quality_on_held_out_labels(spark):
     folder = SF.replace("0.001", "0.01")
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
