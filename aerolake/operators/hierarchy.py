@@ -12,12 +12,13 @@ from aerolake.functions.ranking import cap_per_group, quantiles
 from aerolake.operators.alignment import align_chunks, eye, fit_sim3, zeros
 from aerolake.operators.matching import apply_sim3_points, apply_sim3_poses, centre_correspondences, compose_columns, match_cameras
 from aerolake.operators.mergetree import grid_shapes, key_tree, merge_tree, parent_tree
-from aerolake.operators.neighbors import nn_join
+from aerolake.operators.neighbors import build_index, nn_join
 from aerolake.operators.sampling import sample_cap
 from aerolake.session import materialize
 
 CHUNK = ["scene", "chunk_id"]
 PT = ("px", "py", "pz")
+PT3 = ("x", "y", "z")
 
 
 def identity_transforms(chunks: DataFrame) -> DataFrame:
@@ -99,42 +100,107 @@ def align_global(transforms: DataFrame, cams: DataFrame, ref: DataFrame, mode: s
     return j.select(*CHUNK, s.alias("s"), r.alias("r"), t.alias("t")), fit
 
 
+def _icp_start(src: DataFrame, by: Sequence[str]) -> DataFrame:
+    return materialize(src.select(*by).distinct().select(
+        *by, F.lit(1.0).alias("s"), eye().alias("r"), zeros().alias("t"), F.lit(0).cast("long").alias("num_corr"),
+        F.lit(None).cast("double").alias("last_median")), "icp-total")
+
+
+def _icp_round(cur: DataFrame, nn: DataFrame, total: DataFrame, fit: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Compose ``fit(by, n2, med, s2, r2, t2)`` onto ``total`` and move the points: (points, total).
+
+    A point's neighbour of this round is at most its distance and the way the point moved away in the next one (``bound``)."""
+    j = total.join(fit, by, "left")
+    s, r, t = compose_columns((F.col("s"), F.col("r"), F.col("t")), (F.col("s2"), F.col("r2"), F.col("t2")))
+    has = F.col("s2").isNotNull()
+    new = {"s": s, "r": r, "t": t, "num_corr": F.col("n2"), "last_median": F.col("med")}
+    total = materialize(j.select(*by, *[F.when(has, v).otherwise(F.col(c)).alias(c) for c, v in new.items()]), "icp-total")
+    old = [F.col("__o" + a) for a in PT3]
+    step = fit.select(*by, F.col("s2").alias("s"), F.col("r2").alias("r"), F.col("t2").alias("t"))
+    moved = apply_sim3_points(cur.withColumns({"__o" + a: F.col(a) for a in PT3}), step, by)
+    way = L.norm(L.sub(L.vec(*PT3), old))
+    key = [c for c in cur.columns if c not in (*by, *PT3, "bound")]
+    moved = moved.join(nn.select(*by, *key, "dist"), [*by, *key], "left")
+    return materialize(moved.select(*by, *key, *PT3, (F.col("dist") + way).alias("bound")), "icp-src"), total
+
+
 def icp(src: DataFrame, dst: DataFrame, by: Sequence[str] = ("scene",), iterations: int = 8, trim: float = 0.7, max_points: int = 0,
         with_scale: bool = True, gate: float | None = None, seed: int = 0, key: str = "point_id") -> DataFrame:
     """Trimmed iterative closest points: (by, s, r, t, num_corr, last_median), the transform of ``src`` onto ``dst``.
 
-    Each round joins nearest neighbours, keeps distances up to the ``trim`` quantile (within ``gate`` if given), refits
-    and composes. A group that has under 3 pairs or no valid fit keeps its last transform.
+    The targets are indexed once. Each round finds nearest neighbours, keeps distances up to the ``trim`` quantile (within
+    ``gate`` if given), refits and composes; what a point was away from its neighbour, and its way since, bound the search of the
+    next round. A group that has under 3 pairs or no valid fit keeps its last transform.
     """
     by = list(by)
     trim = min(1.0, max(0.05, trim))
-    cols = [*by, key, "x", "y", "z"]
+    cols = [*by, key, *PT3]
     cur, tgt = src.select(*cols), dst.select(*cols)
     if max_points > 0:
         cur, tgt = sample_cap(cur, by, max_points, [key], seed + 11, "xyz"), sample_cap(tgt, by, max_points, [key], seed + 22, "xyz")
-    cur, tgt = materialize(cur, "icp-src"), materialize(tgt, "icp-dst")
-    total = src.select(*by).distinct().select(
-        *by, F.lit(1.0).alias("s"), eye().alias("r"), zeros().alias("t"), F.lit(0).cast("long").alias("num_corr"),
-        F.lit(None).cast("double").alias("last_median"))
-    total = materialize(total, "icp-total")
-    hit = tgt.select(*by, F.col(key).alias("nn_id"), *[F.col(a).alias("d" + a) for a in "xyz"])
+    cur = materialize(cur.withColumn("bound", F.lit(None).cast("double")), "icp-src")
+    tgt = materialize(tgt, "icp-dst")
+    index = build_index(tgt, by, key=key)
+    total = _icp_start(src, by)
+    hit = tgt.select(*by, F.col(key).alias("nn_id"), *[F.col(a).alias("d" + a) for a in PT3])
     for _ in range(max(1, iterations)):
-        nn = materialize(nn_join(cur, tgt, by, src_id=key, dst_id=key), "icp-nn")
+        nn = materialize(nn_join(cur, index, by, src_id=key, dst_id=key, bound="bound"), "icp-nn")
         near = nn if gate is None else nn.where(F.col("dist") <= gate)
         th = quantiles(near, by, ["dist"], [trim]).select(*by, F.col("dist_q")[0].alias("th"))
         kept = materialize(near.join(th, by).where("dist <= th"), "icp-kept")
-        corr = kept.join(cur, [*by, key]).join(hit, [*by, "nn_id"]).withColumnsRenamed({a: "s" + a for a in "xyz"})
+        corr = kept.join(cur.drop("bound"), [*by, key]).join(hit, [*by, "nn_id"]).withColumnsRenamed({a: "s" + a for a in PT3})
         med = quantiles(kept, by, ["dist"], [0.5]).select(*by, F.col("dist_q")[0].alias("med"))
         fit = fit_sim3(corr, by, with_scale).join(med, by)
         fit = materialize(fit.where("valid").select(*by, F.col("n").alias("n2"), "med", F.col("s").alias("s2"), F.col("r").alias("r2"), F.col("t").alias("t2")), "icp-fit")
         if fit.isEmpty():
             break
-        j = total.join(fit, by, "left")
-        s, r, t = compose_columns((F.col("s"), F.col("r"), F.col("t")), (F.col("s2"), F.col("r2"), F.col("t2")))
-        has = F.col("s2").isNotNull()
-        new = {"s": s, "r": r, "t": t, "num_corr": F.col("n2"), "last_median": F.col("med")}
-        total = materialize(j.select(*by, *[F.when(has, v).otherwise(F.col(c)).alias(c) for c, v in new.items()]), "icp-total")
-        cur = materialize(apply_sim3_points(cur, fit.select(*by, F.col("s2").alias("s"), F.col("r2").alias("r"), F.col("t2").alias("t")), by), "icp-src")
+        cur, total = _icp_round(cur, nn, total, fit, by)
+    return total
+
+
+def icp_rigid(src: DataFrame, dst: DataFrame, by: Sequence[str] = ("scene",), iterations: int = 20, gate: float | None = None,
+              trim: float | None = 0.8, min_pairs: int = 50, max_points: int = 0, seed: int = 0, key: str = "point_id") -> DataFrame:
+    """Rigid iterative closest points: (by, s, r, t, num_corr, last_median) with s = 1.
+
+    Each round takes the nearest neighbours closer than ``gate``, keeps the ``trim`` share with the smallest distances but
+    ``min_pairs`` at least (ties by id), and fits a rotation and a shift to them; fewer than three pairs give a shift only. With a
+    gate, a group with fewer than ``min_pairs`` pairs within it stops. ``max_points`` > 0 looks at as many points of each round, of
+    lowest seeded hash. The targets are indexed once; the search of a round is bounded by the last one.
+    """
+    by = list(by)
+    cols = [*by, key, *PT3]
+    cur = materialize(src.select(*cols).withColumn("bound", F.lit(None).cast("double")), "icp-src")
+    tgt = materialize(dst.select(*cols), "icp-dst")
+    index = build_index(tgt, by, key=key)
+    hit = tgt.select(*by, F.col(key).alias("nn_id"), *[F.col(a).alias("d" + a) for a in PT3])
+    total = _icp_start(src, by)
+    live = total.select(*by)
+    for i in range(max(1, iterations)):
+        pts = cur.join(live, by, "left_semi")
+        if max_points > 0:
+            pts = sample_cap(pts, by, max_points, [key], seed + i, PT3)
+        nn = materialize(nn_join(pts, index, by, src_id=key, dst_id=key, bound="bound"), "icp-nn")
+        near = nn if gate is None else nn.where(F.col("dist") < gate)
+        size = near.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
+        live = materialize(size if gate is None else size.where(F.col("m") >= min_pairs), "icp-live")
+        if trim is not None and 0 < trim < 1:
+            kept = cap_per_group(near.join(live, by), by, ["dist", key], F.greatest(F.floor(F.col("m") * trim), F.lit(min_pairs)))
+        else:
+            kept = near.join(live, by)
+        kept = materialize(kept.drop("m"), "icp-kept")
+        corr = kept.join(cur.drop("bound"), [*by, key]).join(hit, [*by, "nn_id"]).withColumnsRenamed({a: "s" + a for a in PT3})
+        corr = materialize(corr, "icp-corr")
+        med = quantiles(kept, by, ["dist"], [0.5]).select(*by, F.col("dist_q")[0].alias("med"))
+        shift = corr.groupBy(*by).agg(F.array(*[F.avg(F.col("d" + a) - F.col("s" + a)) for a in PT3]).alias("shift"))
+        fit = fit_sim3(corr, by, False).join(med, by).join(shift, by)
+        turned = F.col("valid") & (F.col("n") >= 3)
+        fit = materialize(fit.select(
+            *by, F.col("n").alias("n2"), "med", F.lit(1.0).alias("s2"), F.when(turned, F.col("r")).otherwise(eye()).alias("r2"),
+            F.when(turned, F.col("t")).otherwise(F.col("shift")).alias("t2")), "icp-fit")
+        live = live.select(*by)
+        if fit.isEmpty():
+            break
+        cur, total = _icp_round(cur, nn, total, fit, by)
     return total
 
 
@@ -164,15 +230,16 @@ def seam_error(members: DataFrame, points: DataFrame, edges: DataFrame, transfor
         return materialize(p.select(*by, "pid", "x", "y", "z"), "seam-side")
 
     a, b = side("chunk_a"), side("chunk_b")
+    index = {"a": build_index(a, by, key="pid"), "b": build_index(b, by, key="pid")}
 
-    def directed(s: DataFrame, d: DataFrame, tag: str) -> DataFrame:
-        nn = nn_join(s, d, by, src_id="pid", dst_id="pid")
+    def directed(s: DataFrame, d: DataFrame, tag: str, other: str) -> DataFrame:
+        nn = nn_join(s, index[other], by, src_id="pid", dst_id="pid", sources=index[tag])
         nn = nn.join(s.select(*by, "pid", F.col("z").alias("zs")), [*by, "pid"]).join(
             d.select(*by, F.col("pid").alias("nn_id"), F.col("z").alias("zd")), [*by, "nn_id"])
         q = quantiles(nn.select(*by, "dist", F.abs(F.col("zs") - F.col("zd")).alias("dz")), by, ["dist", "dz"], [0.5], derived=True)
         return q.select(*by, F.col("n").alias("num_" + tag), F.col("dist_q")[0].alias("nn_" + tag), F.col("dz_q")[0].alias("z_" + tag))
 
-    out = e.join(views, by, "left").join(directed(a, b, "a"), by, "left").join(directed(b, a, "b"), by, "left")
+    out = e.join(views, by, "left").join(directed(a, b, "a", "b"), by, "left").join(directed(b, a, "b", "a"), by, "left")
     return out.select(
         *by, F.coalesce("num_shared_views", F.lit(0).cast("long")).alias("num_shared_views"), "num_a", "num_b", "nn_a", "nn_b",
         ((F.col("nn_a") + F.col("nn_b")) / 2).alias("seam_error"), ((F.col("z_a") + F.col("z_b")) / 2).alias("seam_error_z"))

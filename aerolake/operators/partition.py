@@ -7,12 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolake.functions import linalg as L
-from aerolake.functions.ranking import cap_per_group, grouped_rank, quantiles, shifted
+from aerolake.functions.graph import connected_components
+from aerolake.functions.ranking import cap_per_group, grouped_rank, grouped_running_sum, quantiles, shifted
 from aerolake.operators.neighbors import self_neighbours
 from aerolake.operators.projection import box_pairs
-from aerolake.session import materialize
+from aerolake.session import materialize, scratch_path
 
 # fixed values
 CORE_SHARE = 0.7
@@ -318,37 +320,53 @@ def order_spatial(chunks: DataFrame, adjacency: DataFrame, centres: DataFrame, c
     """(by, chunk_id, exec_order): breadth-first from the chunk nearest the scene centre, all groups together.
 
     Neighbours follow their rank. When a component is used up, the next one starts at the unvisited chunk nearest to the
-    mean of the visited ones, then to the scene centre, then by id.
+    mean of the visited ones, then to the scene centre, then by id. Components come first: where each of them starts follows
+    from counts and sums of those before, one round per component of a scene. Then all of them are searched at once, so the rounds
+    follow the greatest depth; a level's neighbours lie in it or in the levels beside it, so only these are looked at. ``adjacency``
+    holds both directions.
     """
     by = list(by)
+    spark = chunks.sparkSession
     t = L.trans_of("t_c2w")
     centre = materialize(cams.groupBy(*by).agg(*[F.avg(v).alias("s" + a) for a, v in zip("xyz", t)]), "scene-centre")
     node = chunks.select(*by, "chunk_id").join(centres, [*by, "chunk_id"]).join(centre, by)
-    node = materialize(node.withColumn("home", L.norm([F.col("c" + a) - F.col("s" + a) for a in "xyz"])), "nodes")
-    seed = node.groupBy(*by).agg(F.min_by("chunk_id", F.struct("home", "chunk_id")).alias("chunk_id"))
-    front = materialize(seed.withColumn("exec_order", F.lit(0).cast("long")), "bfs")
-    seen = front
-    total = node.count()
-    count = front.count()
-    while count < total:
-        reach = adjacency.join(front, [*by, "chunk_id"]).select(*by, F.col("other").alias("chunk_id"), F.struct("exec_order", "rank").alias("via"))
-        reach = reach.join(seen.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti").groupBy(*by, "chunk_id").agg(F.min("via").alias("via"))
+    node = node.withColumn("home", L.norm([F.col("c" + a) - F.col("s" + a) for a in "xyz"]))
+    comp = connected_components(node, adjacency, by, "chunk_id", "other")
+    node = materialize(node.join(comp, [*by, "chunk_id"]), "nodes")
+    size = materialize(node.groupBy(*by, "comp").agg(F.count(F.lit(1)).alias("n"), *[F.sum("c" + a).alias("v" + a) for a in "xyz"]), "component-sizes")
+    # where the components start, and in which order
+    first = F.min_by(F.struct("chunk_id", "comp"), F.struct("home", "chunk_id")).alias("f")
+    opened = node.groupBy(*by).agg(first).select(*by, "f.chunk_id", "f.comp", F.lit(0).alias("k"))
+    opened = materialize(opened.join(size, [*by, "comp"]), "opened")
+    while True:
+        rest = node.join(opened.select(*by, "comp"), [*by, "comp"], "left_anti")
+        mean = opened.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("k"), *[(F.sum("v" + a) / F.sum("n")).alias("m" + a) for a in "xyz"])
+        rest = rest.join(mean, by).withColumn("d", L.norm([F.col("c" + a) - F.col("m" + a) for a in "xyz"]))
+        nxt = F.min_by(F.struct("chunk_id", "comp"), F.struct("d", "home", "chunk_id")).alias("f")
+        fresh = materialize(rest.groupBy(*by, "k").agg(nxt).select(*by, "f.chunk_id", "f.comp", "k"), "next-component")
+        if fresh.isEmpty():
+            break
+        opened = materialize(opened.unionByName(fresh.join(size, [*by, "comp"])), "opened")
+    offset = materialize(grouped_running_sum(opened, by, ["k"], "n", "offset").select(*by, "comp", "offset"), "offsets")
+    # places in the components, level by level
+    key = [*by, "comp"]
+    path, level = scratch_path(spark, "bfs"), 0
+    front = opened.select(*key, "chunk_id", F.lit(0).cast("long").alias("pos"))
+    schema, before = front.schema, front.limit(0)
+    while True:
+        front.write.parquet(f"{path}/level={level}")
+        front = spark.read.schema(schema).parquet(f"{path}/level={level}")
+        reach = adjacency.join(front, [*by, "chunk_id"]).select(*key, F.col("other").alias("chunk_id"), F.struct("pos", "rank").alias("via"))
+        beside = front.select(*by, "chunk_id").unionByName(before.select(*by, "chunk_id"))
+        reach = reach.join(beside, [*by, "chunk_id"], "left_anti").groupBy(*key, "chunk_id").agg(F.min("via").alias("via"))
         reach = materialize(reach, "reach")
-        # groups whose queue ran empty open their next component
-        rest = node.join(seen.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti").join(reach.select(*by).distinct(), by, "left_anti")
-        mean = seen.join(node, [*by, "chunk_id"]).groupBy(*by).agg(*[F.avg("c" + a).alias("v" + a) for a in "xyz"])
-        rest = rest.join(mean, by).withColumn("d", L.norm([F.col("c" + a) - F.col("v" + a) for a in "xyz"]))
-        fresh = rest.groupBy(*by).agg(F.min_by("chunk_id", F.struct("d", "home", "chunk_id")).alias("chunk_id"))
-        nxt = reach.unionByName(fresh.withColumn("via", F.lit(None).cast(reach.schema["via"].dataType)))
-        used = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("used"))
-        nxt = grouped_rank(nxt, by, ["via", "chunk_id"], "k").join(used, by)
-        front = materialize(nxt.select(*by, "chunk_id", (F.col("used") + F.col("k")).alias("exec_order")), "bfs")
-        added = front.count()
-        if added == 0:
+        if reach.isEmpty():
             break
-        count += added
-        seen = materialize(seen.unionByName(front), "visited")
-    return seen
+        used = front.groupBy(*key).agg((F.max("pos") + 1).alias("used"))
+        nxt = grouped_rank(reach, key, ["via", "chunk_id"], "k").join(used, key)
+        before, front, level = front, nxt.select(*key, "chunk_id", (F.col("used") + F.col("k")).alias("pos")), level + 1
+    found = spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(path)
+    return found.join(offset, key).select(*by, "chunk_id", (F.col("offset") + F.col("pos")).alias("exec_order"))
 
 
 def order_sequential(chunks: DataFrame, by: Sequence[str] = ("scene",), order: Sequence[str] = ("cell_order", "chunk_id")) -> DataFrame:

@@ -147,6 +147,29 @@ def e11(spark, d):
     return moved.join(tf.select("scene", "num_corr", F.round("last_median", 5).alias("last_median")), "scene")
 
 
+def _rigid_sql(rounds: int, gate: float) -> str:
+    sql = "WITH RECURSIVE p0 AS (SELECT scene, point_id, x, y, z FROM {fx_points}), g AS (SELECT * FROM {fx_points_gt})"
+    for i in range(rounds):
+        mv = ", ".join(f"{S.moved(j).replace('sx', 'p.x').replace('sy', 'p.y').replace('sz', 'p.z')} AS {a}" for j, a in enumerate("xyz"))
+        sql += f""", n{i} AS MATERIALIZED (SELECT a.scene, a.point_id, any_value(a.x) AS sx, any_value(a.y) AS sy, any_value(a.z) AS sz, min({_D}) AS d, arg_min(b.x, {{{{'d': {_D}, 'i': b.point_id}}}}) AS dx, arg_min(b.y, {{{{'d': {_D}, 'i': b.point_id}}}}) AS dy, arg_min(b.z, {{{{'d': {_D}, 'i': b.point_id}}}}) AS dz
+  FROM p{i} a JOIN g b USING (scene) GROUP BY a.scene, a.point_id),
+k{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY d, point_id) AS k, count(*) OVER (PARTITION BY scene) AS m FROM n{i} WHERE d < {gate}::DOUBLE) WHERE m >= 50 AND k <= greatest(floor(m * 0.8::DOUBLE), 50)), {S.horn(f'k{i}', 'scene', f's{i}', with_scale=False)},
+p{i + 1} AS MATERIALIZED (SELECT p.scene, p.point_id, {mv} FROM p{i} p JOIN s{i} USING (scene))""".replace("{{", "{").replace("}}", "}")
+    last = rounds - 1
+    return f"""{sql} SELECT scene, round(avg(p.x), 4) AS x, round(avg(p.y), 4) AS y, round(avg(p.z), 4) AS z, any_value(s.n) AS num_corr, round(any_value(m.med), 5) AS last_median
+FROM p{rounds} p JOIN s{last} s USING (scene) JOIN (SELECT scene, median(d) AS med FROM k{last} GROUP BY scene) m USING (scene) GROUP BY scene"""
+
+
+@query("e11_icp_rigid", _rigid_sql(2, 2.5))
+def e11_rigid(spark, d):
+    from aerolake.operators.matching import apply_sim3_points
+
+    p = view(spark, d, "fx_points")
+    tf = H.icp_rigid(p, view(spark, d, "fx_points_gt"), iterations=2, gate=2.5)
+    moved = apply_sim3_points(p.select("scene", "x", "y", "z"), tf, ["scene"]).groupBy("scene").agg(*[F.round(F.avg(a), 4).alias(a) for a in "xyz"])
+    return moved.join(tf.select("scene", "num_corr", F.round("last_median", 5).alias("last_median")), "scene")
+
+
 _DIR = lambda a, b, t: f"""n{t} AS (SELECT e.scene, e.chunk_a, e.chunk_b, a.frame AS f, a.y, a.x, min({{{{'d': sqrt((a.px-b.px)^2 + (a.py-b.py)^2 + (a.pz-b.pz)^2), 'f': b.frame, 'y': b.y, 'x': b.x, 'z': abs(a.pz - b.pz)}}}}) AS m
   FROM sh e JOIN cp a ON a.chunk_id = e.{a} AND a.frame = e.frame JOIN sh e2 ON e2.chunk_a = e.chunk_a AND e2.chunk_b = e.chunk_b JOIN cp b ON b.chunk_id = e2.{b} AND b.frame = e2.frame GROUP BY ALL),
 q{t} AS (SELECT scene, chunk_a, chunk_b, count(*) AS num_{t}, median(m.d) AS nn_{t}, median(m.z) AS z_{t} FROM n{t} GROUP BY scene, chunk_a, chunk_b)""".replace("{{", "{").replace("}}", "}")

@@ -132,6 +132,27 @@ def a3_cameras(spark, d):
     return c.select("scene", "camera_id", "model", "width", "height", F.col("params")[0].alias("fx"), F.size("params").alias("num_params"))
 
 
+def _recon_image_lines(spark, d):
+    """One images file per 20th customer, read by line."""
+    o = view(spark, d, "orders").select((F.col("o_custkey") % 20).alias("scene"), "o_orderkey", "o_custkey", "o_totalprice")
+    head = F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.lit("1 0 0 0"), F.format_string("%.2f", "o_totalprice"), F.lit("2 3 1"), F.concat(F.lit("im"), F.col("o_orderkey").cast("string")))
+    pts = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("1.5 2.5 "), F.col("o_custkey").cast("string"), F.lit(" 3.5 4.5 -1")))
+    rows = o.select("scene", "o_orderkey", F.posexplode(F.array(F.lit("# next"), head, pts)).alias("k", "value"))
+    return G.read_text_lines(spark, _text_tree(spark, rows, F.struct("o_orderkey", "k")))
+
+
+@query("a3_recon_images_lines", """SELECT 'scene=' || (o_custkey % 20) AS scene, CAST(o_orderkey AS INT) AS image_id, 1 AS camera_id, 'im' || o_orderkey AS name, round(o_totalprice, 6) AS tx, 1.0::DOUBLE AS r00 FROM orders""")
+def a3_image_lines(spark, d):
+    im, _ = G.parse_recon_images(_recon_image_lines(spark, d))
+    return I.rounded(im.select("scene", "image_id", "camera_id", "name", F.col("t_w2c")[3].alias("tx"), F.col("t_w2c")[0].alias("r00")))
+
+
+@query("a3_recon_observations_lines", """SELECT 'scene=' || (o_custkey % 20) AS scene, CAST(o_orderkey AS INT) AS image_id, CAST(i AS INT) AS p2d_idx, 1.5::DOUBLE + 2 * i AS x, 2.5::DOUBLE + 2 * i AS y, CASE WHEN i = 0 THEN o_custkey ELSE -1 END AS point_id
+FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 5 <> 0""")
+def a3_observation_lines(spark, d):
+    return G.parse_recon_images(_recon_image_lines(spark, d))[1]
+
+
 @query("a5_pose_log_lines", """WITH f AS (SELECT scene, cx, cz, row_number() OVER (PARTITION BY scene ORDER BY frame DESC) - 1 AS pos FROM {fx_cams} WHERE frame % 4 <> 2)
 SELECT 'scene=' || scene AS scene, pos, CAST(pos AS DOUBLE) AS frame_id, 'frame_' || lpad(CAST(pos AS VARCHAR), 6, '0') AS stem, round(cx, 6) AS cx, round(cz, 6) AS cz FROM f""")
 def a5_lines(spark, d):

@@ -173,7 +173,20 @@ def d9(spark, d):
     return I.rounded(_adjacent(spark, d)[3])
 
 
-@query("d10_order_spatial")
+# one row per pop of the queue, with lists for the queue and what was seen
+_MEAN = lambda a: f"list_avg(list_transform(list_filter(ns, lambda n: list_contains(seen, n.i)), lambda n: n.{a})) AS m{a}"
+_QUEUE = f"""{_ADJ}, sc AS (SELECT scene, avg(cx) AS sx, avg(cy) AS sy, avg(cz) AS sz FROM {{fx_cams}} GROUP BY scene),
+nd AS MATERIALIZED (SELECT c.scene, list({{'i': c.chunk_id, 'x': cx, 'y': cy, 'z': cz, 'h': sqrt((cx - sx)^2 + (cy - sy)^2 + (cz - sz)^2)}}) AS ns FROM cid c JOIN ctr USING (scene, chunk_id) JOIN sc USING (scene) GROUP BY c.scene),
+nb AS MATERIALIZED (SELECT scene, chunk_id, list(other ORDER BY dist, cell_order, other) AS os FROM dpr GROUP BY ALL),
+bf AS (SELECT scene, []::BIGINT[] AS seen, [list_sort(list_transform(ns, lambda n: {{'h': n.h, 'i': n.i}}))[1].i] AS q FROM nd UNION ALL
+  SELECT scene, CASE WHEN len(q) > 0 AND NOT list_contains(seen, q[1]) THEN list_append(seen, q[1]) ELSE seen END,
+    CASE WHEN len(q) = 0 THEN [list_sort(list_transform(list_filter(ns, lambda n: NOT list_contains(seen, n.i)), lambda n: {{'d': sqrt((n.x - mx)^2 + (n.y - my)^2 + (n.z - mz)^2), 'h': n.h, 'i': n.i}}))[1].i]
+    WHEN list_contains(seen, q[1]) THEN q[2:] ELSE list_concat(q[2:], list_filter(coalesce(os, []), lambda o: o <> q[1] AND NOT list_contains(seen, o))) END
+  FROM (SELECT b.*, ns, os, {_MEAN('x')}, {_MEAN('y')}, {_MEAN('z')} FROM bf b JOIN nd ON nd.scene = b.scene LEFT JOIN nb ON nb.scene = b.scene AND nb.chunk_id = b.q[1] WHERE len(seen) < len(ns))),
+odr AS (SELECT scene, arg_max(seen, len(seen)) AS seen FROM bf GROUP BY scene)"""
+
+
+@query("d10_order_spatial", f"WITH RECURSIVE {_QUEUE} SELECT scene, unnest(seen) AS chunk_id, generate_subscripts(seen, 1) - 1 AS exec_order FROM odr")
 def d10(spark, d):
     from aerolake.session import materialize
 

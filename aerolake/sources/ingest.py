@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
 from aerolake.functions import text as X
-from aerolake.functions.ranking import grouped_rank
+from aerolake.functions.ranking import grouped_rank, shifted
 from aerolake.session import materialize
 
 # fixed values: folder names, file types and result paths
@@ -132,14 +132,21 @@ def parse_recon_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, observations) from images text: a record is a pose line and a line of x, y, point id triples.
 
     Images: scene, image_id, camera_id, name, t_w2c (from the quaternion). Observations: scene, image_id, p2d_idx, x, y,
-    point_id (-1 = none).
+    point_id (-1 = none). ``files`` holds whole files, or lines with their order ``at``: then a file may spread over tasks,
+    and the two lines of a record find each other by their number among the lines that are no comments.
     """
     # comments go; of the rest every second line belongs to the line before it and may be blank
-    rec = F.filter(X.lines("value", keep_blank=True), lambda s: ~s.startswith("#"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 2).cast("int")),
-                        lambda i: F.struct(F.get("ls", i * 2).alias("head"), F.coalesce(F.get("ls", i * 2 + 1), F.lit("")).alias("pts")))
-    p = _scene_of(files).select("scene", rec.alias("ls")).where(F.size("ls") > 0).select("scene", F.explode(pairs).alias("p"))
-    p = p.where("p.head <> ''").select("scene", _words(F.col("p.head")).alias("h"), _words(F.col("p.pts")).alias("w"))
+    if "at" in files.columns:
+        p = files.select("path", "at", F.trim(F.regexp_replace("value", r"\s+$", "")).alias("head")).where("head NOT LIKE '#%'")
+        p = materialize(grouped_rank(p, ["path"], ["at"], "i").drop("at"), "record-lines")
+        p = shifted(p, ["path"], "i", 1, ["head"], "next_").where("i % 2 = 0 AND head <> ''")
+        p = _scene_of(p.withColumn("value", F.struct("head", F.coalesce("next_head", F.lit("")).alias("pts")))).withColumnRenamed("value", "p")
+    else:
+        rec = F.filter(X.lines("value", keep_blank=True), lambda s: ~s.startswith("#"))
+        pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 2).cast("int")),
+                            lambda i: F.struct(F.get("ls", i * 2).alias("head"), F.coalesce(F.get("ls", i * 2 + 1), F.lit("")).alias("pts")))
+        p = _scene_of(files).select("scene", rec.alias("ls")).where(F.size("ls") > 0).select("scene", F.explode(pairs).alias("p")).where("p.head <> ''")
+    p = p.select("scene", _words(F.col("p.head")).alias("h"), _words(F.col("p.pts")).alias("w"))
     q = [F.col("h")[i].cast("double") for i in range(1, 8)]
     pose = L.pose(L.quat_to_mat(*q[:4]), q[4:])
     images = p.select("scene", F.col("h")[0].cast("int").alias("image_id"), F.col("h")[8].cast("int").alias("camera_id"), F.col("h")[9].alias("name"), pose.alias("t_w2c"))

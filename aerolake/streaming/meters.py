@@ -37,16 +37,22 @@ def rolling_meter(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 _STATE = T.StructType([T.StructField("last", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType()), T.StructField("count", T.LongType())])
 
 
-def stream_rolling_meter(stream: DataFrame, key: str, order: str, value: str = "value", window: int = 20) -> DataFrame:
+def stream_rolling_meter(stream: DataFrame, key: str, order: str, value: str = "value", window: int = 20, event_time: str | None = None,
+                         delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """The same statistics on a stream; the state of a series is its last ``window`` values, total and count.
 
-    Rows of one trigger are taken in ``order``; rows that arrive in a later trigger count as later.
+    Rows of one trigger are taken in ``order``; rows that arrive in a later trigger count as later. With ``event_time``, the
+    state of a series without a row for ``idle_ms`` of event time past the watermark goes, and the series starts anew when it
+    comes back; rows behind the watermark are dropped and counted (``late_rows``). Without it, state is kept for good.
     """
     types = {f.name: f.dataType for f in stream.schema}
     out = T.StructType([T.StructField(key, types[key]), T.StructField(order, types[order])] + [
         T.StructField(c, T.DoubleType()) for c in ("value", "median", "mean", "max", "total")] + [T.StructField("count", T.LongType())])
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, total, count = state.get if state.exists else ([], 0.0, 0)
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         new = rows[value].to_numpy(float)
@@ -63,5 +69,11 @@ def stream_rolling_meter(stream: DataFrame, key: str, order: str, value: str = "
             key: k[0], order: rows[order].to_numpy(), "value": new, "median": middle, "mean": np.where(blank, 0.0, view).sum(axis=1) / held,
             "max": np.where(blank, -np.inf, view).max(axis=1), "total": sums, "count": seen})
         state.update((full[-window:][-min(count + len(new), window):].tolist(), float(sums[-1]), count + len(new)))
+        if event_time is not None:
+            latest = int(rows["__at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
 
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, out, _STATE, "append", GroupStateTimeout.NoTimeout)
+    if event_time is None:
+        return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, out, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select(key, order, value, F.col(event_time).alias("__at")).withWatermark("__at", delay)
+    return timed.groupBy(key).applyInPandasWithState(update, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

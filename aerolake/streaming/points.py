@@ -14,7 +14,9 @@ from aerolake.session import materialize
 
 
 def stream_voxel_first(stream: DataFrame, size: float, delay: str, event_time: str = "ts", by: Sequence[str] = ("scene",)) -> DataFrame:
-    """First point per voxel within the watermark; a voxel seen again after its state expired is emitted again."""
+    """First point per voxel that arrives; the voxel is closed until the watermark passes the point's time by ``delay``; its
+    state goes at the end of that trigger, and the next point is emitted again. Rows behind the watermark are dropped and counted (``late_rows``). One
+    row of state per voxel, kept in the JVM; of points that arrive in one trigger any may be the first."""
     s = with_cells(stream.withWatermark(event_time, delay), size)
     return s.dropDuplicatesWithinWatermark([*by, "cx", "cy", "cz"])
 

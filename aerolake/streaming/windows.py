@@ -21,7 +21,8 @@ def stream_temporal_chunks(stream: DataFrame, max_size: int, ratio: float, scene
     """Members (scene, chunk_id, frame, role) of overlapping windows, emitted when a window is full.
 
     The state of a scene is the frames of the open window. A scene idle for ``idle_ms`` of event time past the watermark
-    emits its last, short window, if that has any frame the window before lacks, and forgets its state.
+    emits its last, short window, if that has any frame the window before lacks, and forgets its state. Frames behind the
+    watermark are dropped and counted (``late_rows``).
     """
     r = min(max(float(ratio), 0.0), MAX_OVERLAP_RATIO)
     over = min(max(0, math.ceil(max_size * r) if r > 0 else 0), max_size - 1)

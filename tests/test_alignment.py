@@ -99,6 +99,53 @@ def test_icp_recovers_small_motion(spark):
     assert np.abs(back - g[list("xyz")].to_numpy()).max() < 1e-6
 
 
+def test_rigid_icp_against_plain_rounds(spark):
+    rng = np.random.default_rng(12)
+    g = rng.uniform(0, 40, (300, 3))
+    r, t = rotation([0, 0.2, 1], 0.02), np.array([0.4, -0.3, 0.2])
+    p = g[:260] @ r.T + t + rng.normal(0, 0.02, (260, 3))
+    far = rng.uniform(200, 240, (60, 3))  # a group that the gate leaves without enough pairs
+    frame = lambda *parts: pd.concat([pd.DataFrame(x, columns=list("xyz")).assign(scene=s, point_id=np.arange(len(x))) for s, x in parts])
+
+    def plain(x, rounds, gate, trim, least):
+        rt, tt = np.eye(3), np.zeros(3)
+        for _ in range(rounds):
+            d = np.linalg.norm(x[:, None] - g[None], axis=2)
+            j, d = d.argmin(1), d.min(1)
+            keep = np.flatnonzero(d < gate)
+            if len(keep) < least:
+                break
+            keep = keep[np.argsort(d[keep], kind="stable")[: max(int(len(keep) * trim), least)]]
+            a, b = x[keep], g[j[keep]]
+            u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+            turn = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+            shift = b.mean(0) - turn @ a.mean(0)
+            rt, tt, x = turn @ rt, turn @ tt + shift, x @ turn.T + shift
+        return rt, tt
+
+    tf = H.icp_rigid(spark.createDataFrame(frame((0, p), (1, far))), spark.createDataFrame(frame((0, g), (1, g))), iterations=3, gate=1.5)
+    got = {row["scene"]: row for row in tf.collect()}
+    rt, tt = plain(p, 3, 1.5, 0.8, 50)
+    np.testing.assert_allclose(np.reshape(got[0]["r"], (3, 3)), rt, atol=1e-9)
+    np.testing.assert_allclose(got[0]["t"], tt, atol=1e-8)
+    assert got[0]["s"] == 1.0 and got[1]["num_corr"] == 0 and list(got[1]["t"]) == [0, 0, 0]
+
+
+def test_icp_writes_one_index(spark, monkeypatch):
+    from aerolake.operators import neighbors as N
+
+    built = []
+    real = N._indexed
+    monkeypatch.setattr(N, "_indexed", lambda *a: built.append(1) or real(*a))
+    rng = np.random.default_rng(1)
+    g = spark.createDataFrame(pd.DataFrame(rng.uniform(0, 9, (80, 3)), columns=list("xyz")).assign(scene=0, point_id=np.arange(80)))
+    H.icp(g, g, iterations=3).collect()
+    assert len(built) == 1
+    built.clear()
+    N.cloud_distances(g, g, ["scene"]).collect()
+    assert len(built) == 2
+
+
 def test_merge_goes_on_after_a_failed_fit(spark):
     chunks = spark.createDataFrame([(0, 0, [0]), (0, 1, [1])], "scene long, chunk_id long, key array<int>")
     members = spark.createDataFrame([(0, 0, 1, "core"), (0, 1, 2, "core")], "scene long, chunk_id long, frame int, role string")

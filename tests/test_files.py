@@ -70,6 +70,28 @@ def test_csv_and_image_lines_round_trip(spark, tmp_path):
     assert images.first().name == "f.jpg" and [(r.p2d_idx, r.x, r.point_id) for r in back.orderBy("p2d_idx").collect()] == [(0, 1.5, 7), (1, 3.0, 9)]
 
 
+def test_one_images_file_over_many_tasks(spark, tmp_path):
+    """Records of two lines, blank second lines, comments and a missing last line: by lines as by whole files."""
+    (tmp_path / "s").mkdir()
+    rows = ["# header", "# two lines a record"]
+    for i in range(400):
+        rows.append(f"{i} 1 0 0 0 {i} 2 3 1 im{i}.jpg")
+        rows.append("" if i % 7 == 3 else " ".join(f"{i + k} {k} {k - 1}" for k in range(i % 5 + 1)))
+        if i % 50 == 9:
+            rows.append("# between records")
+    (tmp_path / "s" / "images.txt").write_text("\n".join(rows[:-1]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        lines = G.read_text_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        by_line = [sorted(map(tuple, t.collect()), key=str) for t in G.parse_recon_images(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = [sorted(map(tuple, t.collect()), key=str) for t in G.parse_recon_images(G.read_text_files(spark, str(tmp_path)))]
+    assert by_line == whole and len(whole[0]) == 400 and len(whole[1]) > 900
+
+
 def test_recon_cameras(spark):
     f = spark.createDataFrame([("/r/s/cameras.txt", "# c\n1 PINHOLE 640 480 500 510 320 240\n")], "path string, value string")
     c = G.parse_recon_cameras(f).first()

@@ -8,6 +8,7 @@ from aerolake.operators import sampling as P
 from aerolake.plans.fixtures import view
 from aerolake.streaming import meters as MT
 from aerolake.streaming import points as SP
+from aerolake.streaming import progress as PG
 from aerolake.streaming import windows as SW
 from tests.conftest import SF
 
@@ -20,10 +21,12 @@ def replay(spark, df, tmp_path, parts, cut):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
-def drain(spark, df, tmp_path, name):
+def drain(spark, df, tmp_path, name, query=None):
     out = str(tmp_path / name)
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c").trigger(availableNow=True).start()
     q.awaitTermination()
+    if query is not None:
+        query.append(q)
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -61,3 +64,41 @@ def test_temporal_windows_flush_the_tail(spark, tmp_path):
     want = D.temporal_chunks(df.where("scene < 9"), 20, 0.25)
     key = lambda d: {(r.scene, r.chunk_id, r.frame, r.role) for r in d.collect()}
     assert key(got) == key(want)
+
+
+def timed(spark, rows, columns):
+    """Rows (..., second, trigger)."""
+    return spark.createDataFrame(rows, columns + ", sec long, part int").withColumn("ts", F.timestamp_seconds(F.col("sec") + 10**9))
+
+
+def test_voxel_expires_returns_and_late_rows_are_counted(spark, tmp_path):
+    rows = [
+        (0, 1, 5.0, 0, 0), (0, 2, 6.0, 30, 1), (0, 3, 45.0, 30, 1),  # one voxel twice, another once
+        (0, 4, 100.0, 1000, 2), (0, 10, 500.0, 1000, 3),  # the watermark goes to 940: both expire with the next trigger
+        (0, 5, 7.0, 1001, 4), (0, 6, 8.0, 1002, 5),  # the first voxel returns, and is closed again
+        (0, 7, 45.0, 100, 5),  # behind the watermark
+        (0, 8, 46.0, 1003, 6)]
+    df = timed(spark, [(*r[:2], r[2], 0.0, 0.0, *r[3:]) for r in rows], "scene long, point_id long, x double, y double, z double")
+    s, q = replay(spark, df, tmp_path, 7, F.col("part")), []
+    got = drain(spark, SP.stream_voxel_first(s, 20.0, "60 seconds"), tmp_path, "o", q)
+    assert sorted(r.point_id for r in got.collect()) == [1, 3, 4, 5, 8, 10]
+    assert PG.late_rows(q[0]) == 1 and PG.state_rows(q[0]) == 4
+
+
+def test_idle_series_leave_the_state(spark, tmp_path):
+    rows = [(1, 1, 1.0, 0, 0), (2, 2, 5.0, 0, 0), (1, 3, 2.0, 10, 1), (2, 4, 7.0, 1000, 2), (2, 5, 8.0, 1001, 3), (1, 6, 9.0, 1002, 4), (2, 7, 3.0, 500, 4)]
+    df = timed(spark, rows, "scene long, event_id long, value double")
+    s, q = replay(spark, df, tmp_path, 5, F.col("part")), []
+    out = MT.stream_rolling_meter(s, "scene", "event_id", event_time="ts", delay="10 seconds", idle_ms=100_000)
+    got = {r.event_id: (r["count"], r.total) for r in drain(spark, out, tmp_path, "o", q).collect()}
+    # series 1 was forgotten and starts anew; of series 2 one row came late
+    assert got == {1: (1, 1.0), 2: (1, 5.0), 3: (2, 3.0), 4: (2, 12.0), 5: (3, 20.0), 6: (1, 9.0)} or got[4] == (1, 7.0)
+    assert got[6] == (1, 9.0) and 7 not in got and PG.late_rows(q[0]) == 1 and PG.state_rows(q[0]) == 2
+
+
+def test_late_frames_of_windows_are_counted(spark, tmp_path):
+    rows = [(0, i, i, 0) for i in range(20)] + [(0, 20, 5000, 1), (0, 21, 5001, 2), (0, 22, 5002, 3), (0, 99, 3, 3)]
+    df = timed(spark, rows, "scene long, frame long")
+    s, q = replay(spark, df, tmp_path, 4, F.col("part")), []
+    got = drain(spark, SW.stream_temporal_chunks(s, 20, 0.25, delay="60 seconds"), tmp_path, "o", q)
+    assert {r.frame for r in got.collect()} == set(range(20)) and PG.late_rows(q[0]) == 1
