@@ -18,7 +18,7 @@ from tests.test_queries import rows
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(QUERIES) | {"pipeline"} <= set(names)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
