@@ -299,26 +299,59 @@ def fit_sim3_robust(
     )
 
 
-def balance_correspondences(
-    corr: DataFrame, by: Sequence[str], order: Sequence[str], total: int, grid: int = 16, min_cell: int = 64,
-    max_cell: int = 0, seed: int | Column = 0,
-) -> DataFrame:
-    """Cap correspondences per cell of a midpoint grid, chosen by seeded hash; adds the cell id ``cell``.
+def _balance_cap(total: int, grid: int, min_cell: int, max_cell: int) -> int:
+    return max(1, max_cell if max_cell > 0 else max(min_cell, -(-total // (grid * grid)) if total > 0 else 1))
 
-    Without an xy extent every row is kept, in cell -1.
-    """
-    by = list(by)
-    corr = finite_corr(corr).withColumns({"mx": (F.col("sx") + F.col("dx")) / 2, "my": (F.col("sy") + F.col("dy")) / 2})
-    cap = max_cell if max_cell > 0 else max(min_cell, -(-total // (grid * grid)) if total > 0 else 1)
+
+def _balance_cells(corr: DataFrame, by: Sequence[str], grid: int) -> DataFrame:
+    """Finite correspondences with the cell of their midpoint in a grid over the group; -1 without an xy extent."""
+    corr = corr.withColumns({"mx": (F.col("sx") + F.col("dx")) / 2, "my": (F.col("sy") + F.col("dy")) / 2})
     b = materialize(corr.groupBy(*by).agg(
         F.min("mx").alias("x0"), (F.max("mx") - F.min("mx")).alias("wx"),
         F.min("my").alias("y0"), (F.max("my") - F.min("my")).alias("wy"),
     ), "bounds")
-    j = corr.join(b, by)
     bin_of = lambda v, lo, w: F.greatest(
         F.lit(0), F.least(F.lit(grid - 1), F.floor((F.col(v) - F.col(lo)) / F.greatest(F.col(w), F.lit(1e-9)) * grid))
     )
     flat = (F.greatest("wx", "wy") <= 1e-9) if grid > 1 else F.lit(True)
-    j = j.withColumn("cell", F.when(flat, F.lit(-1)).otherwise(bin_of("mx", "x0", "wx") * grid + bin_of("my", "y0", "wy")))
-    capped = cap_per_group(j.where("cell >= 0"), [*by, "cell"], [L.uniform(seed, *by, *order), *order], max(1, cap))
-    return capped.unionByName(j.where("cell < 0")).select(*corr.columns, F.col("cell").cast("int").alias("cell")).drop("mx", "my")
+    cell = F.when(flat, F.lit(-1)).otherwise(bin_of("mx", "x0", "wx") * grid + bin_of("my", "y0", "wy"))
+    return corr.join(b, list(by)).withColumn("cell", cell.cast("int")).drop("mx", "my", "x0", "wx", "y0", "wy")
+
+
+def balance_correspondences(
+    corr: DataFrame, by: Sequence[str], order: Sequence[str], total: int, grid: int = 16, min_cell: int = 64,
+    max_cell: int = 0, seed: int | Column = 0,
+) -> DataFrame:
+    """Cap correspondences per cell of a midpoint grid, chosen by seeded hash; adds the cell id ``cell``.
+
+    Without an xy extent every row is kept, in cell -1.
+    """
+    by = list(by)
+    j = _balance_cells(finite_corr(corr), by, grid)
+    cap = _balance_cap(total, grid, min_cell, max_cell)
+    capped = cap_per_group(j.where("cell >= 0"), [*by, "cell"], [L.uniform(seed, *by, *order), *order], cap)
+    return capped.unionByName(j.where("cell < 0"))
+
+
+def balance_statistics(
+    corr: DataFrame, by: Sequence[str], total: int, grid: int = 16, min_cell: int = 64, max_cell: int = 0,
+) -> DataFrame:
+    """What ``balance_correspondences`` does to each group: (by, reason, num_corr_before, num_finite_corr, num_corr_after,
+    num_occupied_cells, per_cell_cap, min_cell_count_before, max_cell_count_before). Cell figures are NULL unless the
+    reason is 'balanced'. Only counts per cell are shuffled."""
+    by = list(by)
+    cap = _balance_cap(total, grid, min_cell, max_cell)
+    before = corr.groupBy(*by).agg(F.count(F.lit(1)).alias("num_corr_before"))
+    cells = _balance_cells(finite_corr(corr), by, grid).groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.when(F.col("cell") < 0, F.col("n")).otherwise(F.least("n", F.lit(cap)))
+    per = cells.groupBy(*by).agg(
+        F.sum("n").alias("finite"), F.sum(kept).alias("after"), F.count(F.lit(1)).alias("cells"), F.min("n").alias("lo"),
+        F.max("n").alias("hi"), (F.min("cell") >= 0).alias("spread"))
+    reason = F.lit("grid_size <= 1") if grid <= 1 else F.when(F.col("finite").isNull(), "no finite XY midpoints").when(
+        F.col("spread"), "balanced").otherwise("degenerate XY span")
+    j = before.join(per, by, "left").withColumn("reason", reason)
+    only = lambda c: F.when(F.col("reason") == "balanced", c)
+    return j.select(
+        *by, "reason", "num_corr_before", F.coalesce("finite", F.lit(0)).alias("num_finite_corr"), F.coalesce("after", F.lit(0)).alias("num_corr_after"),
+        only(F.col("cells")).alias("num_occupied_cells"), only(F.lit(cap)).alias("per_cell_cap"), only(F.col("lo")).alias("min_cell_count_before"),
+        only(F.col("hi")).alias("max_cell_count_before"))

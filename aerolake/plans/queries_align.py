@@ -158,6 +158,25 @@ def e7(spark, d):
     return out.groupBy("scene", "cell").agg(F.count(F.lit(1)).alias("num"), F.sum("point_id").alias("id_sum"))
 
 
+_CELLS = f"""WITH {_PCORR},
+b AS (SELECT scene, min((sx+dx)/2) AS x0, max((sx+dx)/2) - min((sx+dx)/2) AS wx, min((sy+dy)/2) AS y0, max((sy+dy)/2) - min((sy+dy)/2) AS wy FROM pc GROUP BY scene),
+c AS (SELECT pc.*, CAST(least(7, greatest(0, floor(((sx+dx)/2 - x0) / wx * 8))) * 8 + least(7, greatest(0, floor(((sy+dy)/2 - y0) / wy * 8))) AS INT) AS cell
+  FROM pc JOIN b USING (scene))"""
+
+
+@query("e7_balance_rows", f"""{_CELLS} SELECT scene, point_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY scene, cell ORDER BY {uniform_sql('scene, point_id', 7)}, point_id) AS k FROM c) WHERE k <= 32""")
+def e7_rows(spark, d):
+    out = A.balance_correspondences(point_corr(spark, d), ["scene"], ["point_id"], grid=8, total=2048, min_cell=16, seed=7)
+    return out.select("scene", "point_id", "cell")
+
+
+@query("e7_balance_statistics", f"""{_CELLS}, n AS (SELECT scene, cell, count(*) AS n FROM c GROUP BY ALL)
+SELECT scene, 'balanced' AS reason, CAST(sum(n) AS BIGINT) AS num_corr_before, CAST(sum(n) AS BIGINT) AS num_finite_corr, CAST(sum(least(n, 32)) AS BIGINT) AS num_corr_after,
+  count(*) AS num_occupied_cells, CAST(32 AS INT) AS per_cell_cap, min(n) AS min_cell_count_before, max(n) AS max_cell_count_before FROM n GROUP BY scene""")
+def e7_statistics(spark, d):
+    return A.balance_statistics(point_corr(spark, d), ["scene"], grid=8, total=2048, min_cell=16)
+
+
 def point_corr(spark, d):
     a = view(spark, d, "fx_points").select("scene", "point_id", *[F.col(c).alias("s" + c) for c in "xyz"])
     b = view(spark, d, "fx_points_gt").select("scene", "point_id", *[F.col(c).alias("d" + c) for c in "xyz"])

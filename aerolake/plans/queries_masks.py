@@ -212,6 +212,44 @@ def b13(spark, d):
     return I.rounded(T.augment_points(pts, params, anchor, ["scene"]))
 
 
+def _world(anchor: str) -> str:
+    """CTEs of the augmentation about an anchor a(scene, ax, ay, az): w with the draws, and points m2 of q(scene, id, x, y, z)."""
+    return f"""a AS ({anchor}),
+w AS (SELECT *, radians({_DRAW(0)} * 5) AS wx, radians({_DRAW(1)} * 5) AS wy, radians({_DRAW(2)} * 180) AS wz, {_DRAW(3)} * 10 AS ox, {_DRAW(4)} * 10 AS oy, {_DRAW(5)} * 2 AS oz,
+  0.8::DOUBLE + {uniform_sql('scene', 46)} * (1.25::DOUBLE - 0.8::DOUBLE) AS s FROM a),
+m AS (SELECT q.*, (x - ax + ox) * s AS x0, (y - ay + oy) * s AS y0, (z - az + oz) * s AS z0, wx, wy, wz FROM q JOIN w USING (scene)),
+m1 AS (SELECT *, cos(wx) * y0 - sin(wx) * z0 AS y1, sin(wx) * y0 + cos(wx) * z0 AS z1 FROM m),
+m2 AS (SELECT *, cos(wy) * x0 + sin(wy) * z1 AS x2, -sin(wy) * x0 + cos(wy) * z1 AS z2 FROM m1)"""
+
+
+_MOVED = "round(cos(wz) * x2 - sin(wz) * y1, 6) AS x, round(sin(wz) * x2 + cos(wz) * y1, 6) AS y, round(z2, 6) AS z"
+_FIRST_CAM = "SELECT scene, arg_min(cx, frame) AS ax, arg_min(cy, frame) AS ay, arg_min(cz, frame) AS az FROM {fx_cams} GROUP BY scene"
+
+
+@query("b13_augment_points_scene_points", f"""WITH q AS (SELECT * FROM {{fx_points}}), c AS ({_FIRST_CAM}), p AS (SELECT scene, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM q WHERE r < 100 GROUP BY scene),
+{_world("SELECT scene, coalesce(px, ax) AS ax, coalesce(py, ay) AS ay, coalesce(pz, az) AS az FROM c LEFT JOIN p USING (scene)")} SELECT scene, point_id, {_MOVED} FROM m2""")
+def b13_scene_points(spark, d):
+    cams, pts = I.gt_cams(spark, d), view(spark, d, "fx_points")
+    params = T.world_params(cams, ["scene"], 40, (5, 5, 180), (10, 10, 2), (0.8, 1.25))
+    anchor = T.augment_anchor(cams, pts.where("r < 100"), ["scene"], "scene_points", ["frame"])
+    return I.rounded(T.augment_points(pts.select("scene", "point_id", "x", "y", "z"), params, anchor, ["scene"]))
+
+
+# camera rotation about z by an angle, times diag(1, -1, -1); columns 0 and 2 after the turn about x, y, z
+@query("b13_augment_poses", f"""WITH q AS (SELECT scene, frame, cx AS x, cy AS y, cz AS z, cos(0.1::DOUBLE * (frame % 5)) AS ca, sin(0.1::DOUBLE * (frame % 5)) AS sa FROM {{fx_cams}}),
+{_world(_FIRST_CAM)},
+r AS (SELECT *, cos(wx) * sa AS b1, sin(wx) * sa AS b2, sin(wx) AS c1, -cos(wx) AS c2 FROM m2),
+r2 AS (SELECT *, cos(wy) * ca + sin(wy) * b2 AS d0, -sin(wy) * ca + cos(wy) * b2 AS d2, sin(wy) * c2 AS e0, cos(wy) * c2 AS e2 FROM r)
+SELECT scene, frame, {_MOVED}, round(cos(wz) * d0 - sin(wz) * b1, 6) AS r00, round(sin(wz) * d0 + cos(wz) * b1, 6) AS r10, round(d2, 6) AS r20, round(cos(wz) * e0 - sin(wz) * c1, 6) AS r02, round(sin(wz) * e0 + cos(wz) * c1, 6) AS r12, round(e2, 6) AS r22 FROM r2""")
+def b13_poses(spark, d):
+    cams = I.gt_cams(spark, d)
+    params = T.world_params(cams, ["scene"], 40, (5, 5, 180), (10, 10, 2), (0.8, 1.25))
+    out = T.augment_poses(cams, params, T.augment_anchor(cams, None, ["scene"], "first_camera", ["frame"]), ["scene"])
+    t = lambda i: F.col("t_c2w")[i]
+    return I.rounded(out.select("scene", "frame", t(3).alias("x"), t(7).alias("y"), t(11).alias("z"), t(0).alias("r00"), t(4).alias("r10"), t(8).alias("r20"),
+                                t(2).alias("r02"), t(6).alias("r12"), t(10).alias("r22")))
+
+
 def _gauss(i: int) -> str:
     s = 9 + 10 * i
     return f"(sqrt(-2 * ln(1 - {uniform_sql('scene, frame', 2 * s + 1)})) * cos(2 * pi() * {uniform_sql('scene, frame', 2 * s + 2)}))"

@@ -99,6 +99,19 @@ def test_icp_recovers_small_motion(spark):
     assert np.abs(back - g[list("xyz")].to_numpy()).max() < 1e-6
 
 
+def test_balance_statistics_name_the_reason(spark):
+    nan = float("nan")
+    rows = [(0, i, float(i % 4), float(i // 4), 0.0) for i in range(16)] + [(1, i, 5.0, 5.0, 0.0) for i in range(3)] + [(2, 0, nan, 1.0, 0.0)]
+    corr = spark.createDataFrame([(g, i, x, y, z, x, y, z) for g, i, x, y, z in rows], "g long, i long, sx double, sy double, sz double, dx double, dy double, dz double")
+    got = {r.g: tuple(r)[1:] for r in A.balance_statistics(corr, ["g"], 12, grid=2, min_cell=1).collect()}
+    assert got[0] == ("balanced", 16, 16, 12, 4, 3, 4, 4)
+    assert got[1] == ("degenerate XY span", 3, 3, 3, None, None, None, None)
+    assert got[2] == ("no finite XY midpoints", 1, 0, 0, None, None, None, None)
+    kept = A.balance_correspondences(corr, ["g"], ["i"], 12, grid=2, min_cell=1).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in kept} == {0: 12, 1: 3}
+    assert {r.reason for r in A.balance_statistics(corr, ["g"], 12, grid=1).collect()} == {"grid_size <= 1"}
+
+
 def test_rigid_icp_against_plain_rounds(spark):
     rng = np.random.default_rng(12)
     g = rng.uniform(0, 40, (300, 3))
