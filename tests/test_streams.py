@@ -39,6 +39,26 @@ def test_coverage_fill(spark, tmp_path):
     assert got == {r.point_id for r in P.coverage_fill(base, cand, 10.0).collect()} and got
 
 
+def test_coverage_fill_reads_touched_blocks_only(spark, tmp_path, monkeypatch):
+    """A strip that moves on by 100 cells a trigger and comes back once: owners hold, and files of other blocks stay closed."""
+    rows = [(0, 10 * t + i, float(100 * t + 10 * i), 0.0, 0.0, t) for t in range(6) for i in range(5)]
+    rows += [(0, 900 + i, float(10 * i), 0.5, 0.0, 6) for i in range(7)]
+    p = spark.createDataFrame(rows, "scene long, point_id long, x double, y double, z double, chunk_order long")
+    opened, real = [], SP.known_owners
+
+    def counted(*a):
+        got = real(*a)
+        opened.append(spark.read.parquet(a[1]).where(F.col("block").isin(list(a[3])) & (F.col("batch") < a[4])).select(F.input_file_name()).distinct().count())
+        return got
+
+    monkeypatch.setattr(SP, "known_owners", counted)
+    s = replay(spark, p, tmp_path, 7, F.col("chunk_order"))
+    SP.start_coverage_fill(s, p.limit(0), 1.0, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.point_id for r in spark.read.parquet(str(tmp_path / "out" / "points")).collect()}
+    assert got == {r[1] for r in rows if r[1] < 900} | {905, 906}
+    assert opened[:5] == [opened[0]] * 5 or max(opened[:5]) <= 1
+
+
 def test_voxels(spark, tmp_path):
     p = view(spark, SF, "fx_points").select("scene", "point_id", "x", "y", "z").withColumn("ts", F.timestamp_seconds(F.col("point_id") + 10**9))
     got = drain(spark, SP.stream_voxel_first(replay(spark, p, tmp_path, 3, F.col("point_id") % 3), 20.0, "100 days"), tmp_path, "o")
