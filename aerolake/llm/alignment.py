@@ -63,13 +63,12 @@ class Tokens:
             self.a_size[i] = len(t)
         known = set(self.a_bytes.values())
         self.lossless = all(bytes([c]) in known for c in range(256))
-        # ids as decimal digits with a mark, filled up with zero bytes
-        self.width = len(str(max(top, len(pieces)))) + 1
-        written = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], f"S{self.width}").view(np.uint8).reshape(n, self.width)
+        # ids of up to seven decimal digits and a mark, filled up with zero bytes
+        written = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], "S8").view(np.uint64)
         self.text_a = written(top, ","), written(top, "|")
         self.text_b = written(len(pieces), ","), written(len(pieces), ";")
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, list[int], np.ndarray, list[int]] | None:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and ends of A, ids and ends of B; None if there are no tokens or a tokenizer does not keep the bytes."""
         if not text:
             return None
@@ -81,8 +80,8 @@ class Tokens:
         # a byte-level vocabulary that has every byte gives back any text
         if not self.lossless and b"".join(map(self.a_bytes.__getitem__, a)) != given:
             return None
-        a, b = np.array(a, np.int32), np.array(b, np.int32)
-        return a, np.cumsum(self.a_size[a]).tolist(), b, np.cumsum(self.b_size[b]).tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b])
 
 
 def _ranked(model: dict, tokens: dict[int, bytes]) -> Callable[[str], list[int]] | None:
@@ -105,71 +104,72 @@ def _load(a_spec: str, b_model: bytes) -> Tokens:
     return Tokens(a_spec, b_model)
 
 
+def links(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Places of the tokens of A and of B that overlap, from two lists of ends that close at the same place."""
+    link_a, link_b = [], []
+    i = j = 0
+    n = len(a)
+    while i < n:
+        start, probe = i, PROBE
+        while a[i : i + probe] == b[j : j + probe] and i < n:
+            i, j, probe = i + probe, j + probe, 2 * probe
+        if i < n:
+            while probe > 1:  # the first difference lies within the last probe
+                probe //= 2
+                if a[i : i + probe] == b[j : j + probe]:
+                    i, j = i + probe, j + probe
+        else:
+            i, j = n, len(b)
+        if i > start:  # a stretch of one token with one token
+            link_a += range(start, i)
+            link_b += range(j - i + start, j)
+            if i == n:
+                break
+        while True:  # an irregular group, up to the next common end
+            link_a.append(i)
+            link_b.append(j)
+            x, y = a[i], b[j]
+            if x < y:
+                i += 1
+            elif y < x:
+                j += 1
+            else:
+                break
+        i += 1
+        j += 1
+    return link_a, link_b
+
+
 class Alignment:
-    """Groups of one text, by their last tokens of A and of B, and its links as parallel lists of places of tokens."""
+    """Links of one text as places of tokens of A and of B, and its groups by their last tokens."""
 
     __slots__ = ("last_a", "last_b", "link_a", "link_b")
 
-    def __init__(self, a: list[int], b: list[int]) -> None:
-        """Walk two lists of ends that close at the same place."""
-        self.last_a, self.last_b, self.link_a, self.link_b = last_a, last_b, link_a, link_b = [], [], [], []
-        i = j = 0
-        n = len(a)
-        while i < n:
-            start, probe = i, PROBE
-            while a[i : i + probe] == b[j : j + probe] and i < n:
-                i, j, probe = i + probe, j + probe, 2 * probe
-            if i < n:
-                while probe > 1:  # the first difference lies within the last probe
-                    probe //= 2
-                    if a[i : i + probe] == b[j : j + probe]:
-                        i, j = i + probe, j + probe
-            else:
-                i, j = n, len(b)
-            if i > start:  # a stretch of one token with one token
-                mine, other = range(start, i), range(j - i + start, j)
-                last_a += mine
-                last_b += other
-                link_a += mine
-                link_b += other
-                if i == n:
-                    return
-            while True:  # an irregular group, up to the next common end
-                link_a.append(i)
-                link_b.append(j)
-                x, y = a[i], b[j]
-                if x < y:
-                    i += 1
-                elif y < x:
-                    j += 1
-                else:
-                    break
-            last_a.append(i)
-            last_b.append(j)
-            i += 1
-            j += 1
+    def __init__(self, a_end: np.ndarray, b_end: np.ndarray) -> None:
+        self.link_a, self.link_b = map(np.array, links(a_end.tolist(), b_end.tolist()))
+        closed = a_end[self.link_a] == b_end[self.link_b]  # a group ends where both tokens of a link do
+        self.last_a, self.last_b = self.link_a[closed], self.link_b[closed]
 
     def each(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and of B, group by group."""
         i = j = 0
-        for i2, j2 in zip(self.last_a, self.last_b):
+        for i2, j2 in zip(self.last_a.tolist(), self.last_b.tolist()):
             yield a[i : i2 + 1], b[j : j2 + 1]
             i, j = i2 + 1, j2 + 1
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Linked ids, a << 32 | b."""
-        return a[np.array(self.link_a)].astype(np.int64) << 32 | b[np.array(self.link_b)]
+        return a[self.link_a] << 32 | b[self.link_b]
 
     def text(self, a: np.ndarray, b: np.ndarray, both: Tokens) -> bytes:
         """The groups as ``a1,a2|b1;a3|b2,b3``: every id is written with the mark that follows it."""
-        last_a, last_b = np.array(self.last_a), np.array(self.last_b)
+        last_a, last_b = self.last_a, self.last_b
         at_a = np.arange(len(a)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))
         at_b = np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
-        parts = np.empty((len(a) + len(b), both.width), np.uint8)
+        parts = np.empty(len(a) + len(b), np.uint64)
         parts[at_a], parts[at_b] = both.text_a[0][a], both.text_b[0][b]
         parts[at_a[last_a]], parts[at_b[last_b]] = both.text_a[1][a[last_a]], both.text_b[1][b[last_b]]
-        parts = parts.ravel()
-        return parts[parts > 0].tobytes()[:-1]
+        return parts.tobytes().translate(None, b"\0")[:-1]
 
 
 def _held(docs: DataFrame, a_path: str, b_path: str) -> Callable[[], Tokens]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from aerolake.llm import alignment
@@ -82,11 +83,11 @@ def test_groups_and_links_of_random_ends():
         cut = lambda share: sorted({total, *(e for e in range(1, total) if rnd.random() < share)})
         a = cut(rnd.random())
         b = sorted({total, *(e for e in a if rnd.random() < 0.9), *(e for e in range(1, total) if rnd.random() < 0.1)})
-        found = alignment.Alignment(a, b)
+        found = alignment.Alignment(np.array(a), np.array(b))
         assert [a[i] for i in found.last_a] == [b[j] for j in found.last_b] == sorted(set(a) & set(b))
         ends = lambda t, k: (t[k - 1] if k else 0, t[k])
         want = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends(a, i)[0] < ends(b, j)[1] and ends(b, j)[0] < ends(a, i)[1]]
-        assert list(zip(found.link_a, found.link_b)) == want
+        assert list(zip(found.link_a.tolist(), found.link_b.tolist())) == want
 
 
 def test_table_against_plain_python(spark, libraries, monkeypatch):
