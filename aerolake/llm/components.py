@@ -9,7 +9,9 @@ from aerolake.session import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); component is the smallest node that is reachable.
+    """(node, component) for every node of ``links`` (a, b); component is the smallest node that is reachable. Repeated links and
+    links of a node with itself count for nothing, links with a NULL end are left out, other columns are ignored; without
+    links the result is empty.
 
     Links stay in tables: each step is a partial aggregate and a join, written to the shared folder, so a node with most
     of the links is spread over tasks and a lost executor costs its tasks only. Stops when a step changes nothing.

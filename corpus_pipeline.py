@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and
 reads it back as the next stage's documents. All but the last return the columns of ``documents``.
+
+Defined results, for all stages: an empty table gives an empty result; further columns are kept, whatever their names, by all
+stages but the last; texts are handled whole, whatever their length. NULL and empty texts have no n-grams and log ratios of 0 in the
+quality stage, no lines to drop, no near-duplicates, size 0 in the mix, and no tokens. Rows that share an id are one document for
+the fit of the quality stage and for the near-duplicate stage; rows with a NULL id are never dropped as duplicates. Ties go to the
+smaller id (line dedup: to the earlier line).
 """
 
 from __future__ import annotations
