@@ -157,9 +157,15 @@ def fit_yaw(corr: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def baseline_pairs(n: DataFrame, by: Sequence[str], max_pairs: int, seed: int) -> DataFrame:
-    """Seeded index pairs (i, j) per group, i <> j; a pair of points gives the single pair (0, 1)."""
+    """Seeded index pairs (i, j) per group, i <> j; a pair of points gives the single pair (0, 1).
+
+    They are written out: the planner takes exploded rows for as few as there are groups, and would send them all to the driver.
+    """
     n_pairs = F.least(F.lit(max_pairs).cast("long"), F.floor(F.col("n") * (F.col("n") - 1) / 2))
-    k = n.where("n >= 2").select(
+    # a handful of groups would come as one small partition
+    spark = n.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    k = n.where("n >= 2").repartition(width, *by).select(
         *by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") == 2, 0).otherwise(n_pairs - 1))).alias("k")
     )
     draw = lambda side: F.floor(L.uniform(seed + side, *by, "k") * F.col("n"))
@@ -168,7 +174,7 @@ def baseline_pairs(n: DataFrame, by: Sequence[str], max_pairs: int, seed: int) -
         F.when(F.col("n") == 2, 0).otherwise(draw(0)).cast("long").alias("i"),
         F.when(F.col("n") == 2, 1).otherwise(draw(1)).cast("long").alias("j"),
     )
-    return pairs.where("i <> j")
+    return materialize(pairs.where("i <> j"), "baselines")
 
 
 def fit_scale(
@@ -176,7 +182,7 @@ def fit_scale(
 ) -> DataFrame:
     """Median ratio of destination to source baselines over seeded pairs: (by, n, scale, num_pairs, scale_valid)."""
     by = list(by)
-    idx = grouped_rank(finite_corr(corr).select(*by, *order, *SRC, *DST), by, order, "i")
+    idx = materialize(grouped_rank(finite_corr(corr).select(*by, *order, *SRC, *DST), by, order, "i"), "ranked")
     n = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     pairs = baseline_pairs(n, by, max_pairs, seed)
     left = idx.select(*by, "i", *SRC, *DST)

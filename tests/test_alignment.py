@@ -168,3 +168,12 @@ def test_merge_goes_on_after_a_failed_fit(spark):
     e = edges.first()
     assert not e["valid"] and e["n"] == 0
     assert all(r["s"] == 1.0 and list(r["t"]) == [0, 0, 0] for r in tf.collect())
+
+
+def test_baseline_pairs_have_their_size(spark):
+    # the planner must not take exploded pairs for a table small enough to be broadcast
+    n = spark.range(20).select(F.col("id").alias("g"), F.lit(300).cast("long").alias("n"))
+    pairs = A.baseline_pairs(n, ["g"], 20000, 0)
+    rows = pairs.count()
+    assert rows > 20 * 19000 and pairs.rdd.getNumPartitions() > 1
+    assert int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > rows
