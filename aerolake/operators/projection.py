@@ -47,22 +47,23 @@ def unproject(pixels: DataFrame, cams: DataFrame, key: Sequence[str] = ("scene",
 
 
 def projection_columns(pose: str | Column, k: str | Column, prefix: str = "__P") -> dict[str, Column]:
-    """The 3x4 projection of a camera as twelve columns, computed once per camera.
+    """What a projection needs of a camera as sixteen columns, computed once per camera: inverse rotation, centre, focal
+    lengths and principal point.
 
-    Plain columns keep the join condition small; twelve array reads per use would make it too large to be compiled.
+    Plain columns keep the join condition small; array reads per use would make it too large to be compiled. The centre is
+    kept apart: folded into a 3x4 matrix it cancels with the point, and a point on a pixel or image border changes sides.
     """
-    a, rt, t = L.col(k), L.transpose(L.rot_of(pose)), L.trans_of(pose)
-    rows = [[a[0] * rt[0][i] + a[2] * rt[2][i] for i in range(3)], [a[4] * rt[1][i] + a[5] * rt[2][i] for i in range(3)], rt[2]]
-    flat = [c for r in rows for c in (*r, -L.dot(r, t))]
+    a = L.col(k)
+    flat = [*[c for r in L.transpose(L.rot_of(pose)) for c in r], *L.trans_of(pose), a[0], a[2], a[4], a[5]]
     return {f"{prefix}{i}": c for i, c in enumerate(flat)}
 
 
 def project(p: Sequence[Column], prefix: str = "__P") -> tuple[Column, Column, Column]:
     """(u, v, z) of a world point under ``projection_columns``."""
-    m = [F.col(f"{prefix}{i}") for i in range(12)]
-    row = lambda i: m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3]
-    z = row(2)
-    return row(0) / z, row(1) / z, z
+    m = [F.col(f"{prefix}{i}") for i in range(16)]
+    d = [c - t for c, t in zip(p, m[9:12])]
+    x, y, z = (m[3 * i] * d[0] + m[3 * i + 1] * d[1] + m[3 * i + 2] * d[2] for i in range(3))
+    return m[12] * x / z + m[13], m[14] * y / z + m[15], z
 
 
 def _pyramid_box(cams: DataFrame, bounds: DataFrame, by: Sequence[str], width: float, height: float) -> DataFrame:
