@@ -282,7 +282,8 @@ def chunk_centres(members: DataFrame, cams: DataFrame, by: Sequence[str] = ("sce
     c = cams.select(*by, frame, *[v.alias(a) for a, v in zip("xyz", t)])
     core = F.col("role") == "core"
     avg = lambda a: F.coalesce(F.avg(F.when(core, F.col(a))), F.avg(a)).alias("c" + a)
-    return members.join(c, [*by, frame]).groupBy(*by, "chunk_id").agg(*[avg(a) for a in "xyz"])
+    # both sides have a row per frame, whatever the size of their files says
+    return members.hint("merge").join(c, [*by, frame]).groupBy(*by, "chunk_id").agg(*[avg(a) for a in "xyz"])
 
 
 def chunk_adjacency(members: DataFrame, chunks: DataFrame, centres: DataFrame, by: Sequence[str] = ("scene",),
@@ -293,8 +294,11 @@ def chunk_adjacency(members: DataFrame, chunks: DataFrame, centres: DataFrame, b
     ``cell_order`` and id. ``chunks`` holds chunk_id, cell_order and, with ``tree``, path.
     """
     by = list(by)
-    m = members.select(*by, "chunk_id", frame)
-    pair = m.join(m.withColumnRenamed("chunk_id", "other"), [*by, frame]).where("chunk_id < other").select(*by, "chunk_id", "other")
+    # a frame lies in a few chunks, and their pairs come from its list; a table of members compresses so well that a join of it
+    # with itself would be taken for a small one and broadcast
+    lists = members.groupBy(*by, frame).agg(F.collect_set("chunk_id").alias("l")).where(F.size("l") > 1)
+    pair = lists.select(*by, "l", F.explode("l").alias("chunk_id")).select(
+        *by, "chunk_id", F.explode(F.filter("l", lambda o: o > F.col("chunk_id"))).alias("other"))
     if tree:
         # a parent of the binary tree has at most two leaves as children
         s = chunks.where("path <> ''").select(*by, "chunk_id", F.expr("left(path, length(path) - 1)").alias("up"))
