@@ -33,6 +33,7 @@ from aerolake.llm.pieces import Recent, Splitter, slices
 
 #: Rows that are decoded at a time.
 DECODE_ROWS = 256
+DECODE_IDS = 1 << 16  # ids decoded at a time
 #: Mark of the node that ends a pre-token.
 CLOSE = -2
 
@@ -90,8 +91,14 @@ class RankBPE:
     def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
         self.bytes = {r: t for t, r in self.ranks.items()}
-        self.decimal = {r: str(r) for r in self.bytes}
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
+        size = max(self.ranks.values(), default=0) + 1
+        self.queue = RankQueue(size)
+        # every id in decimal with a comma, closed by zero bytes; where its bytes lie among those of all, -1 long where there is none
+        self._decimal = np.array([f"{r}," for r in range(size)], "S").view(np.uint8).reshape(size, -1)
+        lengths = [len(self.bytes[r]) if r in self.bytes else -1 for r in range(size)]
+        self._flat = np.frombuffer(b"".join(self.bytes[r] for r in range(size) if r in self.bytes), np.uint8)
+        self._length = np.array(lengths, np.int64)
+        self._start = np.concatenate([[0], np.cumsum(np.maximum(self._length, 0))[:-1]])
         self.byte_rank = np.array([self.ranks.get(bytes([c]), 0) for c in range(256)], np.int64)
         self.pair_rank = np.array([self.ranks.get(bytes([c, d]), -1) for c in range(256) for d in range(256)], np.int64)
         self._splitter, self._known, self._pieces = Splitter(), Recent(), Recent()
@@ -117,7 +124,20 @@ class RankBPE:
         return [b"".join([*map(made.__getitem__, f), *map(ids.__getitem__, c[1:])]) for f, c in zip(firsts, cuts)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        every = np.frombuffer(ids, "<u4")
+        return b"".join([self._decoded(every[k : k + DECODE_IDS]) for k in range(0, len(every), DECODE_IDS)])
+
+    def _decoded(self, ids: np.ndarray) -> bytes:
+        length = self._length[ids]
+        if length.min() < 0:
+            raise KeyError(int(ids[length.argmin()]))
+        ends = np.cumsum(length)
+        return self._flat[np.repeat(self._start[ids] - ends + length, length) + np.arange(ends[-1])].tobytes()
+
+    def listed(self, ids: bytes) -> bytes:
+        """The ids in decimal, joined by commas."""
+        digits = self._decimal[np.frombuffer(ids, "<u4")]
+        return digits[digits != 0].tobytes()[:-1]
 
     def forget(self) -> None:
         """Empty the memo tables."""
@@ -268,8 +288,7 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 in place of the text."""
 
     def row(bpe: RankBPE, ids: bytes):
-        listed = ",".join(map(bpe.decimal.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode()
-        return len(ids) // 4, hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+        return len(ids) // 4, hashlib.sha256(bpe.listed(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
     return _mapped(docs, ranks_path, {"n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()),
                                       "decoded_sha256": (T.StringType(), pa.string())}, row)

@@ -87,3 +87,15 @@ def test_query_against_library(spark, library):
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_ids_are_listed_and_decoded_by_table():
+    words = {0: b"a", 1: b"\0", 3: "é".encode(), 12: b"abc" * 40}  # ranks with gaps, a zero byte, a long token
+    bpe = rankqueue.RankBPE(b"\n".join(base64.b64encode(t) + b" %d" % r for r, t in words.items()))
+    pack = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
+    for ids in ([], [0], [12, 3, 1, 0], [3, 12, 0] * rankqueue.DECODE_IDS):
+        assert bpe.decode(pack(ids)) == b"".join(words[i] for i in ids)
+        assert bpe.listed(pack(ids)) == ",".join(map(str, ids)).encode()
+    for bad in (2, 99):
+        with pytest.raises((KeyError, IndexError)):
+            bpe.decode(pack([0, bad]))
