@@ -17,6 +17,7 @@ MIN_TARGET_DEPTH = 0.04
 CONF_EPS = 1e-10
 FUSE_TOLERANCE = 0.1
 ENTROPY_EPS = 1e-8
+_FINER = 2
 
 # edges of a view pyramid: apex 0 and the far corners 1..4
 _EDGES = ((0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (2, 3), (3, 4), (4, 1))
@@ -125,12 +126,13 @@ def _cells(boxes: DataFrame) -> DataFrame:
     return out.withColumn("__cy", F.explode(F.sequence(_cell("__y0"), _cell("__y1"))))
 
 
-def box_cells(boxes: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def box_cells(boxes: DataFrame, by: Sequence[str], finer: int = 0) -> tuple[DataFrame, DataFrame]:
     """(boxes exploded to the cells (__lv, __cx, __cy) they touch, levels in use per group).
 
-    Every box has the level of its own size, so one wide box among many small ones is a handful of rows as well.
+    Every box has the level of its own size, so one wide box among many small ones is a handful of rows as well. ``finer``
+    takes cells so many levels smaller: at most (2 ** finer + 1) squared rows a box.
     """
-    levelled = boxes.withColumn("__lv", _level())
+    levelled = boxes.withColumn("__lv", _level() - finer)
     return _cells(levelled), materialize(levelled.select(*by, "__lv").distinct(), "levels")
 
 
@@ -160,20 +162,30 @@ def box_pairs(boxes: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 
 
 def project_join(points: DataFrame, cams: DataFrame, width: float, height: float, by: Sequence[str] = ("scene",),
-                 view: str = "frame", keep: Sequence[str] = ()) -> DataFrame:
+                 view: str = "frame", keep: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """(by, view, point_id, u, v, z, kept columns) of every point seen by a view: z > 0 and inside the image.
 
     The equi-join key is a ground cell: each point has one per level of box sizes, each view those under its pyramid. The
-    exact test follows.
+    exact test follows. ``carry`` names columns of ``cams`` to add; they hold images, so views are not broadcast, and cells are
+    smaller than the pyramids: few views of a cell miss its points, and points of one pyramid spread over tasks.
     """
     by = list(by)
     bounds = materialize(point_bounds(points, by), "bounds")
-    boxes = _pyramid_box(cams.select(*by, view, "k", "t_c2w"), bounds, by, width, height)
-    cells, levels = box_cells(boxes, by)
+    boxes = _pyramid_box(cams.select(*by, view, "k", "t_c2w", *carry), bounds, by, width, height)
+    if carry:
+        pad = lambda c: (F.abs(c) + 1) * 1e-9
+        boxes = boxes.withColumns({f"__{a}{n}": F.col(f"__{a}{n}") + pad(f"__{a}{n}") * (2 * n - 1) for a in "xy" for n in (0, 1)})
+    cells, levels = box_cells(boxes, by, _FINER if carry else 0)
     p = point_cells(points.select(*by, "point_id", "x", "y", "z", *keep), levels, by).withColumnsRenamed({"x": "__x", "y": "__y", "z": "__z"})
-    j = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), [*by, "__lv", "__cx", "__cy"])
     u, v, z = project(L.vec("__x", "__y", "__z"))
-    out = j.select(*by, view, "point_id", u.alias("u"), v.alias("v"), z.alias("z"), *keep)
+    at = [*by, "__lv", "__cx", "__cy"]
+    if carry:
+        near = p.join(cells.hint("merge"), at).where("__x >= __x0 AND __x <= __x1 AND __y >= __y0 AND __y <= __y1")
+        # exploded, a projection is computed once; filters pushed below it would repeat it until the code is too large to be compiled
+        uvz = F.explode(F.array(F.struct(u.alias("u"), v.alias("v"), z.alias("z"))))
+        out = near.select(*by, view, "point_id", uvz.alias("__s"), *keep, *carry).select(*by, view, "point_id", "__s.u", "__s.v", "__s.z", *keep, *carry)
+    else:
+        out = p.join(cells.drop("__x0", "__x1", "__y0", "__y1"), at).select(*by, view, "point_id", u.alias("u"), v.alias("v"), z.alias("z"), *keep)
     return out.where((F.col("z") > 0) & (F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
 
 
@@ -233,6 +245,17 @@ def multiview_confidence(pixels: DataFrame, cams: DataFrame, pairs: DataFrame, w
     return out.select(*by, view, "y", "x", i.cast("long").alias("inliers"), o.cast("long").alias("outliers"), conf.alias("confidence"))
 
 
+def _images(pixels: DataFrame, cols: Sequence[str], width: int, height: int, by: Sequence[str], view: str) -> DataFrame:
+    """(by, view, one array per column): the values of an image at y * width + x, NULL where it has no pixel."""
+    inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
+    row = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("i"), *cols)
+    p = pixels.where(inside).groupBy(*by, view).agg(F.array_sort(F.collect_list(row), lambda a, b: a["i"] - b["i"]).alias("l"))
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("l", k - 1)["i"])
+    fill = lambda c: F.flatten(F.transform("l", lambda s, k: F.concat(
+        F.array_repeat(F.lit(None).cast(pixels.schema[c].dataType), s["i"] - before(k) - 1), F.array(s[c]))))
+    return p.select(*by, view, *[fill(c).alias(c) for c in cols])
+
+
 def fuse_semantics(points: DataFrame, cams: DataFrame, depth: DataFrame, scores: DataFrame, mode: str, width: int,
                    height: int, num_classes: int, by: Sequence[str] = ("scene",), view: str = "frame",
                    tol: float = FUSE_TOLERANCE) -> DataFrame:
@@ -243,29 +266,33 @@ def fuse_semantics(points: DataFrame, cams: DataFrame, depth: DataFrame, scores:
     to the lowest class, points without a view to class 0.
     """
     by = list(by)
-    seen = project_join(points, cams, width, height, by, view).withColumnRenamed("z", "zz")
-    seen = seen.withColumns({"x": F.rint("u").cast("int"), "y": F.rint("v").cast("int")}).where((F.col("x") < width) & (F.col("y") < height))
-    d = depth.select(*by, view, "y", "x", F.col("z").alias("__d"))
-    ok = seen.join(d, [*by, view, "y", "x"]).where(F.abs(F.col("zz") - F.col("__d")) < tol).select(*by, view, "y", "x", "point_id")
+    if mode not in ("voting", "average", "weighted"):
+        raise ValueError(f"unknown fusion mode {mode}")
     # one pixel has num_classes rows: its scores fit in one array
-    s = scores.groupBy(*by, view, "y", "x").agg(F.array_sort(F.collect_list(F.struct("cls", "logit"))).alias("l"))
-    votes = ok.join(s, [*by, view, "y", "x"])
+    px = scores.groupBy(*by, view, "y", "x").agg(F.array_sort(F.collect_list(F.struct("cls", "logit"))).alias("l"))
+    best = F.aggregate(F.slice("l", 2, num_classes), F.col("l")[0], lambda a, b: F.when(b["logit"] > a["logit"], b).otherwise(a))
+    px = px.withColumn("cls", best["cls"])
+    if mode == "average":
+        votes = {"__w": F.transform("l", lambda s: F.exp(s["logit"])), "__c": F.transform("l", lambda s: s["cls"])}
+    elif mode == "voting":
+        votes = {"__c": F.col("cls")}
+    else:
+        top = F.array_max(F.transform("l", lambda a: a["logit"]))
+        px = px.withColumn("__top", top).withColumn("__e", F.transform("l", lambda a: F.exp(a["logit"] - F.col("__top"))))
+        px = px.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda a, e: a + e))
+        ent = -F.aggregate("__e", F.lit(0.0), lambda a, e: a + e / F.col("__t") * F.log(e / F.col("__t") + ENTROPY_EPS))
+        votes = {"__w": 1.0 - ent / F.log(F.lit(float(num_classes))), "__c": F.col("cls")}
+    px = px.select(*by, view, "y", "x", *[c.alias(n) for n, c in votes.items()])
+    px = depth.select(*by, view, "y", "x", F.col("z").alias("__d")).join(px.hint("merge"), [*by, view, "y", "x"])
+    images = _images(px, ["__d", *votes], width, height, by, view)
+    seen = project_join(points, cams.join(images, [*by, view]), width, height, by, view, carry=("__d", *votes))
+    x, y = F.rint("u").cast("int"), F.rint("v").cast("int")
+    at = lambda c: F.get(c, y * width + x)
+    ok = seen.where((x < width) & (y < height) & (F.abs(F.col("z") - at("__d")) < tol))
     if mode == "average":
-        v = votes.select(*by, "point_id", F.explode("l").alias("s")).select(
-            *by, "point_id", F.col("s.cls").alias("cls"), F.exp("s.logit").alias("w"))
+        v = ok.select(*by, "point_id", F.explode(F.arrays_zip(at("__c").alias("cls"), at("__w").alias("w"))).alias("s")).select(*by, "point_id", "s.cls", "s.w")
     else:
-        best = F.aggregate(F.slice("l", 2, num_classes), F.col("l")[0], lambda a, b: F.when(b["logit"] > a["logit"], b).otherwise(a))
-        v = votes.withColumn("cls", best["cls"])
-        if mode == "voting":
-            v = v.select(*by, "point_id", "cls", F.lit(1.0).alias("w"))
-        elif mode == "weighted":
-            top = F.array_max(F.transform("l", lambda a: a["logit"]))
-            v = v.withColumn("__top", top).withColumn("__e", F.transform("l", lambda a: F.exp(a["logit"] - F.col("__top"))))
-            v = v.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda a, e: a + e))
-            ent = -F.aggregate("__e", F.lit(0.0), lambda a, e: a + e / F.col("__t") * F.log(e / F.col("__t") + ENTROPY_EPS))
-            v = v.select(*by, "point_id", "cls", (1.0 - ent / F.log(F.lit(float(num_classes)))).alias("w"))
-        else:
-            raise ValueError(f"unknown fusion mode {mode}")
+        v = ok.select(*by, "point_id", at("__c").alias("cls"), (at("__w") if mode == "weighted" else F.lit(1.0)).alias("w"))
     tally = v.groupBy(*by, "point_id", "cls").agg(F.round(F.sum("w"), 9).alias("w"))
     win = tally.groupBy(*by, "point_id").agg(F.min_by("cls", F.struct(-F.col("w"), F.col("cls"))).alias("cls"))
     return points.select(*by, "point_id").join(win, [*by, "point_id"], "left").select(
