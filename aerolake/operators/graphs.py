@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
-from aerolake.functions.ranking import cap_per_group, grouped_rank
+from aerolake.functions.ranking import cap_per_group, deal, grouped_rank
 from aerolake.session import materialize
 
 # fixed values
@@ -31,10 +31,14 @@ def covis_edges(edges: DataFrame, mode: str = "max", lo: float | None = None, hi
 
     'max': the larger of both directions for every stored edge, kept in [lo, hi). 'mean': the mean of both directions
     (an absent one is 0) over the mean self-covisibility of the source (1 when absent), kept above ``lo``. ``topk`` keeps
-    the strongest edges of a node, lower ids first among equals.
+    the strongest edges of a node, lower ids first among equals. ``edges`` is counted and read twice: pass a written table.
     """
     e = edges.select(*by, "src", "dst", "w")
-    back = e.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("wb"))
+    back = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("wb"))
+    if bidirectional:
+        # the join sorts both directions of all edges: as many tasks as their number asks for
+        rows = edges.count()
+        e, back = (deal(x, rows, *by, "src", "dst") for x in (e, back))
     if mode == "max":
         out = e.where("src <> dst")
         if bidirectional:

@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from aerolake.functions import ranking
 from aerolake.operators import graphs as G
 from aerolake.operators import partition as D
+from aerolake.plans.fixtures import view
 
 N, LO, HI, K, T = 6, 0.2, 0.95, 4, 0.7
 
@@ -160,3 +163,24 @@ def test_temporal_chunks_cover_frames(spark):
     core = got[got.role == "core"]
     assert len(core) == 72 and not core.duplicated(["scene", "frame"]).any()
     assert got.groupby(["scene", "chunk_id"]).size().max() == 20
+
+
+def test_edges_are_dealt_over_tasks_by_their_number(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ranking, "TASK_ROWS", 5)
+    rows = [(o, s, 1) for o in range(12) for s in ((o % 5, o % 3 + 5, 9) if o % 4 else (2, 2, None))] + [(None, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = {}
+    for o, s, _ in rows:
+        if o is not None and s is not None:
+            sets.setdefault(o, set()).add(s)
+    for name, key in (("fx_edges", lambda o: ()), ("fx_scene_edges", lambda o: (o % 3,))):
+        n, c = Counter(), Counter()
+        for o, l in sets.items():
+            n.update((*key(o), s) for s in l)
+            c.update((*key(o), s, t) for s in l for t in l if s != t)
+        edges = view(spark, str(tmp_path), name)
+        assert {tuple(r)[:-1]: r.w for r in edges.collect()} == {k: v / n[k[:-1]] for k, v in c.items()}
+        e = edges.localCheckpoint()
+        # four shuffle partitions in this session
+        assert e.rdd.getNumPartitions() == -(-sum(c.values()) // 5) > 4
+        assert G.covis_edges(e, by=["scene"] if "scene" in e.columns else []).rdd.getNumPartitions() == -(-len(c) // 5) > 4
