@@ -23,6 +23,9 @@ TRIANGLES = (
     (1, 4, 5), (1, 0, 4), (2, 6, 7), (2, 3, 7), (6, 7, 4), (6, 5, 4),
 )
 PLANES = ((0, 1, 3), (1, 6, 2), (0, 3, 7), (2, 6, 3), (0, 5, 1), (6, 5, 4))
+# rounding of corners relative to their coordinates, and the slope from which an edge crosses a plane well enough to allow for it
+TOUCH = 64 * 2.0**-52
+STEEP = 1e-3
 _TEST_BATCH = 256
 
 
@@ -72,28 +75,41 @@ def points_in_frustum(points: DataFrame, frusta: DataFrame, by: Sequence[str] =
     return j.where(inside).select(*by, view, "point_id")
 
 
-def _edges_hit(tri_a: np.ndarray, tri_b: np.ndarray) -> np.ndarray:
-    """Whether any triangle edge of a frustum pierces a triangle of the other; arrays (pairs, 12, 3, 3).
+def _touch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance up to which two frusta of a pair touch: the rounding of their largest coordinate."""
+    return TOUCH * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
+
+
+def _edges_hit(tri_a: np.ndarray, tri_b: np.ndarray, touch: np.ndarray) -> np.ndarray:
+    """Whether any triangle edge of a frustum pierces or touches a triangle of the other; arrays (pairs, 12, 3, 3).
 
     By signed volumes: the ends of the edge lie on different sides of the triangle's plane, and the edge passes all three
-    sides of the triangle in one sense.
+    sides of the triangle in one sense. What is ``touch`` away counts as passed, unless the edge runs along the plane.
     """
     p = tri_a.reshape(len(tri_a), -1, 1, 3)
     q = tri_a[:, :, [1, 2, 0]].reshape(p.shape)
     corner = [tri_b[:, None, :, k] for k in range(3)]
     normal = np.cross(corner[1] - corner[0], corner[2] - corner[0])
+    normal = normal / np.linalg.norm(normal, axis=-1, keepdims=True)
     height_p, height_q = (((x - corner[0]) * normal).sum(-1) for x in (p, q))
-    turn = [((q - p) * np.cross(corner[k] - p, corner[(k + 1) % 3] - p)).sum(-1) for k in range(3)]
-    inside = np.logical_and.reduce([t >= 0 for t in turn]) | np.logical_and.reduce([t <= 0 for t in turn])
-    return (inside & (height_p * height_q <= 0) & (height_p != height_q)).any(axis=(1, 2))
-
-
-def _contains(corners: np.ndarray, point: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(q - p, axis=-1)
+    near = np.where(np.abs(height_p - height_q) > STEEP * length, touch[:, None, None], 0.0)
+    above = below = True
+    for k in range(3):
+        c0, c1 = corner[k], corner[(k + 1) % 3]
+        turn = ((q - p) * np.cross(c0 - p, c1 - p)).sum(-1)
+        slack = near * length * np.linalg.norm(c1 - c0, axis=-1)
+        above, below = above & (turn >= -slack), below & (turn <= slack)
+    across = (np.minimum(height_p, height_q) <= near) & (np.maximum(height_p, height_q) >= -near)
+    return ((above | below) & across & (height_p != height_q)).any(axis=(1, 2))
+
+
+def _contains(corners: np.ndarray, point: np.ndarray, touch: np.ndarray) -> np.ndarray:
     i = np.array(PLANES)
     p0, p1, p2 = corners[:, i[:, 0]], corners[:, i[:, 1]], corners[:, i[:, 2]]
     n = np.cross(p1 - p0, p2 - p0)
     n /= np.linalg.norm(n, axis=-1, keepdims=True)
-    return (((point[:, None] - p0) * n).sum(-1) >= 0).all(axis=1)
+    return (((point[:, None] - p0) * n).sum(-1) >= -touch[:, None]).all(axis=1)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -105,22 +121,25 @@ def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         for i in range(0, len(left), _TEST_BATCH):
             a = np.stack(left[i:i + _TEST_BATCH].to_numpy()).reshape(-1, 8, 3)
             b = np.stack(right[i:i + _TEST_BATCH].to_numpy()).reshape(-1, 8, 3)
-            hit = _contains(a, b[:, 0]) | _contains(b, a[:, 0])
+            near = _touch(a, b)
+            hit = _contains(a, b[:, 0], near) | _contains(b, a[:, 0], near)
             todo = ~hit
             if todo.any():
                 ta, tb = a[todo][:, tri], b[todo][:, tri]
-                hit[todo] = _edges_hit(ta, tb) | _edges_hit(tb, ta)
+                hit[todo] = _edges_hit(ta, tb, near[todo]) | _edges_hit(tb, ta, near[todo])
             out[i:i + _TEST_BATCH] = hit
         yield pd.Series(out)
 
 
 def frustum_pairs(frusta: DataFrame, by: Sequence[str] = ("scene",), view: str = "frame") -> DataFrame:
-    """(by, view_a, view_b) with view_a < view_b whose frusta intersect or contain each other.
+    """(by, view_a, view_b) with view_a < view_b whose frusta intersect, touch or contain each other.
 
-    Candidates are pairs whose boxes overlap.
+    Candidates are pairs whose boxes overlap. Frusta that touch do so up to the rounding of their corners.
     """
     by = list(by)
-    boxes = materialize(_boxes(frusta), "frusta")
+    pad = lambda c: F.abs(F.col(c)) * TOUCH
+    boxes = _boxes(frusta).withColumns({f"__{a}{n}": F.col(f"__{a}{n}") + (2 * n - 1) * pad(f"__{a}{n}") for a in "xy" for n in (0, 1)})
+    boxes = materialize(boxes, "frusta")
     j = box_pairs(boxes, by, view).where((F.col("a___z0") <= F.col("b___z1")) & (F.col("b___z0") <= F.col("a___z1")))
     a, b = F.col("a_" + view), F.col("b_" + view)
     return j.where(_overlap("a_corners", "b_corners")).select(*by, F.least(a, b).alias("view_a"), F.greatest(a, b).alias("view_b"))
