@@ -12,6 +12,8 @@ from aerolake.operators.matching import finite_pose
 
 # fixed value: colour of points without one
 DEFAULT_COLOR = 220
+# fixed value: folders that the chunk lists of all scenes are dealt over
+LIST_BLOCKS = 64
 
 
 def write_chunk_payload(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -50,8 +52,10 @@ def export_chunks(chunks: DataFrame, members: DataFrame, adjacency: DataFrame |
 
 
 def write_chunk_lists(rows: DataFrame, path: str) -> None:
-    """Chunk rows as JSON lines, one folder per scene."""
-    rows.write.mode("overwrite").partitionBy("scene").json(path)
+    """Chunk rows as JSON lines that name their scene, in one folder per block of scenes: a scene lies in one folder, and their
+    number is bounded however many scenes there are."""
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("scene"), F.lit(LIST_BLOCKS)))
+    blocks.hint("rebalance", "block").write.mode("overwrite").partitionBy("block").json(path)
 
 
 def eval_bundle(pred_cams: DataFrame, gt_cams: DataFrame, pred_pts: DataFrame, gt_pts: DataFrame) -> dict[str, DataFrame]:

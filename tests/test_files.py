@@ -96,3 +96,13 @@ def test_recon_cameras(spark):
     f = spark.createDataFrame([("/r/s/cameras.txt", "# c\n1 PINHOLE 640 480 500 510 320 240\n")], "path string, value string")
     c = G.parse_recon_cameras(f).first()
     assert (c.model, c.width, c.params) == ("PINHOLE", 640, [500.0, 510.0, 320.0, 240.0])
+
+
+def test_chunk_lists_of_many_scenes(spark, tmp_path):
+    """Folders do not follow the number of scenes, and a scene lies in one of them."""
+    rows = spark.range(600).select(F.floor(F.col("id") / 2).alias("scene"), (F.col("id") % 2).alias("chunk_id"), F.array(F.col("id").cast("int")).alias("indices"))
+    W.write_chunk_lists(rows, str(tmp_path / "lists"))
+    back = spark.read.schema("scene LONG, chunk_id LONG, indices ARRAY<INT>, block LONG").json(str(tmp_path / "lists"))
+    assert sorted(map(tuple, back.drop("block").collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "lists").glob("*=*"))) <= W.LIST_BLOCKS
+    assert back.groupBy("scene").agg(F.countDistinct("block").alias("n")).where("n > 1").isEmpty()
