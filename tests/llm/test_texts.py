@@ -224,3 +224,18 @@ def test_licence_of_files_without_id_and_of_one_word(spark):
     rows = licenses.scan(spark.createDataFrame(files, "file long, path string, text string")).collect()
     assert {r.path: (r.license_id, r.how) for r in rows} == {
         "a/x.txt": ("MIT", "file"), "b/y.txt": (None, None), "c/z.txt": ("MIT", "file"), "d/x.txt": (None, None), "e/x.txt": (None, None)}
+
+
+def test_memo_tables_are_bounded():
+    """Both generations of both tables of a worker, as they really are, with far more pieces than they hold."""
+    import sys
+
+    from aerolake.llm.pieces import Memo
+
+    held = 0
+    for width in (12, 20):
+        m = Memo(lambda t: t.encode()[:8])
+        for i in range(400_000):
+            m[f"{i:0{width}d}"]
+        held += sum(sys.getsizeof(k) + sys.getsizeof(v) for g in (m, m.old) for k, v in g.items()) + sys.getsizeof(m) + sys.getsizeof(m.old)
+    assert held < 36 << 20
