@@ -22,6 +22,8 @@ DEGENERATE = 1e-9
 REGION_EPS = 1e-6
 GROUND_QUANTILE = 0.05
 MAX_OVERLAP_RATIO = 0.95
+# decimals to which distances between mean centres are compared: beyond them the order of a sum decides
+TIE_DIGITS = 9
 
 
 def core_target(max_chunk_size: int) -> int:
@@ -291,7 +293,8 @@ def chunk_adjacency(members: DataFrame, chunks: DataFrame, centres: DataFrame, b
     """Directed edges (by, chunk_id, other, dist, rank): chunks that share a frame, or are siblings in the split tree.
 
     A chunk without an edge is linked to the nearest other centre. ``rank`` orders the neighbours by distance,
-    ``cell_order`` and id. ``chunks`` holds chunk_id, cell_order and, with ``tree``, path.
+    ``cell_order`` and id; distances are equal here if they agree to ``TIE_DIGITS``, since the rounding of means follows the order
+    in which rows arrive. ``chunks`` holds chunk_id, cell_order and, with ``tree``, path.
     """
     by = list(by)
     # a frame lies in a few chunks, and their pairs come from its list; a table of members compresses so well that a join of it
@@ -316,7 +319,7 @@ def chunk_adjacency(members: DataFrame, chunks: DataFrame, centres: DataFrame, b
     j = both.join(c, [*by, "chunk_id"]).join(o, [*by, "other"]).withColumn("dist", L.norm([F.col("c" + a) - F.col("o" + a) for a in "xyz"]))
     j = j.join(chunks.select(*by, F.col("chunk_id").alias("other"), "cell_order"), [*by, "other"])
     # ranks run inside one chunk's neighbour list
-    w = Window.partitionBy(*by, "chunk_id").orderBy("dist", "cell_order", "other")
+    w = Window.partitionBy(*by, "chunk_id").orderBy(F.round("dist", TIE_DIGITS), "cell_order", "other")
     return j.select(*by, "chunk_id", "other", "dist", (F.row_number().over(w) - 1).alias("rank"))
 
 
@@ -334,7 +337,7 @@ def order_spatial(chunks: DataFrame, adjacency: DataFrame, centres: DataFrame, c
     t = L.trans_of("t_c2w")
     centre = materialize(cams.groupBy(*by).agg(*[F.avg(v).alias("s" + a) for a, v in zip("xyz", t)]), "scene-centre")
     node = chunks.select(*by, "chunk_id").join(centres, [*by, "chunk_id"]).join(centre, by)
-    node = node.withColumn("home", L.norm([F.col("c" + a) - F.col("s" + a) for a in "xyz"]))
+    node = node.withColumn("home", F.round(L.norm([F.col("c" + a) - F.col("s" + a) for a in "xyz"]), TIE_DIGITS))
     comp = connected_components(node, adjacency, by, "chunk_id", "other")
     node = materialize(node.join(comp, [*by, "chunk_id"]), "nodes")
     size = materialize(node.groupBy(*by, "comp").agg(F.count(F.lit(1)).alias("n"), *[F.sum("c" + a).alias("v" + a) for a in "xyz"]), "component-sizes")
@@ -345,7 +348,7 @@ def order_spatial(chunks: DataFrame, adjacency: DataFrame, centres: DataFrame, c
     while True:
         rest = node.join(opened.select(*by, "comp"), [*by, "comp"], "left_anti")
         mean = opened.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("k"), *[(F.sum("v" + a) / F.sum("n")).alias("m" + a) for a in "xyz"])
-        rest = rest.join(mean, by).withColumn("d", L.norm([F.col("c" + a) - F.col("m" + a) for a in "xyz"]))
+        rest = rest.join(mean, by).withColumn("d", F.round(L.norm([F.col("c" + a) - F.col("m" + a) for a in "xyz"]), TIE_DIGITS))
         nxt = F.min_by(F.struct("chunk_id", "comp"), F.struct("d", "home", "chunk_id")).alias("f")
         fresh = materialize(rest.groupBy(*by, "k").agg(nxt).select(*by, "f.chunk_id", "f.comp", "k"), "next-component")
         if fresh.isEmpty():
