@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
+from aerolake.functions.ranking import deal
 from aerolake.operators.matching import finite_pose
 
 # fixed value: colour of points without one
@@ -58,6 +59,13 @@ def write_chunk_lists(rows: DataFrame, path: str) -> None:
     blocks.hint("rebalance", "block").write.mode("overwrite").partitionBy("block").json(path)
 
 
+def write_tagged_lines(lines: DataFrame, path: str, order: Sequence[str | Column]) -> None:
+    """Lines (path, value) of many logs as text files that follow the number of lines, not of logs: each line is led by the path of its
+    log and a tab. A log lies in one file, in the given order."""
+    rows = deal(lines, lines.count(), "path").sortWithinPartitions("path", *order)
+    rows.select(F.concat_ws("\t", "path", F.coalesce("value", F.lit(""))).alias("value")).write.mode("overwrite").text(path)
+
+
 def eval_bundle(pred_cams: DataFrame, gt_cams: DataFrame, pred_pts: DataFrame, gt_pts: DataFrame) -> dict[str, DataFrame]:
     """The tables of an evaluation bundle: cameras with a valid flag (an invalid pose is all NaN), finite points with
     colours (220 where missing), and counts per scene."""

@@ -106,3 +106,22 @@ def test_chunk_lists_of_many_scenes(spark, tmp_path):
     assert sorted(map(tuple, back.drop("block").collect())) == sorted(map(tuple, rows.collect()))
     assert len(list((tmp_path / "lists").glob("*=*"))) <= W.LIST_BLOCKS
     assert back.groupBy("scene").agg(F.countDistinct("block").alias("n")).where("n > 1").isEmpty()
+
+
+def test_logs_of_many_scenes_share_files(spark, tmp_path):
+    """Files do not follow the number of logs, and every log keeps its own order over several read tasks."""
+    rows = spark.range(3000).select(F.concat(F.lit("/l/s"), (F.col("id") % 300).cast("string"), F.lit("/poses.txt")).alias("path"), "id",
+                                    F.when(F.col("id") == 299, "").otherwise(F.concat(F.lit("1 0 0 "), F.col("id").cast("string"), F.lit(" 0 1 0 0 0 0 1\t0"))).alias("value"))
+    root = str(tmp_path / "logs")
+    W.write_tagged_lines(rows, root, [F.col("id").desc()])
+    assert len(list((tmp_path / "logs").glob("*.txt"))) <= 4
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = G.read_tagged_lines(spark, root)
+        assert lines.rdd.getNumPartitions() > 8
+        got = {(r.scene, r.pos): int(r.t_c2w[3]) for r in G.parse_pose_log(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {(f"s{s}", k): i for s in range(300) for k, i in enumerate(i for i in range(2999, -1, -1) if i % 300 == s and i != 299)}
+    assert got == want
