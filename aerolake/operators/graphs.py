@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ EPS = 1e-12
 SELF_EPS = 1e-8
 MODES = ("anchor_star", "random_walk", "tree", "greedy_chain")
 DEFAULT_MIX = (0.5, 0.25, 0.15, 0.10)
+# rows of two ids and keys that every task may hold
+FEW_ROWS = 200_000
 _CUT_EVERY = 4
 
 
@@ -31,12 +34,14 @@ def covis_edges(edges: DataFrame, mode: str = "max", lo: float | None = None, hi
 
     'max': the larger of both directions for every stored edge, kept in [lo, hi). 'mean': the mean of both directions
     (an absent one is 0) over the mean self-covisibility of the source (1 when absent), kept above ``lo``. ``topk`` keeps
-    the strongest edges of a node, lower ids first among equals. ``edges`` is counted and read twice: pass a written table.
+    the strongest edges of a node, lower ids first among equals. ``edges`` is counted and read several times: pass a written table.
     """
+    if bidirectional and lo is not None and lo > 0:
+        edges = _within_reach(edges, mode, lo, by)
     e = edges.select(*by, "src", "dst", "w")
     back = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("wb"))
     if bidirectional:
-        # the join sorts both directions of all edges: as many tasks as their number asks for
+        # the join sorts both directions of the edges: as many tasks as their number asks for
         rows = edges.count()
         e, back = (deal(x, rows, *by, "src", "dst") for x in (e, back))
     if mode == "max":
@@ -61,6 +66,30 @@ def covis_edges(edges: DataFrame, mode: str = "max", lo: float | None = None, hi
     return out if topk is None else cap_per_group(out, [*by, "src"], [-F.col("w"), "dst"], topk)
 
 
+def _within_reach(edges: DataFrame, mode: str, lo: float, by: Sequence[str]) -> DataFrame:
+    """The edges that can pass a lower bound above 0, as a written table, or all where that would not halve them. Neither the larger nor
+    the mean of two directions exceeds both, so one of them has to reach the bound alone; both of its directions are kept, and
+    self-covisibility."""
+    key, bound = [*by, "src", "dst"], lo
+    if mode == "mean":
+        own = edges.where("src = dst").agg(F.min("w").alias("least"), F.max("w").alias("most")).first()
+        bound = lo * (min(1.0, 1.0 if own.least is None else own.least) + SELF_EPS)
+        if bound <= 0 or math.isnan(own.most or 0.0):
+            return edges
+    # the mean may round up to the bound
+    some = edges.where((F.col("w") >= bound * (1 - 1e-9)) & (F.col("src") != F.col("dst"))).select(key)
+    some = materialize(some.unionByName(some.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))), "strong-directions")
+    rows, strong, kept = edges.count(), some.count(), edges.where("src <> dst")
+    if 2 * strong > rows:
+        return edges
+    if strong > FEW_ROWS:
+        kept, some = (deal(x, rows, *key) for x in (kept, some))
+    else:
+        some = F.broadcast(some)
+    kept = kept.join(some, key, "left_semi").unionByName(edges.where("src = dst"))
+    return materialize(kept.select(*key, "w"), "strong-edges")
+
+
 def adjacency(edges: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
     """(*by, node, nbrs): at most ``limit`` strongest neighbours of a node, strongest first, as structs (nw = -w, dst)."""
     top = cap_per_group(edges, [*by, "src"], [-F.col("w"), "dst"], limit)
@@ -86,9 +115,34 @@ def _sized(seeds: DataFrame, nodes: DataFrame, by: Sequence[str]) -> DataFrame:
     return seeds.withColumn("n", F.lit(size.n if size else 0)).where("n > 0")
 
 
+class ViewGraph(NamedTuple):
+    """What the samplers read of the edges, so that several of them share one pass: ranked nodes, neighbour lists of at most
+    ``topk`` + ``n`` nodes, and pairs at or above the upper bound (None when there are none)."""
+
+    nodes: DataFrame
+    wide: DataFrame
+    strong: DataFrame | None
+    topk: int
+
+    def narrow(self) -> DataFrame:
+        """The ``topk`` strongest neighbours."""
+        return self.wide.withColumn("nbrs", F.slice("nbrs", 1, self.topk))
+
+
+def view_graph(edges: DataFrame, n: int, lo: float | None = None, hi: float | None = None, topk: int = 50, bidirectional: bool = True,
+               by: Sequence[str] = ()) -> ViewGraph:
+    """The tables the samplers walk on; ``edges`` is read several times: pass a written table."""
+    nodes = materialize(_nodes(edges, by), "ranked-nodes")
+    wide = adjacency(covis_edges(edges, "max", lo, hi, bidirectional=bidirectional, by=by), topk + n, by)
+    return ViewGraph(nodes, wide, _strong_pairs(edges, hi, bidirectional, by), topk)
+
+
 def seed_starts(edges: DataFrame, seeds: DataFrame, attempts: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """(*by, seed_id, attempt, start): a hashed start node for every attempt; seeds of graphs without nodes have none."""
-    nodes = materialize(_nodes(edges, by), "ranked-nodes")
+    return _starts(materialize(_nodes(edges, by), "ranked-nodes"), seeds, attempts, seed, by)
+
+
+def _starts(nodes: DataFrame, seeds: DataFrame, attempts: int, seed: int, by: Sequence[str]) -> DataFrame:
     a = _sized(seeds.select(*by, "seed_id"), nodes, by)
     a = a.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     a = a.withColumn("idx", F.floor(L.uniform(seed, *by, "seed_id", "attempt") * F.col("n"))).drop("n")
@@ -138,10 +192,11 @@ def _unvisited(nbrs: Column, path: Column) -> Column:
 
 
 def sample_anchor_star(edges: DataFrame, seeds: DataFrame, n: int, lo: float | None = None, hi: float | None = None, topk: int = 50,
-                       temperature: float = 1.0, attempts: int = 4, bidirectional: bool = True, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+                       temperature: float = 1.0, attempts: int = 4, bidirectional: bool = True, seed: int = 0, by: Sequence[str] = (),
+                       graph: ViewGraph | None = None) -> DataFrame:
     """An anchor and up to n - 1 of its strongest neighbours, drawn by softmax weight: (*by, seed_id, pos, node)."""
-    adj = adjacency(covis_edges(edges, "max", lo, hi, bidirectional=bidirectional, by=by), topk, by)
-    s = _neighbours(seed_starts(edges, seeds, attempts, seed, by), adj, F.col("start"), by)
+    g = graph or view_graph(edges, n, lo, hi, topk, bidirectional, by)
+    s = _neighbours(_starts(g.nodes, seeds, attempts, seed, by), g.narrow(), F.col("start"), by)
     path = F.concat(F.array("start"), _drawn(F.col("nbrs"), n - 1, seed + 1, temperature, F.lit(0), by))
     return _best(s.select(*by, "seed_id", "attempt", path.alias("path")), n, by)
 
@@ -179,27 +234,27 @@ def _chain_step(adj: DataFrame, strong: DataFrame | None, target: int, by: Seque
 
 
 def sample_greedy_chain(edges: DataFrame, seeds: DataFrame, n: int, lo: float | None = None, hi: float | None = None, topk: int = 50,
-                        attempts: int = 4, bidirectional: bool = True, global_max: bool = True, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+                        attempts: int = 4, bidirectional: bool = True, global_max: bool = True, seed: int = 0, by: Sequence[str] = (),
+                        graph: ViewGraph | None = None) -> DataFrame:
     """Always the strongest valid new neighbour of the last node; the top-k limit comes before the visited filter."""
-    adj = adjacency(covis_edges(edges, "max", lo, hi, bidirectional=bidirectional, by=by), topk, by)
-    strong = _strong_pairs(edges, hi, bidirectional, by) if global_max else None
-    s = seed_starts(edges, seeds, attempts, seed, by).select(*by, "seed_id", "attempt", F.array("start").alias("path"), F.lit(False).alias("done"))
-    return _best(_run(s, n - 1, _chain_step(adj, strong, n, by)), n, by)
+    g = graph or view_graph(edges, n, lo, hi, topk, bidirectional, by)
+    strong = g.strong if global_max else None
+    s = _starts(g.nodes, seeds, attempts, seed, by).select(*by, "seed_id", "attempt", F.array("start").alias("path"), F.lit(False).alias("done"))
+    return _best(_run(s, n - 1, _chain_step(g.narrow(), strong, n, by)), n, by)
 
 
 def sample_tree(edges: DataFrame, seeds: DataFrame, n: int, lo: float | None = None, hi: float | None = None, topk: int = 50,
                 temperature: float = 1.0, branching: int = 2, trunk_ratio: float = 0.25, attempts: int = 4,
-                bidirectional: bool = True, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+                bidirectional: bool = True, seed: int = 0, by: Sequence[str] = (), graph: ViewGraph | None = None) -> DataFrame:
     """A greedy trunk of ceil(n * ratio) nodes (at least 2), then ``branching`` weighted children per node, breadth first."""
-    eff = covis_edges(edges, "max", lo, hi, bidirectional=bidirectional, by=by)
+    g = graph or view_graph(edges, n, lo, hi, topk, bidirectional, by)
     trunk = min(max(2, math.ceil(n * trunk_ratio)), n)
-    s = seed_starts(edges, seeds, attempts, seed, by).select(*by, "seed_id", "attempt", F.array("start").alias("path"), F.lit(False).alias("done"))
-    s = _run(s, trunk - 1, _chain_step(adjacency(eff, topk, by), _strong_pairs(edges, hi, bidirectional, by), trunk, by))
-    # the k strongest unvisited neighbours are among the k + n strongest ones
-    wide = adjacency(eff, topk + n, by)
+    s = _starts(g.nodes, seeds, attempts, seed, by).select(*by, "seed_id", "attempt", F.array("start").alias("path"), F.lit(False).alias("done"))
+    s = _run(s, trunk - 1, _chain_step(g.narrow(), g.strong, trunk, by))
 
     def grow(state: DataFrame, i: int) -> DataFrame:
-        j = _neighbours(state, wide, F.get("path", F.lit(i)), by)
+        # the k strongest unvisited neighbours are among the k + n strongest ones
+        j = _neighbours(state, g.wide, F.get("path", F.lit(i)), by)
         go = (F.size("path") < n) & (F.size("path") > i)
         j = j.withColumn("cand", F.slice(_unvisited(F.col("nbrs"), F.col("path")), 1, topk))
         k = F.least(F.lit(branching), F.lit(n) - F.size("path"), F.size("cand"))
@@ -212,12 +267,11 @@ def sample_tree(edges: DataFrame, seeds: DataFrame, n: int, lo: float | None = N
 
 def sample_random_walk(edges: DataFrame, seeds: DataFrame, n: int, lo: float | None = None, hi: float | None = None, topk: int = 50,
                        temperature: float = 1.0, restart: float = 0.1, attempts: int = 4, bidirectional: bool = True, seed: int = 0,
-                       by: Sequence[str] = ()) -> DataFrame:
+                       by: Sequence[str] = (), graph: ViewGraph | None = None) -> DataFrame:
     """Weighted next node among the unvisited neighbours of the stack top (or of the start, with the restart probability);
     a dead end pops the stack. Later attempts start outside the nodes visited before: (*by, seed_id, pos, node)."""
-    adj = adjacency(covis_edges(edges, "max", lo, hi, bidirectional=bidirectional, by=by), topk + n, by)
-    nodes = materialize(_nodes(edges, by), "ranked-nodes")
-    ranked = nodes.drop("n")
+    g = graph or view_graph(edges, n, lo, hi, topk, bidirectional, by)
+    adj, nodes, ranked = g.wide, g.nodes, g.nodes.drop("n")
     keys = [*by, "seed_id"]
     empty = F.array().cast("array<bigint>")
     left = _sized(seeds.select(*keys), nodes, by).withColumn("tried", empty)
@@ -260,7 +314,7 @@ def sample_random_walk(edges: DataFrame, seeds: DataFrame, n: int, lo: float | N
 
 def sample_mixed(edges: DataFrame, seeds: DataFrame, n: int, mix: Sequence[float] = DEFAULT_MIX, seed: int = 0,
                  by: Sequence[str] = (), **kw) -> DataFrame:
-    """Each seed draws one of the four modes by probability: (*by, seed_id, mode, pos, node)."""
+    """Each seed draws one of the four modes by probability, all on one graph: (*by, seed_id, mode, pos, node)."""
     p = [max(0.0, float(x)) for x in mix]
     p = list(DEFAULT_MIX) if sum(p) <= 0 else p
     u, edge, mode = L.uniform(seed + 9, *by, "seed_id") * sum(p), 0.0, F.lit(MODES[-1])
@@ -272,9 +326,11 @@ def sample_mixed(edges: DataFrame, seeds: DataFrame, n: int, mix: Sequence[float
         mode = F.when(u < c, m).otherwise(mode)
     tagged = materialize(seeds.select(*by, "seed_id", mode.alias("mode")), "modes")
     run = {"anchor_star": sample_anchor_star, "random_walk": sample_random_walk, "tree": sample_tree, "greedy_chain": sample_greedy_chain}
+    made = {k: kw[k] for k in ("lo", "hi", "topk", "bidirectional") if k in kw}
+    graph = view_graph(edges, n, by=by, **made)
     parts = []
     for m, fn in run.items():
         mine = tagged.where(F.col("mode") == m)
         if p[MODES.index(m)] > 0 and not mine.isEmpty():
-            parts.append(fn(edges, mine, n, seed=seed, by=by, **kw).withColumn("mode", F.lit(m)))
+            parts.append(fn(edges, mine, n, seed=seed, by=by, graph=graph, **kw).withColumn("mode", F.lit(m)))
     return reduce(DataFrame.unionByName, parts)

@@ -184,3 +184,39 @@ def test_edges_are_dealt_over_tasks_by_their_number(spark, monkeypatch, tmp_path
         # four shuffle partitions in this session
         assert e.rdd.getNumPartitions() == -(-sum(c.values()) // 5) > 4
         assert G.covis_edges(e, by=["scene"] if "scene" in e.columns else []).rdd.getNumPartitions() == -(-len(c) // 5) > 4
+
+
+def test_lower_bound_is_applied_before_the_join_of_directions(spark, monkeypatch):
+    """One direction below the bound, one absent, loops, and few or many strong edges: as without the first cut."""
+    import random
+
+    rng = random.Random(4)
+    w = {(s, a, b): rng.choice((0.001, 0.01, 0.02, 0.05, 0.08)) for s in (0, 1) for a in range(12) for b in range(12) if rng.random() < 0.5}
+    edges = spark.createDataFrame([(*k, v) for k, v in w.items()], "scene long, src long, dst long, w double")
+    rows = []
+    monkeypatch.setattr(G, "deal", lambda df, n, *keys: rows.append(df.count()) or df)
+    for few in (200_000, 0):
+        monkeypatch.setattr(G, "FEW_ROWS", few)
+        for mode, lo in (("max", 0.08), ("max", 0.001), ("mean", 0.07), ("mean", 7.0)):
+            rows.clear()
+            got = {(r.scene, r.src, r.dst): r.w for r in G.covis_edges(edges, mode, lo, by=["scene"]).collect()}
+            if (mode, lo, few) == ("max", 0.08, 200_000):
+                assert rows and max(rows) < len(w) / 1.4
+            if mode == "max":
+                want = {k: max(v, w.get((k[0], k[2], k[1]), v)) for k, v in w.items() if k[1] != k[2]}
+                want = {k: v for k, v in want.items() if v >= lo}
+            else:
+                keys = {(s, *p) for s, a, b in w if a != b for p in ((a, b), (b, a))}
+                want = {k: (w.get(k, 0) + w.get((k[0], k[2], k[1]), 0)) / 2 / (w.get((k[0], k[1], k[1]), 1) + G.SELF_EPS) for k in keys}
+                want = {k: v for k, v in want.items() if v > lo}
+            assert got == want
+
+
+def test_mixture_reads_its_graph_once(spark, monkeypatch):
+    edges = spark.range(40).selectExpr("id AS src", "(id * 7 + 3) % 40 AS dst", "(id % 9) / 10D AS w")
+    seeds = spark.range(60).selectExpr("id AS seed_id")
+    calls = []
+    covis = G.covis_edges
+    monkeypatch.setattr(G, "covis_edges", lambda *a, **k: calls.append(1) or covis(*a, **k))
+    got = G.sample_mixed(edges, seeds, 4, lo=0.1, hi=0.75, topk=3).collect()
+    assert len({r["mode"] for r in got}) == 4 and len(calls) == 1
