@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from aerolake.llm.pieces import Splitter, slices
+from aerolake.llm.pieces import MEMO_BYTES, Splitter, slices
 
 #: Token pairs of which a worker remembers whether they are compatible.
 MEMO_PAIRS = 200_000
+#: Bytes of a memo's generation where the worker does nothing else; in a pipeline, executors are fuller (MEMO_BYTES).
+ALONE_BYTES = 40 << 20
 #: Rows that are decoded at a time.
 DECODE_ROWS = 256
 
@@ -38,7 +40,7 @@ DECODE_ROWS = 256
 class ByteBPE:
     """A byte-level BPE vocabulary, read from the JSON text of a tokenizers file."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, memo_bytes: int = MEMO_BYTES) -> None:
         import ahocorasick
 
         spec = json.loads(spec)
@@ -62,7 +64,7 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = raw | {i: s.encode() for s, i in self.special.items()}
         self._pairs: dict[int, bool] = {}
-        self._plain = Splitter(self._piece)
+        self._plain = Splitter(self._piece, memo_bytes)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE keeps ``a`` and ``b`` apart. Their merges are undone, latest first; the pair at the seam must not
@@ -153,12 +155,13 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def load(spec: str) -> ByteBPE:
+def load(spec: str, memo_bytes: int = MEMO_BYTES) -> ByteBPE:
     """The vocabulary, kept by a worker; without memo tables between tasks."""
-    return ByteBPE(spec)
+    return ByteBPE(spec, memo_bytes)
 
 
-def _mapped(docs: DataFrame, vocab_path: str, outputs: dict[str, tuple[T.DataType, pa.DataType]], row) -> DataFrame:
+def _mapped(docs: DataFrame, vocab_path: str, outputs: dict[str, tuple[T.DataType, pa.DataType]], row,
+            memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """``docs`` with output columns that ``row(bpe, text)`` gives as a tuple."""
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
@@ -170,7 +173,7 @@ def _mapped(docs: DataFrame, vocab_path: str, outputs: dict[str, tuple[T.DataTyp
     arrow = [k[1] for k in outputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(held.value)
+        bpe = load(held.value, memo_bytes)
         try:
             for part in (p for batch in batches for p in slices(batch, "__text")):
                 rows = [row(bpe, t.as_py()) for t in part.column(part.schema.get_field_index("__text"))]
@@ -236,5 +239,5 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
     out = _mapped(docs, vocab_path, {"n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()),
-                                     "decoded_sha256": (T.StringType(), pa.string())}, row)
+                                     "decoded_sha256": (T.StringType(), pa.string())}, row, ALONE_BYTES)
     return out.drop("text")

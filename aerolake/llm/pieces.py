@@ -33,9 +33,9 @@ class Memo(dict):
     """Text to ids, filled on demand and bounded in bytes. What was not asked for since the table was last full is
     forgotten, which changes no result."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], limit: int = MEMO_BYTES) -> None:
         super().__init__()
-        self.make, self.old, self.size = make, {}, 0
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.old.get(text)
@@ -43,7 +43,7 @@ class Memo(dict):
             ids = self.make(text)
         if len(text) <= MEMO_LENGTH:
             self.size += len(text) + len(ids) + ENTRY_BYTES
-            if self.size > MEMO_BYTES:
+            if self.size > self.limit:
                 self.old, self.size = dict(self), 0
                 self.clear()
             self[text] = ids
@@ -77,9 +77,9 @@ class Recent:
 class Splitter:
     """Texts to pieces by the pattern of the byte-level vocabularies, and pieces to ids by ``encode_piece``."""
 
-    def __init__(self, encode_piece: Callable[[str], bytes] | None = None) -> None:
+    def __init__(self, encode_piece: Callable[[str], bytes] | None = None, memo_bytes: int = MEMO_BYTES) -> None:
         self.find, self.find_any, self.odd_blank, self.lone_blank = _patterns()
-        self.pieces, self.runs = Memo(encode_piece), Memo(self._spaced)
+        self.pieces, self.runs = Memo(encode_piece, memo_bytes), Memo(self._spaced, memo_bytes)
 
     def cut(self, text: str) -> list[str]:
         """The text without the blanks that stand between two other characters that are no white space. Such a blank always

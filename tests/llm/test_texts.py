@@ -239,3 +239,18 @@ def test_memo_tables_are_bounded():
             m[f"{i:0{width}d}"]
         held += sum(sys.getsizeof(k) + sys.getsizeof(v) for g in (m, m.old) for k, v in g.items()) + sys.getsizeof(m) + sys.getsizeof(m.old)
     assert held < 36 << 20
+
+
+def test_memo_limits_are_kept_apart():
+    """The limit is the caller's, and what a smaller one forgets is made again with the same result."""
+    from aerolake.llm.pieces import MEMO_BYTES, Memo, Splitter
+
+    made = []
+    small, large = (Memo(lambda t: made.append(t) or t.encode()[::-1], n) for n in (2_000, 20_000))
+    for m, again in ((small, True), (large, False)):
+        made.clear()
+        for _ in range(2):
+            assert all(m[f"w{i}"] == f"w{i}".encode()[::-1] for i in range(60))
+        assert (len(made) > 60) is again
+    s = Splitter(None, 5_000)
+    assert (s.pieces.limit, s.runs.limit, Splitter().runs.limit) == (5_000, 5_000, MEMO_BYTES)
