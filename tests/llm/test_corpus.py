@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aerolake.llm import covertree, hyperminhash, mih, mixing, quality, sharding
 from aerolake.llm.common import read
+from aerolake.session import materialize
 from tests.conftest import SF
 from tests.llm.helpers import documents, near_components, shingles, words
 
@@ -241,6 +242,24 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert covertree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_block_is_sent_once_to_a_tile_however_many_blocks_it_meets(spark, monkeypatch):
+    # 4 components a vector: balls of random blocks all meet, one label of 30 blocks or more has 435 pairs of them
+    monkeypatch.setattr(covertree, "BLOCK", 12)
+    monkeypatch.setattr(covertree, "TILE", 12 * 4 * 4 * 8)
+    x = np.random.default_rng(9).normal(size=(400, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], VECTORS)
+    u = covertree.unit(x)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    written = []
+    monkeypatch.setattr(covertree, "materialize", lambda d, name: written.append((name, out := materialize(d, name))) or out)
+    assert [r.n_links for r in covertree.near_vectors(df).orderBy("vec_id").collect()] == near.sum(axis=1).tolist()
+    tables = dict(written)
+    blocks, sent = tables["cover-blocks"].count(), [r["count"] for r in tables["cover-meetings"].groupBy("block").count().collect()]
+    tiles = tables["cover-meetings"].select("tile").distinct().count()
+    assert blocks > 30 and len(sent) == blocks and max(sent) <= tiles < blocks / 3
+
+
 def test_dual_traversal_is_exact():
     rng = np.random.default_rng(8)
     for spread in (0.01, 0.1, 0.4, 1.0):
