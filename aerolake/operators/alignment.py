@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolake.functions import linalg as L
+from aerolake.functions.hashing import uniforms
 from aerolake.functions.ranking import cap_per_group, grouped_rank, quantiles
 from aerolake.session import materialize
 
@@ -24,6 +26,10 @@ MIN_RATIO = 1e-12
 YAW_MIN_NORM = 1e-8
 ROBUST_MIN_POINTS = 10
 ROBUST_LARGE = 2000
+# rows of a group whose baselines are measured in one piece, baselines of a task, and those a worker measures at a time
+PACKED_ROWS = 4096
+TASK_PAIRS = 4_000_000
+HELD_PAIRS = 1 << 16
 
 POSE_MODES = ("none", "translation", "scale", "scale_translation", "yaw_translation", "scale_yaw_translation", "sim3")
 OVERLAP_MODES = ("translation", "yaw_translation", "rigid", "sim3")
@@ -177,13 +183,126 @@ def baseline_pairs(n: DataFrame, by: Sequence[str], max_pairs: int, seed: int) -
     return materialize(pairs.where("i <> j"), "baselines")
 
 
+def _median_ratios(head: list[bytes], sizes: np.ndarray, points: np.ndarray, max_pairs: int, seed: int) -> tuple[list, list]:
+    """Median and number of the usable baseline ratios of groups whose points (6, rows) follow each other."""
+    at = np.cumsum(sizes) - sizes
+    wanted = np.minimum(max_pairs, sizes * (sizes - 1) // 2)
+    found: list[list[np.ndarray]] = [[] for _ in head]
+
+    def measure(runs: list[tuple[int, int, int]]) -> None:
+        group = np.repeat([g for g, _, _ in runs], [hi - lo for _, lo, hi in runs])
+        n, names = sizes[group], [(head[g], lo, hi) for g, lo, hi in runs]
+        i, j = (np.floor(uniforms(names, seed + side) * n).astype(np.int64) for side in (0, 1))
+        i, j = np.where(n == 2, 0, i), np.where(n == 2, 1, j)
+        used = i != j
+        group = group[used]
+        gap = points[:, at[group] + i[used]] - points[:, at[group] + j[used]]
+        gap *= gap
+        ds, dd = np.sqrt(gap[0] + gap[1] + gap[2]), np.sqrt(gap[3] + gap[4] + gap[5])
+        near = (ds > MIN_BASELINE) & (dd > 0)
+        ratio, group = dd[near] / ds[near], group[near]
+        ratio, group = ratio[ratio > MIN_RATIO], group[ratio > MIN_RATIO]
+        ends = np.searchsorted(group, [g for g, _, _ in runs], "right")
+        for (g, _, _), part in zip(runs, np.split(ratio, ends[:-1])):
+            found[g].append(part)
+
+    runs, held = [], 0
+    for g, many in enumerate(wanted.tolist()):
+        lo = 0
+        while lo < many:
+            hi = min(many, lo + HELD_PAIRS - held)
+            runs.append((g, lo, hi))
+            held += hi - lo
+            lo = hi
+            if held == HELD_PAIRS:
+                measure(runs)
+                runs, held = [], 0
+    if runs:
+        measure(runs)
+    medians, counts = [], []
+    for parts in found:
+        ratio = np.concatenate(parts) if parts else np.zeros(0)
+        counts.append(len(ratio))
+        if len(ratio):
+            low, high = (len(ratio) - 1) // 2, len(ratio) // 2
+            ratio = np.partition(ratio, (low, high))
+            medians.append(float(ratio[low] if low == high else 0.5 * ratio[low] + 0.5 * ratio[high]))
+        else:
+            medians.append(None)
+    return medians, counts
+
+
+def _packed_scale(rows: DataFrame, by: list[str], order: Sequence[str], pairs: int, max_pairs: int, seed: int) -> DataFrame:
+    """(by, n, q, num_pairs) of groups of at most ``PACKED_ROWS`` rows: the rows of a group lie together, and its baselines are
+    drawn and measured there, so no pair of points is ever shuffled. ``pairs`` is the number of baselines of all groups."""
+    spark = rows.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    head = F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.lit(""))
+    placed = rows.repartition(width, *by).withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    placed = placed.select(*by, head.alias("__head"), "__i", *SRC, *DST)
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("n", T.LongType()), T.StructField("q", T.DoubleType()),
+                           T.StructField("num_pairs", T.LongType())])
+
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(starts, table.num_rows))
+        points = np.stack([table[c].to_numpy() for c in (*SRC, *DST)])
+        first = table.select([*by, "__head"]).take(pa.array(starts)).combine_chunks()
+        names = [h.encode() for h in first["__head"].to_pylist()]
+        medians, counts = _median_ratios(names, sizes, points, max_pairs, seed)
+        out = pa.table([*[first[c] for c in by], pa.array(sizes), pa.array(medians, pa.float64()), pa.array(counts, pa.int64())], schema.names)
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            rest = part if rest is None else pa.concat_tables([rest, part])
+            starts = np.flatnonzero(rest["__i"].to_numpy() == 1)
+            if len(starts) > 1:  # the last group may go on in the next batch
+                yield solve(rest.slice(0, starts[-1]), starts[:-1])
+                rest = rest.slice(starts[-1])
+        if rest is not None:
+            yield solve(rest, np.zeros(1, np.int64))
+
+    return placed.mapInArrow(run, schema)
+
+
 def fit_scale(
     corr: DataFrame, by: Sequence[str], order: Sequence[str], max_pairs: int, seed: int = 0
 ) -> DataFrame:
-    """Median ratio of destination to source baselines over seeded pairs: (by, n, scale, num_pairs, scale_valid)."""
+    """Median ratio of destination to source baselines over seeded pairs: (by, n, scale, num_pairs, scale_valid).
+
+    Groups of up to ``PACKED_ROWS`` rows are measured where their rows lie. The rows of larger ones are ranked and joined with
+    their pairs; they have no more than ``max_pairs`` each.
+    """
     by = list(by)
-    idx = materialize(grouped_rank(finite_corr(corr).select(*by, *order, *SRC, *DST), by, order, "i"), "ranked")
-    n = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(finite_corr(corr).select(*by, *order, *SRC, *DST), "correspondences")
+    n = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    few = F.col("n") <= PACKED_ROWS
+    pairs, large = n.agg(F.sum(F.when(few, F.least(F.lit(max_pairs), F.col("n") * (F.col("n") - 1) / 2))), F.count_if(~few)).first()
+    big = materialize(n.where(~few), "large-groups") if large else None
+    packed = rows if big is None else _but(rows, big, by)
+    out = _packed_scale(packed, by, order, int(pairs or 0), max_pairs, seed)
+    if big is not None:
+        out = out.unionByName(_joined_scale(rows.join(big.drop("n"), by), big, by, order, max_pairs, seed))
+    out = materialize(out, "scales")
+    return out.select(*by, "n", F.coalesce("q", F.lit(1.0)).alias("scale"), "num_pairs", F.col("q").isNotNull().alias("scale_valid"))
+
+
+def _but(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of other groups; NULL is a group of its own."""
+    names = {c: f"__of_{c}" for c in by}
+    same = F.lit(True)
+    for c, o in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return rows.join(groups.select(*by).withColumnsRenamed(names), same, "left_anti")
+
+
+def _joined_scale(rows: DataFrame, n: DataFrame, by: list[str], order: Sequence[str], max_pairs: int, seed: int) -> DataFrame:
+    """(by, n, q, num_pairs) of groups of any size, by joins of ranked rows and index pairs."""
+    idx = materialize(grouped_rank(rows, by, order, "i"), "ranked")
     pairs = baseline_pairs(n, by, max_pairs, seed)
     left = idx.select(*by, "i", *SRC, *DST)
     right = idx.select(*by, F.col("i").alias("j"), *[F.col(c).alias("o" + c) for c in (*SRC, *DST)])
@@ -195,10 +314,7 @@ def fit_scale(
     q = quantiles(p, by, ["ratio"], [0.5], bounded=True).select(
         *by, F.col("n").alias("num_pairs"), F.col("ratio_q")[0].alias("q")
     )
-    return n.join(q, by, "left").select(
-        *by, "n", F.coalesce("q", F.lit(1.0)).alias("scale"),
-        F.coalesce("num_pairs", F.lit(0).cast("long")).alias("num_pairs"), F.col("q").isNotNull().alias("scale_valid"),
-    )
+    return n.join(q, by, "left").select(*by, "n", "q", F.coalesce("num_pairs", F.lit(0).cast("long")).alias("num_pairs"))
 
 
 def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: str, order: Sequence[str],
@@ -213,7 +329,6 @@ def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: st
     if mode not in POSE_MODES:
         raise ValueError(f"unknown alignment mode {mode}")
     by = list(by)
-    corr = finite_corr(corr)
     base = groups.select(*by).distinct()
     long0 = F.lit(0).cast("long")
     if mode == "none":
@@ -222,6 +337,8 @@ def align_chunks(corr: DataFrame, groups: DataFrame, by: Sequence[str], mode: st
             F.lit(1.0).alias("s"), F.lit(0.0).alias("yaw"), F.lit(False).alias("yaw_valid"), eye().alias("r"),
             zeros().alias("t"), F.lit(None).cast("double").alias("median_residual"),
         )
+    # written out: joins that make it would run again for each of the fits
+    corr = materialize(finite_corr(corr).select(*by, *order, *SRC, *DST), "correspondences")
     wants_scale = "scale" in mode
     wants_yaw = "yaw" in mode
     if mode == "sim3":

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
+from aerolake.functions.hashing import uniforms
 from aerolake.operators import alignment as A
 from aerolake.operators import hierarchy as H
 from aerolake.operators import matching as M
 from aerolake.operators import timeline as TL
+from aerolake.session import materialize
 
 
 def rotation(axis, angle):
@@ -177,3 +179,30 @@ def test_baseline_pairs_have_their_size(spark):
     rows = pairs.count()
     assert rows > 20 * 19000 and pairs.rdd.getNumPartitions() > 1
     assert int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > rows
+
+
+def test_baselines_of_groups_that_fit_together_are_not_written(spark, monkeypatch):
+    # pairs grow with the square of a group's rows: only groups of more than PACKED_ROWS rows join theirs, at most max_pairs each
+    rng = np.random.default_rng(11)
+    rows = [(g, i, *map(float, rng.normal(size=6))) for g, n in (("a", 1), ("b", 2), ("c", 90), ("d", 300)) for i in range(n)]
+    corr = spark.createDataFrame(rows, "g string, id int, sx double, sy double, sz double, dx double, dy double, dz double")
+    names = []
+    monkeypatch.setattr(A, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    scales = lambda: {r["g"]: (r["n"], r["num_pairs"], r["scale_valid"], r["scale"]) for r in A.fit_scale(corr, ["g"], ["id"], 5000).collect()}
+    packed = scales()
+    assert "baselines" not in names and packed["a"] == (1, 0, False, 1.0) and packed["b"][:3] == (2, 1, True) and packed["d"][1] > 4900
+    for limit in (100, 0):
+        names.clear()
+        monkeypatch.setattr(A, "PACKED_ROWS", limit)
+        got = scales()
+        assert names.count("baselines") == 1 and set(got) == set(packed)
+        for g, want in packed.items():
+            assert got[g][:3] == want[:3] and abs(got[g][3] - want[3]) < 1e-12
+
+
+def test_hashed_uniforms_equal_those_of_spark(spark):
+    runs = [(b"s:7:", 0, 120), (b"", 5, 12), (b"x" * 46 + b":", 8, 20), (b"y" * 60 + b":", 0, 11), (b"z:", 99990, 100020)]
+    for seed in (0, 12):
+        k = spark.createDataFrame([(h.decode()[:-1] if h else None, n, j) for j, (h, lo, hi) in enumerate(runs) for n in range(lo, hi)], "h string, k long, j int")
+        want = [r["u"] for r in k.select("j", "k", L.uniform(seed, "h", "k").alias("u")).orderBy("j", "k").collect()]
+        assert uniforms(runs, seed).tolist() == want
