@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +23,12 @@ TRIANGLES = (
     (1, 4, 5), (1, 0, 4), (2, 6, 7), (2, 3, 7), (6, 7, 4), (6, 5, 4),
 )
 PLANES = ((0, 1, 3), (1, 6, 2), (0, 3, 7), (2, 6, 3), (0, 5, 1), (6, 5, 4))
+EDGES = np.array(((0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7)))
 # rounding of corners relative to their coordinates, and the slope from which an edge crosses a plane well enough to allow for it
 TOUCH = 64 * 2.0**-52
 STEEP = 1e-3
-_TEST_BATCH = 256
+CLEAR = 8.0
+_TEST_BATCH, _CLIP_BATCH = 256, 1024
 
 
 def frustum_corners(cams: DataFrame, stats: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -112,23 +114,66 @@ def _contains(corners: np.ndarray, point: np.ndarray, touch: np.ndarray) -> np.n
     return (((point[:, None] - p0) * n).sum(-1) >= -touch[:, None]).all(axis=1)
 
 
-@F.pandas_udf(T.BooleanType())
-def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Exact test on candidate pairs, a slice of the batch at a time."""
+def _heights(corners: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """(pairs, 8, 6): how far the corners of the other frustum lie inside the planes of this one."""
+    i = np.array(PLANES)
+    p0 = corners[:, i[:, 0]]
+    n = np.cross(corners[:, i[:, 1]] - p0, corners[:, i[:, 2]] - p0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n /= np.linalg.norm(n, axis=-1, keepdims=True)
+    return sum((other[:, :, None, k] - p0[:, None, :, k]) * n[:, None, :, k] for k in range(3))
+
+
+def _edge_inside(heights: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Whether a part of an edge lies at least ``depth`` inside all planes, by clipping the edge at each of them."""
+    h = heights - depth[:, None, None]
+    p, q = h[:, EDGES[:, 0]], h[:, EDGES[:, 1]]
+    out_p, out_q = p < 0, q < 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = p / (p - q)
+    start = np.where(out_p, np.where(out_q, np.inf, t), 0.0).max(axis=2)
+    end = np.where(out_q & ~out_p, t, 1.0).min(axis=2)
+    return (start <= end).any(axis=1)
+
+
+def _decided(a: np.ndarray, b: np.ndarray, touch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether frusta meet, whether that is sure). They meet where an edge of one has a part in the other; pairs that do so, or fail
+    to, by no more than ``CLEAR`` times their rounding are not sure, nor are flat frusta."""
+    in_a, in_b = _heights(a, b), _heights(b, a)
+    clear = CLEAR * touch
+    hit = _edge_inside(in_a, clear) | _edge_inside(in_b, clear)
+    miss, left = np.zeros(len(a), bool), np.flatnonzero(~hit)
+    miss[left] = ~(_edge_inside(in_a[left], -clear[left]) | _edge_inside(in_b[left], -clear[left]))
+    return hit, (hit | miss) & np.isfinite(in_a).all(axis=(1, 2)) & np.isfinite(in_b).all(axis=(1, 2))
+
+
+@F.arrow_udf(T.BooleanType())
+def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Exact test on candidate pairs: by clipped edges, and by triangles for those that only just meet or miss."""
     tri = np.array(TRIANGLES)
+    corners = lambda col: col.flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 3)
     for left, right in batches:
+        a_all, b_all = corners(left), corners(right)
         out = np.zeros(len(left), bool)
-        for i in range(0, len(left), _TEST_BATCH):
-            a = np.stack(left[i:i + _TEST_BATCH].to_numpy()).reshape(-1, 8, 3)
-            b = np.stack(right[i:i + _TEST_BATCH].to_numpy()).reshape(-1, 8, 3)
-            near = _touch(a, b)
-            hit = _contains(a, b[:, 0], near) | _contains(b, a[:, 0], near)
-            todo = ~hit
-            if todo.any():
-                ta, tb = a[todo][:, tri], b[todo][:, tri]
-                hit[todo] = _edges_hit(ta, tb, near[todo]) | _edges_hit(tb, ta, near[todo])
-            out[i:i + _TEST_BATCH] = hit
-        yield pd.Series(out)
+        for i in range(0, len(left), _CLIP_BATCH):
+            a, b = a_all[i:i + _CLIP_BATCH], b_all[i:i + _CLIP_BATCH]
+            hit, sure = _decided(a, b, _touch(a, b))
+            out[i:i + _CLIP_BATCH] = hit & sure
+            rest = np.flatnonzero(~sure)
+            for k in range(0, len(rest), _TEST_BATCH):
+                at = rest[k:k + _TEST_BATCH]
+                out[i + at] = _meet(a[at], b[at], tri)
+        yield pa.array(out)
+
+
+def _meet(a: np.ndarray, b: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    near = _touch(a, b)
+    hit = _contains(a, b[:, 0], near) | _contains(b, a[:, 0], near)
+    todo = ~hit
+    if todo.any():
+        ta, tb = a[todo][:, tri], b[todo][:, tri]
+        hit[todo] = _edges_hit(ta, tb, near[todo]) | _edges_hit(tb, ta, near[todo])
+    return hit
 
 
 def frustum_pairs(frusta: DataFrame, by: Sequence[str] = ("scene",), view: str = "frame") -> DataFrame:

@@ -1,5 +1,7 @@
 """Frusta that only touch."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from aerolake.functions import linalg as L
@@ -30,3 +32,28 @@ def test_touching_frusta_are_pairs_and_a_gap_is_none(spark):
     frusta = FR.frustum_corners(c.select("scene", "frame", k.alias("k"), pose.alias("t_c2w")), stats, ["scene", "frame"])
     got = {tuple(r) for r in FR.frustum_pairs(frusta).collect()}
     assert got == {(2 * i, min(t[:2]), max(t[:2])) for i, t in enumerate(TOUCHING)}
+
+
+def test_clear_pairs_are_decided_by_clipped_edges_as_by_triangles(monkeypatch):
+    rng = np.random.default_rng(12)
+
+    def frusta(n):
+        turn = np.linalg.qr(rng.normal(size=(n, 3, 3)))[0]
+        turn[:, :, 0] *= np.sign(np.linalg.det(turn))[:, None]
+        at = np.array([(d * 0.4 * sx, d * 0.3 * sy, d) for d in (1.0, 6.0) for sx, sy in FR.CORNER_SIGNS])
+        return at @ turn.transpose(0, 2, 1) + rng.uniform(-4, 4, (n, 1, 3))
+
+    a, b = frusta(3000), frusta(3000)
+    b[:50] = a[:50].mean(axis=1, keepdims=True) + 0.1 * (a[:50] - a[:50].mean(axis=1, keepdims=True))  # one inside the other
+    a[50:100] += 50.0
+    hit, sure = FR._decided(a, b, FR._touch(a, b))
+    want = FR._meet(a, b, np.array(FR.TRIANGLES))
+    assert sure.all() and (hit == want).all() and hit[:50].all() and not hit[50:100].any() and 300 < hit.sum() < 2700
+    b[100:110] = a[100:110, :1]  # a point has no planes: left to the triangles
+    assert not FR._decided(a, b, FR._touch(a, b))[1][100:110].any()
+    # pairs that are clear are not measured by triangles
+    measured = []
+    monkeypatch.setattr(FR, "_edges_hit", lambda p, q, touch: measured.append(len(p)) or np.zeros(len(p), bool))
+    flat = lambda x: pa.array(list(x[110:].reshape(-1, 24)))
+    out = next(FR._overlap.func(iter([(flat(a), flat(b))])))
+    assert not measured and out.to_pylist() == want[110:].tolist()
